@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import exact_dedup
+from argentum.llm import exact_dedup, license_scan, sharding, url_filter, warc
 from argentum.llm.common import table
 
 
@@ -26,8 +26,44 @@ select doc_id,
 from d
 """
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
-SQL = {"op2_exact_dedup": OP2_SQL}
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"), 40)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+OP7_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+         sha1(coalesce(html, '')) as payload_digest,
+         max(page_id) over (partition by coalesce(html, '')) as top
+  from pages
+)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes < 1000 or page_id = top then 'response' else 'revisit' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> top then top end as refers_to
+from p
+"""
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("component")
+
+
+QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op6_sharding": op6_sharding,
+    "op7_warc": op7_warc,
+    "op9_url_filter": op9_url_filter,
+}
+SQL = {"op1_license_scan": license_scan.scan_sql(), "op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL}
 
 
 def queries():

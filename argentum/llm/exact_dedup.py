@@ -61,13 +61,6 @@ def _fold_batch(batches):
         )
 
 
-def _same(a: DataFrame, b: DataFrame, *pairs: tuple[str, str]) -> Column:
-    cond = F.lit(True)
-    for x, y in pairs:
-        cond = cond & a[x].eqNullSafe(b[y])
-    return cond
-
-
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, points.
 
@@ -88,31 +81,31 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     group = Window.partitionBy("sha", "salt", "body")
     order = group.orderBy(F.desc("points"), F.asc_nulls_last("id"))
+    # of a salted group one row goes on, with the ids it stands for: batch winners
+    # only, so a list is as long as a task has batches of that text
     salted = won.select(
         "*",
-        F.first("id").over(order).alias("to_id"),
-        F.first("points").over(order).alias("to_points"),
         F.row_number().over(order).alias("place"),
         F.sum("n").over(group).alias("rows"),
-    )
-    steps = salted.groupBy("sha", F.col("id").alias("from_id"), F.col("points").alias("from_points")).agg(
-        F.first("to_id").alias("to_id"), F.first("to_points").alias("to_points"), F.max("rows").alias("salt_rows")
-    )
+        F.collect_list(F.struct("id", "points")).over(group).alias("stands_for"),
+    ).where("place = 1")
 
     # salt winners: at most one row per salt and text
     group = Window.partitionBy("sha", "body")
     order = group.orderBy(F.desc("points"), F.asc_nulls_last("id"))
-    final = salted.where("place = 1").select("id", "points", "sha", "body", "rows").select(
-        F.col("sha").alias("f_sha"),
-        F.col("id").alias("f_id"),
-        F.col("points").alias("f_points"),
-        F.first("id").over(order).alias("keep_id"),
-        F.first("points").over(order).alias("keep_points"),
-        F.sum("rows").over(group).alias("group_size"),
-    ).dropDuplicates(["f_sha", "f_id", "f_points"])
-    links = steps.join(
-        final, (steps.sha == final.f_sha) & _same(steps, final, ("to_id", "f_id"), ("to_points", "f_points"))
-    ).select(F.col("sha").alias("l_sha"), "from_id", "from_points", "keep_id", "keep_points", "group_size", "salt_rows")
+    links = (
+        salted.select("id", "points", "sha", "body", "rows", "stands_for")
+        .select(
+            F.col("sha").alias("l_sha"),
+            "stands_for",
+            F.first("id").over(order).alias("keep_id"),
+            F.first("points").over(order).alias("keep_points"),
+            F.sum("rows").over(group).alias("group_size"),
+        )
+        .select("l_sha", "keep_id", "keep_points", "group_size", F.explode("stands_for").alias("from"))
+        .select("l_sha", F.col("from.id").alias("from_id"), F.col("from.points").alias("from_points"), "keep_id", "keep_points", "group_size")
+        .dropDuplicates(["l_sha", "from_id", "from_points"])
+    )
     return local.select("id", "points", "sha", "win_id", "win_points").join(
         links, (F.col("sha") == F.col("l_sha")) & F.col("win_id").eqNullSafe(F.col("from_id")) & (F.col("win_points") == F.col("from_points"))
     ).select(

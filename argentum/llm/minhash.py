@@ -137,7 +137,7 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(row, len(sets)).cast(pa.int64()),
-                    textops.list_array(np.concatenate(sets).astype(np.int64), np.diff(at)),
+                    textops.list_array(np.concatenate(sets), np.diff(at)),
                 ],
                 names=["id", "features"],
             )

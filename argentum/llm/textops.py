@@ -137,7 +137,7 @@ def occurrences(code: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(new)
     nth = np.arange(len(code)) - np.repeat(at, np.diff(np.append(at, len(code))))
     with np.errstate(over="ignore"):
-        return np.sort(mix(code + ODD * nth.astype(np.uint64)))
+        return np.sort(mix(code + ODD * nth.astype(np.uint64)).astype(np.int64))
 
 
 def list_array(values: np.ndarray, counts: np.ndarray, kind=pa.int64()) -> pa.Array:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import exact_dedup, license_scan, minhash, sharding, url_filter, warc
+from argentum.llm import exact_dedup, license_scan, minhash, packing, sharding, toxicity, url_filter, warc
 from argentum.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 40)
 
@@ -60,13 +64,21 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("component")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id")))
+    return toxicity.score(docs, model, 0.3).withColumn("held_out", toxicity.held_out("doc_id"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_warc": op7_warc,
     "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
 }
 SQL = {"op1_license_scan": license_scan.scan_sql(), "op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL}
 

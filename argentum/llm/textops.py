@@ -55,12 +55,16 @@ class Hasher:
         last = inner[inner > 0] - 1
         ends[last] = word[last]
         a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        return self.spans(data, a, b), np.searchsorted(a, cuts), a, b
+
+    def spans(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A hash of the bytes of each span [a, b), which depends on nothing else."""
+        n = len(data)
         up, down = self.powers(n + 1)
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-            hashes = mix((sums[b] - sums[a]) * down[a] + ODD * (b - a).astype(np.uint64))
-        return hashes, np.searchsorted(a, cuts), a, b
+            return mix((sums[b] - sums[a]) * down[a] + ODD * (b - a).astype(np.uint64))
 
 
 def chunks(texts: pa.Array, lower: bool = True):

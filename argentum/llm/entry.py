@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import exact_dedup, license_scan, minhash, packing, sharding, toxicity, url_filter, warc
+from argentum.llm import decontaminate, exact_dedup, langid, license_scan, minhash, packing, sharding, toxicity, url_filter, warc
 from argentum.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,12 @@ from p
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(~langid.held_out("doc_id")))
+    return langid.identify(docs, net).withColumn("held_out", langid.held_out("doc_id"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("component")
 
@@ -74,9 +84,11 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }

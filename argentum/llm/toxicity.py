@@ -323,6 +323,32 @@ def fit(
     return fit_units([bags[i] for i in order], [y[i] for i in order], share)
 
 
+class Scorer:
+    """Scores of whole texts in a task; keeps the margins of units it has met, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model, self.hasher, self.kept = model, textops.Hasher(), {}
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        worst = [self._worst(data, cuts) for _, data, cuts in textops.chunks(texts)]
+        return self.model.probability(np.concatenate([np.zeros(0), *worst]))
+
+    def _worst(self, data, cuts) -> np.ndarray:
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        whole, a, b, text, hashes = units(self.hasher, data, cuts)
+        names, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        listed = names.tolist()
+        new = np.array([i for i, h in enumerate(listed) if h not in self.kept], np.int64)
+        if len(new):
+            margins = self.model.margins(whole, a[at[new]], b[at[new]])
+            self.kept.update(zip((listed[i] for i in new), margins.tolist()))
+        each = np.fromiter((self.kept[h] for h in listed), np.float64, len(listed))[back]
+        top = np.full(len(cuts) - 1, -np.inf)
+        np.maximum.at(top, text, each)
+        return np.where(np.isfinite(top), top, self.model.bias)
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score, predicted.
 
@@ -332,24 +358,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     small_batches(docs.sparkSession)
 
     def judge(batches):
-        hasher, kept = textops.Hasher(), {}
+        scorer = Scorer(model)
         for batch in batches:
-            worst = []
-            for _, data, cuts in textops.chunks(batch.column(1)):
-                if len(kept) > KEPT:
-                    kept.clear()
-                whole, a, b, text, hashes = units(hasher, data, cuts)
-                names, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-                listed = names.tolist()
-                new = np.array([i for i, h in enumerate(listed) if h not in kept], np.int64)
-                if len(new):
-                    margins = model.margins(whole, a[at[new]], b[at[new]])
-                    kept.update(zip((listed[i] for i in new), margins.tolist()))
-                each = np.fromiter((kept[h] for h in listed), np.float64, len(listed))[back]
-                top = np.full(len(cuts) - 1, -np.inf)
-                np.maximum.at(top, text, each)
-                worst.append(np.where(np.isfinite(top), top, model.bias))
-            p = model.probability(np.concatenate(worst)) if worst else np.zeros(0)
+            p = scorer.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["id", "score", "predicted"]
             )
@@ -365,11 +376,17 @@ def held_out(id_: str | Column, parts: int = 4, part: int = 2) -> Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text is not rejected, with all columns.
+    """The rows of docs whose own text is not rejected, with all columns and repeats.
 
-    Learns from the labels of ids that are not held out.  Rows of one id are judged
-    together: one rejected text rejects the id.  Rows with a null id are judged too.
+    Learns from the labels of ids that are not held out.  Rows are judged where they
+    lie: nothing is joined or moved.
     """
     model = fit(docs, labels.where(~held_out(id_col)), id_col=id_col, text_col=text_col)
-    gone = score(docs, model, threshold, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("_t_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_t_id")), "left_anti")
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        scorer = Scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch.column(at)) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -8,10 +8,11 @@ belong to the text.  The first point of each slot is the signature; two texts ag
 in a slot with the probability of their weighted Jaccard similarity.
 
 Candidates share a band of the signature and are verified on the whole multisets.
-In a bucket all members are first compared with one of them; where a bucket still
-holds more than one component, all members outside its largest component are
-compared, in blocks, with every member.  So every pair that shares a band is
-either compared or already in one class, and no task holds more than a block.
+In a bucket all members are first compared with one of them; those still outside
+its largest component with another one, a few times.  Where a bucket then still holds
+more than one component, all members outside the largest are compared, in blocks,
+with every member.  So every pair that shares a band is either compared or already in
+one class, and no task holds more than a block.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ WIDTH = 5
 THRESHOLD = 0.8
 SLOTS, ROWS = 64, 4
 #: Members streamed past one block, and members held in one.
-STREAMED, HELD = 512, 64
+STREAMED, HELD = 512, 256
+#: Rounds in which the members of a bucket are compared with one of them.
+PIVOTS = 2
 
 SIGNED = "id long, s1 long, s2 long, n long, bands array<long>"
 FEATURES = "id long, features array<long>"
@@ -250,65 +253,80 @@ def classes(
     if inside.isEmpty():
         return _answer(rows, named, None, id_col)
 
-    wanted = inside.select(F.col("rep").alias("w")).distinct()
+    # texts are brought together by id at every size of the table
+    wanted = inside.select(F.col("rep").alias("w")).distinct().hint("shuffle_hash")
     features = materialise(
         rows.join(wanted, F.col("id") == F.col("w"), "left_semi").mapInArrow(_features, FEATURES).dropDuplicates(["id"]),
         "features",
     )
+    feat = lambda c: features.withColumnRenamed("id", c)
 
-    # every member against the first of its bucket
-    pairs = materialise(
-        inside.where("rep <> low")
-        .groupBy("low", "rep")
-        .agg(F.ceil(F.max("members") / STREAMED).cast("int").alias("g2"))
-        .withColumn("g3", F.pmod(F.xxhash64("rep"), F.col("g2")).cast("int")),
-        "pairs",
+    # every member against one of its bucket; what is left open, against another one
+    edges = spark.createDataFrame([], "a long, b long")
+    open_ = inside.select("bucket", "rep", "members", F.col("rep").alias("label"), F.col("low").alias("pivot"), F.col("low").alias("pivot_label"))
+    for turn in range(PIVOTS):
+        pairs = materialise(
+            open_.where("label <> pivot_label")
+            .groupBy("pivot", "rep")
+            .agg(F.max("label").alias("label"), F.max("pivot_label").alias("pivot_label"), F.ceil(F.max("members") / STREAMED).cast("int").alias("g2"))
+            .withColumn("g3", F.pmod(F.xxhash64("rep"), F.col("g2")).cast("int")),
+            "pairs",
+        )
+        first = pairs.groupBy("pivot", "g2", "g3").agg(F.max("pivot_label").alias("label")).join(feat("pivot"), "pivot").select(
+            F.col("pivot").alias("g1"), "g2", "g3", F.lit(False).alias("streamed"), F.col("pivot").alias("id"), "label", "features"
+        )
+        rest = pairs.join(feat("rep"), "rep").select(
+            F.col("pivot").alias("g1"), "g2", "g3", F.lit(True).alias("streamed"), F.col("rep").alias("id"), "label", "features"
+        )
+        edges = edges.unionByName(_verify(first.unionByName(rest), threshold, "edges"))
+        found = components(edges)
+        open_ = _still_open(inside, found, turn)
+        if open_.isEmpty():
+            return _answer(rows, named, found, id_col)
+
+    # buckets that still hold several components: outsiders against all members
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outsiders = F.col("members") - F.col("k")
+    laid = open_.withColumn("blocks", F.ceil(outsiders / HELD).cast("int")).withColumn("streams", F.ceil(F.col("members") / STREAMED).cast("int"))
+    held = laid.where("label <> pivot_label").select(
+        "bucket", "rep", "label", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("g2"), spread(F.col("streams")).alias("g3"), F.lit(False).alias("streamed")
     )
-    feat = lambda c: features.withColumnRenamed("id", c)
-    first = pairs.select("low", "g2", "g3").distinct().join(feat("low"), "low").select(
-        F.col("low").alias("g1"), "g2", "g3", F.lit(False).alias("streamed"), F.col("low").alias("id"), F.col("low").alias("label"), "features"
+    streamed = laid.select(
+        "bucket", "rep", "label", spread(F.col("blocks")).alias("g2"), F.pmod(F.xxhash64("rep"), "streams").cast("int").alias("g3"), F.lit(True).alias("streamed")
     )
-    rest = pairs.join(feat("rep"), "rep").select(
-        F.col("low").alias("g1"), "g2", "g3", F.lit(True).alias("streamed"), F.col("rep").alias("id"), F.col("rep").alias("label"), "features"
+    again = held.unionByName(streamed).join(feat("rep"), "rep").select(
+        F.col("bucket").alias("g1"), "g2", "g3", "streamed", F.col("rep").alias("id"), "label", "features"
     )
-    edges = _verify(first.unionByName(rest), threshold, "edges")
-    found = components(edges)
+    edges = edges.unionByName(_verify(again, threshold, "edges"))
+    return _answer(rows, named, components(edges), id_col)
+
+
+def _still_open(inside: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """Members of buckets with several components: bucket, rep, members, label, pivot, pivot_label, k.
 
-    # buckets that still hold several components
+    The pivot is a member of the bucket's largest component, another one each turn;
+    k is the size of that component in the bucket.
+    """
     labelled = materialise(
         inside.join(found, F.col("rep") == F.col("node"), "left").select(
             "bucket", "rep", "members", F.coalesce("component", "rep").alias("label")
         ),
         "labelled",
     )
-    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.max("members").alias("members"))
-    split = materialise(
-        sizes.groupBy("bucket")
-        .agg(F.max(F.struct("k", "label")).alias("top"), F.count("*").alias("labels"), F.max("members").alias("m"))
+    sizes = labelled.groupBy("bucket", "label").agg(
+        F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("pick")
+    )
+    tops = (
+        sizes.groupBy(F.col("bucket").alias("b"))
+        .agg(F.max(F.struct("k", "label", F.col("pick.rep").alias("rep"))).alias("top"), F.count("*").alias("labels"))
         .where("labels > 1")
-        .select(
-            F.col("bucket").alias("b"),
-            F.col("top.label").alias("top"),
-            F.ceil((F.col("m") - F.col("top.k")) / HELD).cast("int").alias("blocks"),
-            F.ceil(F.col("m") / STREAMED).cast("int").alias("streams"),
+    )
+    return materialise(
+        labelled.join(tops, F.col("bucket") == F.col("b")).select(
+            "bucket", "rep", "members", "label", F.col("top.rep").alias("pivot"), F.col("top.label").alias("pivot_label"), F.col("top.k").alias("k")
         ),
-        "split",
+        "open",
     )
-    if not split.isEmpty():
-        open_ = materialise(labelled.join(split, F.col("bucket") == F.col("b")).drop("b", "members"), "open")
-        spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        held = open_.where("label <> top").select(
-            "bucket", "rep", "label", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("g2"), spread(F.col("streams")).alias("g3"), F.lit(False).alias("streamed")
-        )
-        streamed = open_.select(
-            "bucket", "rep", "label", spread(F.col("blocks")).alias("g2"), F.pmod(F.xxhash64("rep"), "streams").cast("int").alias("g3"), F.lit(True).alias("streamed")
-        )
-        again = held.unionByName(streamed).join(feat("rep"), "rep").select(
-            F.col("bucket").alias("g1"), "g2", "g3", "streamed", F.col("rep").alias("id"), "label", "features"
-        )
-        edges = edges.unionByName(_verify(again, threshold, "edges"))
-        found = components(edges)
-    return _answer(rows, named, found, id_col)
 
 
 def _answer(rows: DataFrame, named: DataFrame, found: DataFrame | None, id_col: str) -> DataFrame:

@@ -311,7 +311,7 @@ def fit(
     )
     rows = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).cast("string").alias("text"))
     got = (
-        rows.join(drawn, F.col("d_id") == F.col("l_id"))
+        rows.join(F.broadcast(drawn), F.col("d_id") == F.col("l_id"))  # about 2 * sample rows at any size
         .select("text", "label")
         .mapInArrow(_distinct_units, "units array<binary>, label int")
         .toArrow()

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from argentum.llm.common import salt, salts, small_batches
 
@@ -30,23 +31,28 @@ BLANK_CLASS = "[\\x20\\x09-\\x0D]"
 LOCAL_SCHEMA = "id long, points long, sha string, win_id long, win_points long, n long, body binary"
 
 
+def _winners(ids: pa.Array, texts: pa.Array):
+    """(ids, bodies, code points, winner's row of each body, rows of each body) of a batch."""
+    ids = ids.to_pylist()
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    points = pc.utf8_length(texts).to_pylist()
+    bodies = [t.translate(None, BLANKS) for t in texts.cast(pa.binary()).to_pylist()]
+    best: dict[bytes, int] = {}
+    count: dict[bytes, int] = {}
+    rank = lambda i: (-points[i], ids[i] is None, ids[i] or 0)
+    for i, own in enumerate(bodies):
+        count[own] = count.get(own, 0) + 1
+        if rank(i) < rank(best.setdefault(own, i)):
+            best[own] = i
+    return ids, bodies, points, best, count
+
+
 def _fold_batch(batches):
     """For each row its batch winner; only a winner carries text and count."""
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        texts = pc.fill_null(batch.column(1), "")
-        points = pc.utf8_length(texts).to_pylist()
-        bodies = [t.translate(None, BLANKS) for t in texts.cast(pa.binary()).to_pylist()]
-        best: dict[bytes, int] = {}
-        count: dict[bytes, int] = {}
-        rank = lambda i: (-points[i], ids[i] is None, ids[i] or 0)
-        for i, body in enumerate(bodies):
-            count[body] = count.get(body, 0) + 1
-            j = best.setdefault(body, i)
-            if rank(i) < rank(j):
-                best[body] = i
-        sha = {body: hashlib.sha256(body).hexdigest() for body in best}
-        winner = [best[body] for body in bodies]
+        ids, bodies, points, best, count = _winners(batch.column(0), batch.column(1))
+        sha = {b: hashlib.sha256(b).hexdigest() for b in best}
+        winner = [best[b] for b in bodies]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64()),
@@ -118,30 +124,35 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def digest(text: Column) -> Column:
-    """The digest of ``copies`` as a column."""
-    return F.sha2(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), BLANK_CLASS, ""), 256)
+def body(text: Column) -> Column:
+    """What ``copies`` compares, as a column."""
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), BLANK_CLASS, "")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, each once, with all columns of docs.
 
-    See ``copies`` for which row of a group stays.  Whole repeats of the row
-    that stays are dropped as well.
+    See ``copies`` for which row of a group stays; the same three steps are taken here
+    with whole rows, so none is looked up again.  Whole repeats of the row that
+    stays are dropped as well.
     """
-    kept = copies(docs, id_col, text_col).where("kept").select(
-        F.col(id_col).alias("_k_id"), F.col("text_sha256").alias("_k_sha"), F.col("points").alias("_k_points")
-    ).distinct()
-    marked = docs.select(
-        "*",
-        digest(F.col(text_col)).alias("_k_sha2"),
-        F.char_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long").alias("_k_points2"),
-    )
-    held = marked.join(
-        kept,
-        F.col(id_col).cast("long").eqNullSafe(F.col("_k_id"))
-        & (F.col("_k_sha2") == F.col("_k_sha"))
-        & (F.col("_k_points2") == F.col("_k_points")),
-        "left_semi",
-    )
-    return held.dropDuplicates([id_col, "_k_sha2", "_k_points2"]).select(docs.columns)
+    spark = docs.sparkSession
+    small_batches(spark)
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField("_k_sha", StringType()), StructField("_k_points", LongType())])
+
+    def fold(batches):
+        for batch in batches:
+            ids, bodies, points, best, _ = _winners(batch.column(at_id), batch.column(at_text))
+            keep = sorted(best.values())
+            held = batch.take(pa.array(keep, pa.int64()))
+            sha = pa.array([hashlib.sha256(bodies[i]).hexdigest() for i in keep], pa.string())
+            own = [*held.columns, sha, pa.array([points[i] for i in keep], pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, names=[*batch.schema.names, "_k_sha", "_k_points"])
+
+    rows = docs.mapInArrow(fold, schema).withColumn("_k_salt", salt(id_col, salts(spark)))
+    for keys in (["_k_sha", "_k_salt"], ["_k_sha"]):
+        rows = rows.repartition(*keys).withColumn("_k_body", body(F.col(text_col)))
+        group = Window.partitionBy(*keys, "_k_body").orderBy(F.desc("_k_points"), F.asc_nulls_last(id_col))
+        rows = rows.withColumn("_k_place", F.row_number().over(group)).where("_k_place = 1").drop("_k_body", "_k_place")
+    return rows.select(docs.columns)

@@ -62,13 +62,13 @@ def pieces(
     schema = PIECES + ", ids array<int>" * with_ids
 
     def cut(batches):
-        from argentum.llm.tokens import Encoder, encoded
+        from argentum.llm.tokens import encoded, encoder
 
-        encoder = Encoder(vocabulary(tokenizer))
+        by = encoder(vocabulary(tokenizer))
         for batch in batches:
             names = batch.column(0).to_pylist()
             rows, ids = [], []
-            for i, body in encoded(batch.column(1), encoder):
+            for i, body in encoded(batch.column(1), by):
                 whole = np.append(body, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(whole), capacity):
                     piece = whole[start : start + capacity]

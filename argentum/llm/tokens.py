@@ -9,6 +9,8 @@ only.  What it keeps is bounded and never changes a result.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 
 import numpy as np
@@ -53,19 +55,21 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.known: dict[int, int] = {}
+        self.known = np.zeros(0, np.uint64)  # hashes in order, and the slot of each
+        self.slots = np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1, np.int64)
 
-    def _learn(self, hashes: list[int], strings: list[str]):
+    def _learn(self, hashes: np.ndarray, strings: list[str]):
+        """Keep the ids of new parts, whose hashes are in order."""
         found = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ends = self.first[-1] + np.cumsum(sizes)
+        ends = self.first[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         while ends[-1] > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.first[-1] : ends[-1]] = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        n = len(self.known)
-        self.known.update(zip(hashes, range(n, n + len(hashes))))
+        self.pool[self.first[-1] : ends[-1]] = list(itertools.chain.from_iterable(found))
+        at = np.searchsorted(self.known, hashes)
+        self.slots = np.insert(self.slots, at, len(self.first) - 1 + np.arange(len(hashes)))
+        self.known = np.insert(self.known, at, hashes)
         self.first = np.concatenate([self.first, ends])
 
     def ids(self, data: np.ndarray, cuts: np.ndarray):
@@ -76,21 +80,31 @@ class Encoder:
         hashes, at, back = np.unique(self.hasher.spans(data, a, b), return_index=True, return_inverse=True)
         if len(self.known) > KEPT:
             self._forget()
-        names = hashes.tolist()
-        new = [i for i, h in enumerate(names) if h not in self.known]
-        if new:
+        place = np.searchsorted(self.known, hashes)
+        here = place < len(self.known)
+        here[here] = self.known[place[here]] == hashes[here]
+        new = np.flatnonzero(~here)
+        if len(new):
             raw = data.tobytes()
-            self._learn([names[i] for i in new], [raw[a[at[i]] : b[at[i]]].decode("utf-8") for i in new])
-        slot = np.fromiter((self.known[h] for h in names), np.int64, len(names))[back]
+            spans = zip(a[at[new]].tolist(), b[at[new]].tolist())
+            self._learn(hashes[new], [raw[x:y].decode("utf-8") for x, y in spans])
+            place = np.searchsorted(self.known, hashes)
+        slot = self.slots[place][back]
         begin, size = self.first[slot], self.first[slot + 1] - self.first[slot]
         ends = np.cumsum(size)
         take = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
         return self.pool[take], np.concatenate([[0], ends])[firsts]
 
 
-def encoded(texts: pa.Array, encoder: Encoder):
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: tasks that follow each other in a worker share what it has met."""
+    return Encoder(path)
+
+
+def encoded(texts: pa.Array, by: Encoder):
     """(row, ids) of each text, in order; null counts as empty."""
     for row, data, cuts in textops.chunks(texts, lower=False):
-        ids, offsets = encoder.ids(data, cuts)
+        ids, offsets = by.ids(data, cuts)
         for i, (x, y) in enumerate(zip(offsets, offsets[1:])):
             yield row + i, ids[x:y]

@@ -239,7 +239,7 @@ def fit_units(texts: list[list[bytes]], labels: list[int], share: float, landmar
     bags_at = [np.array([number[u] for u in b]) for b in bags]
     found = np.bincount(np.concatenate(bags_at), minlength=len(candidates))
     # a short list of each: frequent candidates first
-    shortlist = np.argsort(-found, kind="stable")[: 2 * NEGATIVES]
+    shortlist = np.argsort(-found, kind="stable")[:NEGATIVES]
     some_clean = [clean[i] for i in rng.permutation(len(clean))[:NEGATIVES]]
     positive, strength = [candidates[i] for i in shortlist], found[shortlist].astype(float)
     hard: list[bytes] = []

@@ -3,14 +3,16 @@
 Units of a text are its lines, its paragraphs (cut at blank lines) and the
 whole text.  A unit of b distinct bigrams can only reach the coefficient t with a
 template of n bigrams if ``n*t/(2-t) <= b <= n*(2-t)/t``; units and templates
-outside these bounds never meet.  The others meet on their bigrams, against a
-table of fixed size.
+outside these bounds never meet, and a unit without any of the templates' key words
+is left at once.  The others meet on their bigrams, against a table of fixed size.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +72,28 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
+def key_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
+    """Words of which a unit has at least one if it reaches the threshold with any template.
+
+    Such a unit shares at least ``n*t/(2-t)`` of a template's n bigrams, so it is enough
+    to take words, long ones first, until fewer bigrams than that are without one.
+    """
+    keys: set[str] = set()
+    for _, notice in templates:
+        left = [g.split() for g in bigrams_of(notice)]
+        need = max(1, bounds(len(left), threshold)[0])
+        for word in sorted({w for g in left for w in g}, key=lambda w: (-len(w), w)):
+            if len(left) < need:
+                break
+            keys.add(word)
+            left = [g for g in left if word not in g]
+    return sorted(keys)
+
+
+def _has_key(text: Column, keys: list[str]) -> Column:
+    return F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [F.contains(low, F.lit(k)) for k in keys]))
+
+
 def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
@@ -97,18 +121,18 @@ def scan(
     known = spark.createDataFrame(rows, "template int, license string, t_size int, low int, high int, t_gram string")
     least, most = min(r[3] for r in rows), max(r[4] for r in rows)
 
-    text = F.col("text")
-    units = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(
-        text.isNotNull()
-    ).select(
-        "id",
-        F.explode(
-            F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text))
-        ).alias("unit"),
-    )
+    text, keys = F.col("text"), key_words(templates, threshold)
+    pieces = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
     # distinct bigrams are at most words - 1; words are at most (length + 1) / 2
-    units = units.where(F.length("unit") >= 2 * least + 1).select("id", _words(F.col("unit")).alias("words"))
-    units = units.where(F.size("words") > least).select(
+    likely = F.filter(pieces, lambda u: (F.length(u) >= 2 * least + 1) & _has_key(u, keys))
+    units = (
+        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        .where(text.isNotNull() & _has_key(text, keys))
+        .select("id", F.explode(F.transform(likely, _words)).alias("words"))
+    )
+    # every distinct word but the first ends a bigram of its own
+    distinct = F.size(F.array_distinct("words"))
+    units = units.where((F.size("words") > least) & (distinct - 1 <= most)).select(
         "id",
         F.array_distinct(
             F.zip_with(

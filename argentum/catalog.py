@@ -91,10 +91,10 @@ def _(images):
     return images.select("id", predicates.date_key(F.col("captured_at"), F.col("modified_at")).alias("date_key"))
 
 
-@_images("filter_date_range", f"select id from images where {KEY} between '2024-01-05 00:00:00' and '2024-01-20 23:59:59'")
+@_images("filter_date_range", f"select id from images where {KEY} between '2024-01-01 06:00:00' and '2024-01-02 11:59:59'")
 def _(images):
     key = predicates.date_key(F.col("captured_at"), F.col("modified_at"))
-    return images.where(predicates.in_dates(key, "2024-01-05 00:00:00", "2024-01-20 23:59:59")).select("id")
+    return images.where(predicates.in_dates(key, "2024-01-01 06:00:00", "2024-01-02 11:59:59")).select("id")
 
 
 @_images(

@@ -43,7 +43,7 @@ KEPT = 1 << 20
 
 _SYMBOL = np.full(256, BLANK, np.uint8)
 _SYMBOL[97:123] = np.arange(1, 27)
-_SYMBOL[[ord(c) for c in "0134578"]] = [ord(c) - 96 for c in "oleastb"]  # digits that stand for letters
+_SYMBOL[[ord(c) for c in "0134578"]] = [ord(c) - 96 for c in "oieastb"]  # digits that stand for letters
 _SYMBOL[[ord(c) for c in "269_"]] = 27
 _SYMBOL[128:] = 28 + np.arange(128) % 3
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))

@@ -154,6 +154,11 @@ def _(images):
     return images.select("id", F.size(words).cast("long").alias("n"), F.md5(F.array_join(words, " ")).alias("digest"))
 
 
+def _phrased(images):
+    """images with the phrase form of each column, cut into words once."""
+    return images.select("id", *[p.alias(f"p{k}") for k, p in enumerate(_phrases())]), [F.col(f"p{k}") for k in range(3)]
+
+
 @_images("fts_term_match", f"select id from images where {_hit('license')}")
 def _(images):
     return images.where(fulltext.matches(_phrases(), "license")).select("id")
@@ -169,12 +174,14 @@ def _(images):
     f"select id, score from (select id, (case when {_hit('license')} then 1 else 0 end) + 2 * (case when {_hit('the')} then 1 else 0 end) as score from images) where score > 0",
 )
 def _(images):
-    return images.select("id", fulltext.score(_phrases(), ["license", "the", "the"]).alias("score")).where("score > 0")
+    rows, phrases = _phrased(images)
+    return rows.select("id", fulltext.score(phrases, ["license", "the", "the"]).alias("score")).where("score > 0")
 
 
 @_images("fts_must_not", f"select id from images where {_hit('the')} and not {_hit('license')}")
 def _(images):
-    return images.where(fulltext.matches(_phrases(), "the") & ~fulltext.matches(_phrases(), "license")).select("id")
+    rows, phrases = _phrased(images)
+    return rows.where(fulltext.matches(phrases, "the") & ~fulltext.matches(phrases, "license")).select("id")
 
 
 # --- vectors ---------------------------------------------------------------

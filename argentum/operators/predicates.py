@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from argentum.plans.query_parser import QueryPlan
 
 
+#: Unicode's white space (fixed values).
+BLANKS = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
 def extension_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
@@ -70,18 +74,23 @@ def haystack() -> Column:
     return F.lower(F.concat_ws(" ", "filename", F.coalesce("ocr_text", F.lit("")), F.array_join("people", " ")))
 
 
-def has_term(hay: Column, term: str) -> Column:
-    """As it stands, or with all blanks of both left out."""
+def compact(hay: Column) -> Column:
+    return F.regexp_replace(hay, BLANKS, "")
+
+
+def has_term(hay: Column, term: str, packed: Column | None = None) -> Column:
+    """As it stands, or with all blanks of both left out; ``packed``: the haystack so, if a column has it."""
     term = term.lower()
-    return hay.contains(term) | F.regexp_replace(hay, r"(?U)\s+", "").contains("".join(term.split()))
+    packed = compact(hay) if packed is None else packed
+    return hay.contains(term) | packed.contains("".join(term.split()))
 
 
-def has_any_term(hay: Column, terms: list[str]) -> Column:
-    return reduce(or_, [has_term(hay, t) for t in terms], F.lit(False))
+def has_any_term(hay: Column, terms: list[str], packed: Column | None = None) -> Column:
+    return reduce(or_, [has_term(hay, t, packed) for t in terms], F.lit(False))
 
 
-def matched_share(hay: Column, terms: list[str]) -> Column:
+def matched_share(hay: Column, terms: list[str], packed: Column | None = None) -> Column:
     """The share of terms that the haystack has; 0 without terms."""
     if not terms:
         return F.lit(0.0)
-    return reduce(lambda a, b: a + b, [F.when(has_term(hay, t), 1.0).otherwise(0.0) for t in terms]) / len(terms)
+    return reduce(lambda a, b: a + b, [F.when(has_term(hay, t, packed), 1.0).otherwise(0.0) for t in terms]) / len(terms)

@@ -19,15 +19,26 @@ def candidates(images: DataFrame, plan: QueryPlan, queries: DataFrame | None = N
     found as substrings.  Text is read once; vectors meet the images by id.
     """
     terms = [*plan.should, *plan.must]
-    kept = images.where(predicates.plan_filter(plan)).withColumn("_hay", predicates.haystack())
-    phrases = [fulltext.phrase(c) for c in (F.col("filename"), F.col("ocr_text"), F.array_join("people", " "))]
+    # each text is lowered, packed and cut into words once, in columns of their own
+    kept = (
+        images.where(predicates.plan_filter(plan))
+        .select(
+            "id",
+            "filename",
+            "embedding",
+            predicates.haystack().alias("_hay"),
+            *[fulltext.phrase(c).alias(f"_p{k}") for k, c in enumerate((F.col("filename"), F.col("ocr_text"), F.array_join("people", " ")))],
+        )
+        .withColumn("_packed", predicates.compact(F.col("_hay")))
+    )
+    hay, packed, phrases = F.col("_hay"), F.col("_packed"), [F.col(f"_p{k}") for k in range(3)]
     out = kept.select(
         "id",
         "filename",
         F.greatest(
-            fulltext.score(phrases, plan.should, plan.must).cast("double"), predicates.matched_share(F.col("_hay"), terms)
+            fulltext.score(phrases, plan.should, plan.must).cast("double"), predicates.matched_share(hay, terms, packed)
         ).alias("lexical"),
-        predicates.has_any_term(F.col("_hay"), plan.must_not).alias("excluded"),
+        predicates.has_any_term(hay, plan.must_not, packed).alias("excluded"),
         "embedding",
     )
     if queries is None:

@@ -464,6 +464,64 @@ def _(images):
     return images.select("id", media.card(F.col("ocr_text"), F.col("people")).alias("card"))
 
 
+@_register("filename_project", f"with {views.IMAGES} select id, filename as name from images")
+def _(spark, d):
+    return views.images(spark, d).select("id", media.filename(F.col("path")).alias("name"))
+
+
+@_register("eta_format", "select o_orderkey, case when s >= 3600 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' when s >= 60 then (s % 3600 // 60) || 'm ' || (s % 60) || 's' else (s % 60) || 's' end as eta from (select o_orderkey, o_orderkey % 9000 as s from orders)")
+def _(spark, d):
+    return views.table(spark, d, "orders").select("o_orderkey", media.eta_text(F.col("o_orderkey") % 9000).alias("eta"))
+
+
+@_register(
+    "ocr_text_agg",
+    f"""select l_orderkey, text, {six('confidence')} as confidence from (
+      select l_orderkey, string_agg(l_linestatus || l_partkey, ' ' order by l_linenumber, l_linestatus || l_partkey) as text, avg(case when l_quantity - 5 >= 0 then l_quantity - 5 end) as confidence
+      from lineitem group by l_orderkey) where confidence is null or confidence >= 20""",
+)
+def _(spark, d):
+    words = views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_linestatus", "l_partkey").alias("word"), (F.col("l_quantity") - 5).alias("conf"))
+    return media.words_of_page(words, "l_orderkey", "l_linenumber", "word", "conf").withColumn("confidence", _six(F.col("confidence")))
+
+
+@_register(
+    "ocr_best_candidate",
+    """select l_orderkey, arg_max(l_returnflag || l_partkey, struct_pack(rank := l_quantity + 0.08 * least(length(l_returnflag || l_partkey), 200), place := l_linenumber, word := l_returnflag || l_partkey)) as text
+    from lineitem group by l_orderkey""",
+)
+def _(spark, d):
+    readings = views.table(spark, d, "lineitem").withColumn("reading", F.concat("l_returnflag", "l_partkey"))
+    return media.best_candidate(readings, "l_orderkey", "l_linenumber", "reading", "l_quantity")
+
+
+@_register("face_min_size", "select l_orderkey, l_linenumber from lineitem where l_quantity >= 24 and l_partkey % 50 >= 24")
+def _(spark, d):
+    return views.table(spark, d, "lineitem").where("l_quantity >= 24 and l_partkey % 50 >= 24").select("l_orderkey", "l_linenumber")
+
+
+@_register("incremental_merge", f"{STATUS} select o.id, o.bytes from old o join status s on s.root = o.root and s.path = o.path where s.status like 'reuse%' union all select id, bytes * 2 as bytes from status where status not like 'reuse%' and id % 17 <> 0")
+def _(spark, d):
+    now, old, thumbs = _snapshots(spark, d)
+    fresh = now.where("id % 17 <> 0").withColumn("bytes", F.col("bytes") * 2)
+    return maintenance.merge(maintenance.changes(now, old, thumbs), old, fresh).select("id", "bytes")
+
+
+@_register("cache_lookup_join", f"with {views.IMAGES},{views.OLD},{views.THUMBS} select i.id, o.bytes as cached_bytes, t.path is not null as has_thumbnail from images i left join old o on o.root = i.root and o.path = i.path left join thumbs t on t.root = i.root and t.path = i.path")
+def _(spark, d):
+    now, old, thumbs = _snapshots(spark, d)
+    cached = old.select(*maintenance.KEY, F.col("bytes").alias("cached_bytes"))
+    held = thumbs.select(*maintenance.KEY, F.lit(True).alias("t"))
+    return now.select("id", *maintenance.KEY).join(cached, maintenance.KEY, "left").join(held, maintenance.KEY, "left").select("id", "cached_bytes", F.coalesce("t", F.lit(False)).alias("has_thumbnail"))
+
+
+@_register("semantic_filter", f"with {views.IMAGES},{SIMS} select id, {six('sim')} as sim from sims where sim >= (select greatest(coalesce(max(sim) - 0.07, 0.2), 0.2) from sims where id > 1)")
+def _(spark, d):
+    sims = _sims(spark, d)
+    least = sims.where("id > 1").agg(vectors.threshold(F.max("sim")).alias("least"))
+    return sims.crossJoin(F.broadcast(least)).where("sim >= least").select("id", _six(F.col("sim")).alias("sim"))
+
+
 def queries():
     return dict(QUERIES)
 

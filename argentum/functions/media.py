@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DATA_URL = "data:image/jpeg;base64,"
@@ -73,3 +73,34 @@ def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
 def card(text: Column, people: Column) -> Column:
     """The first hundred characters of the text, and the people."""
     return F.concat_ws(" | ", F.substring(text, 1, 100), F.array_join(people, "、"))
+
+
+def eta_text(seconds: Column) -> Column:
+    """Hours and minutes, minutes and seconds, or seconds."""
+    h, m, rest = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
+    part = lambda x, unit: F.concat(x.cast("string"), F.lit(unit))
+    return (
+        F.when(seconds >= 3600, F.concat(part(h, "h "), part(m, "m")))
+        .when(seconds >= 60, F.concat(part(m, "m "), part(rest, "s")))
+        .otherwise(part(rest, "s"))
+    )
+
+
+def words_of_page(words: DataFrame, key: str, place: str, word: str, confidence: str, least: float = 20.0) -> DataFrame:
+    """(key, text, confidence) of recognised words, in their order.
+
+    Words without a confidence (below 0) count for the text alone; a page whose mean
+    confidence is below ``least`` has no text.
+    """
+    known = F.when(F.col(confidence) >= 0, F.col(confidence))
+    pages = words.where(F.trim(word) != "").groupBy(key).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(place, word))), lambda w: w[word]), " ").alias("text"),
+        F.avg(known).alias("confidence"),
+    )
+    return pages.where(F.col("confidence").isNull() | (F.col("confidence") >= least))
+
+
+def best_candidate(candidates: DataFrame, key: str, place: str, text: str, confidence: str) -> DataFrame:
+    """(key, text): of several readings the one with the best confidence, longer texts a little ahead; of equal ones the last."""
+    rank = F.col(confidence) + 0.08 * F.least(F.char_length(text), F.lit(200))
+    return candidates.groupBy(key).agg(F.coalesce(F.max_by(text, F.struct(rank.alias("rank"), place, text)), F.lit("")).alias("text"))

@@ -48,3 +48,14 @@ def present(table: DataFrame, seen: DataFrame, key: list[str] = KEY) -> DataFram
 
 def stale(table: DataFrame, seen: DataFrame, key: list[str] = KEY) -> DataFrame:
     return table.join(seen.select(key), key, "left_anti")
+
+
+def merge(listing: DataFrame, snapshot: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The next snapshot: unchanged files keep their derived columns, others take those of fresh.
+
+    listing has a status (see ``changes``).  A file that fresh lacks could not be read and is
+    left out.
+    """
+    reused = snapshot.join(listing.where(F.col("status").startswith("reuse")).select(KEY), KEY, "left_semi")
+    derived = fresh.join(listing.where(~F.col("status").startswith("reuse")).select(KEY), KEY, "left_semi")
+    return reused.unionByName(derived)

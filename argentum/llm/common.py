@@ -21,7 +21,7 @@ def shared_root(spark: SparkSession) -> str:
     It is the one the session names in ``spark.checkpoint.dir``; only where
     that is unset (local tests) a temporary folder stands in.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not _LOCAL_ROOT:

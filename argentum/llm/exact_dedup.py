@@ -74,7 +74,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     null counts as empty, and all empty texts are one group.  The row with the
     most code points stays, then the one with the smallest id (a null id comes
     last).  Rows that repeat both id and text share their decision.  An empty
-    table gives an empty result; other columns are ignored.
+    table gives an empty result; other columns are ignored.  ``docs`` is read twice and
+    must have its rows in the same order both times, as a written table has.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -1,10 +1,16 @@
 """Benchmark decontamination: rare seeds find passages, Smith-Waterman scores them.
 
-1. How often the corpus holds each three-word run of the test items is counted over
-   all documents.
-2. The rarer half of an item's runs are its seeds.  A document that holds a seed is
-   a candidate at the place where the item would begin; places close together are
-   one passage.
+1. How often the corpus holds each pair of neighbouring words of the test items, next
+   to each other or with one word between them, is counted over all documents.
+2. The rarest pairs of an item are its seeds.  A document that holds a seed is a
+   candidate at the place where the item would begin; places close together are one
+   passage.  A matched word after another one adds at most 1 where their pair is not a
+   seed or is found, and at most 1/4 for each pair that is passed otherwise (a match
+   two words on, less a replaced word, is 1/2 for two pairs; two words put between cost
+   the match).  So a passage with h of an item's c seeds scores at most
+   ``n - 3/4 (c - h)`` of n: there are enough seeds that none of them is not enough, and
+   passages with too few of them are left.  Items too short for that have all their
+   words as seeds.
 3. A passage whose words, as a multiset, cannot reach the threshold is left; the
    others are aligned with the item, word by word: a match counts 1, another word or
    a gap costs ``COST``.  The score is the best local alignment over the item's
@@ -24,42 +30,67 @@ from pyspark.sql import functions as F
 from argentum.llm import textops
 from argentum.llm.common import small_batches
 
-SEED = 3
+#: Words from one word of a pair to the other, in a document.
+STEPS = (1, 2)
+#: What a passage loses at least for a seed that it does not hold.
+LOSS = 0.75
 THRESHOLD = 0.5
 COST = 0.5
 #: An item with fewer words counts only where it is most of the document.
 MIN_WORDS = 8
 #: Words of the items in a block: about 60 MB in each task.
 BLOCK_WORDS = 1_000_000
+#: One seed for so many words of an item, beyond those that are needed: fewer passages by chance.
+SPARE = 8
 
 FOUND = "doc_id long, item_id long, score double, start_word long, end_word long"
 
 
+def pairs(hashes: np.ndarray, firsts: np.ndarray, step: int):
+    """(text, word, hash) of every word and the one ``step`` words on in its text; of single words for 0."""
+    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    with np.errstate(over="ignore"):
+        if not step:
+            return text, np.arange(len(hashes)), textops.mix(hashes + textops.ODD)
+        word = np.flatnonzero(text[:-step] == text[step:])
+        return text[word], word, textops.mix(hashes[word] * textops.ODD + hashes[word + step])
+
+
 class Block:
-    """Test items, with their runs and, once the corpus is counted, their seeds."""
+    """Test items, with their seeds: all that may be one and, once the corpus is counted, the rarest."""
 
-    def __init__(self, ids: list, texts: pa.Array):
-        self.ids, self.words = [], []
+    def __init__(self, ids: list, texts: pa.Array, threshold: float):
+        self.ids, self.words = ids, []
         hasher, runs, owners, places = textops.Hasher(), [], [], []
         for row, data, cuts in textops.chunks(texts):
             hashes, firsts, _, _ = hasher.words(data, cuts)
-            text, word, code = textops.windows(hashes, firsts, SEED)
-            runs.append(code)
-            owners.append(text + row)
-            places.append(word - firsts[text])
+            n = np.diff(firsts)
+            for step in (0, 1):
+                text, word, code = pairs(hashes, firsts, step)
+                own = (n - 1 > (1 - threshold) * n / LOSS)[text] == bool(step)
+                runs.append(code[own])
+                owners.append(text[own] + row)
+                places.append((word - firsts[text])[own])
             self.words += [hashes[a:b] for a, b in zip(firsts, firsts[1:])]
-        self.ids = ids
         empty = np.zeros(0, np.int64)
         self.runs = np.concatenate([empty.astype(np.uint64), *runs])
         self.owners, self.places = np.concatenate([empty, *owners]), np.concatenate([empty, *places])
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        spare = (1 - threshold) * self.sizes / LOSS  # seeds that may be missing
+        paired = self.sizes - 1 > spare
+        some = np.ceil(spare) + 1 + self.sizes // SPARE
+        #: Seeds of each item, and how many of them a passage holds at least.
+        self.seeds = np.where(paired, np.minimum(self.sizes - 1, some), self.sizes).astype(np.int64)
+        self.need = np.where(paired, np.maximum(1, np.ceil(self.seeds - spare - 1e-9)), 1).astype(np.int64)
+        self.steps = STEPS if paired[self.sizes > 0].all() else (0, *STEPS)
 
     def choose(self, counts: dict[int, int]) -> None:
-        """Keep the rarer half of each item's runs, sorted by hash."""
+        """Keep the rarest seeds of each item, sorted by hash; those that no document holds need no look-up."""
         seen = np.array([counts.get(int(r), 0) for r in self.runs.astype(np.int64)])
         order = np.lexsort((self.places, seen, self.owners))
         size = np.bincount(self.owners, minlength=len(self.ids))
         rank = np.arange(len(order)) - (np.cumsum(size) - size)[self.owners[order]]
-        kept = order[rank < (size[self.owners[order]] + 1) // 2]
+        kept = order[(rank < self.seeds[self.owners[order]]) & (seen[order] > 0)]
         kept = kept[np.argsort(self.runs[kept], kind="stable")]
         self.runs, self.owners, self.places = self.runs[kept], self.owners[kept], self.places[kept]
 
@@ -104,26 +135,36 @@ class Finder:
         seed = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - n), n)
         return np.repeat(at, n), seed
 
+    def found(self, hashes: np.ndarray, firsts: np.ndarray):
+        """(text, word, item, place in the item) of every seed in the texts."""
+        out = []
+        for step in self.block.steps:
+            text, word, code = pairs(hashes, firsts, step)
+            at, seed = self.hits(code)
+            out.append((text[at], word[at], self.block.owners[seed], self.block.places[seed]))
+        return [np.concatenate(x) for x in zip(*out)]
+
     def leaks(self, texts: pa.Array):
         """(row, item, score, start word, end word) of each text and item, the best passage of each."""
         block = self.block
         for row, data, cuts in textops.chunks(texts):
             hashes, firsts, _, _ = self.hasher.words(data, cuts)
-            text, word, code = textops.windows(hashes, firsts, SEED)
-            at, seed = self.hits(code)
-            item, begin = block.owners[seed], word[at] - block.places[seed]
-            order = np.lexsort((begin, item, text[at]))
+            text, word, item, place = self.found(hashes, firsts)
+            begin = word - place
+            order = np.lexsort((begin, item, text))
+            text, item, begin, place = text[order], item[order], begin[order], place[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > block.sizes[item[1:]])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(text))
+            passage, _, _ = textops.multiset(np.cumsum(new) - 1, place)
+            held = np.bincount(passage, minlength=len(starts))
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            i = 0
-            while i < len(order):
-                t, k = int(text[at[order[i]]]), int(item[order[i]])
+            for i in np.flatnonzero(held >= block.need[item[starts]]):
+                t, k = int(text[starts[i]]), int(item[starts[i]])
                 n = len(block.words[k])
-                first = last = int(begin[order[i]])
-                while i < len(order) and text[at[order[i]]] == t and item[order[i]] == k and begin[order[i]] - last <= n:
-                    last = int(begin[order[i]])
-                    i += 1
-                low = max(int(firsts[t]), first - n // 2)
-                high = min(int(firsts[t + 1]), last + n + n // 2)
+                low = max(int(firsts[t]), int(begin[starts[i]]) - n)  # at most n words are put in
+                high = min(int(firsts[t + 1]), int(begin[ends[i] - 1]) + 2 * n)
                 found = self.judge(block.words[k], hashes[low:high], int(firsts[t + 1] - firsts[t]))
                 if found and found[0] > best.get((t, k), (0.0,))[0]:
                     score, start, end = found
@@ -144,7 +185,7 @@ class Finder:
         return best / n, end - length, end
 
 
-def blocks(spark, benchmark: DataFrame, id_col: str, text_col: str):
+def blocks(spark, benchmark: DataFrame, id_col: str, text_col: str, threshold: float):
     """The items in blocks of bounded size, one after the other."""
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -152,11 +193,11 @@ def blocks(spark, benchmark: DataFrame, id_col: str, text_col: str):
     for k in range(n):
         got = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
         if len(got):
-            yield Block(got.column("id").to_pylist(), got.column("text").combine_chunks())
+            yield Block(got.column("id").to_pylist(), got.column("text").combine_chunks(), threshold)
 
 
 def count_runs(docs: DataFrame, block: Block, text_col: str) -> dict[int, int]:
-    """How often all documents hold each run of the block, added up in the tasks first."""
+    """How often all documents hold each seed of the block, added up in the tasks first."""
     names = np.unique(block.runs)
 
     def count(batches):
@@ -166,10 +207,11 @@ def count_runs(docs: DataFrame, block: Block, text_col: str) -> dict[int, int]:
         for batch in batches:
             for _, data, cuts in textops.chunks(batch.column(0)):
                 hashes, firsts, _, _ = hasher.words(data, cuts)
-                _, _, code = textops.windows(hashes, firsts, SEED)
-                code = code[maybe[(code & np.uint64((1 << 22) - 1)).astype(np.int64)]]
-                at = np.minimum(np.searchsorted(names, code), max(0, len(names) - 1))
-                total += np.bincount(at[names[at] == code], minlength=len(names))
+                for step in block.steps:
+                    _, _, code = pairs(hashes, firsts, step)
+                    code = code[maybe[(code & np.uint64((1 << 22) - 1)).astype(np.int64)]]
+                    at = np.minimum(np.searchsorted(names, code), max(0, len(names) - 1))
+                    total += np.bincount(at[names[at] == code], minlength=len(names))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(names[some].astype(np.int64)), pa.array(total[some])], names=["run", "n"])
 
@@ -179,9 +221,9 @@ def count_runs(docs: DataFrame, block: Block, text_col: str) -> dict[int, int]:
     return {r["run"]: r["n"] for r in counted.groupBy("run").agg(F.sum("n").alias("n")).collect()}  # at most the block's runs
 
 
-def _seeded(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, item_text_col: str):
+def _seeded(docs: DataFrame, benchmark: DataFrame, threshold: float, item_col: str, text_col: str, item_text_col: str):
     small_batches(docs.sparkSession)
-    for block in blocks(docs.sparkSession, benchmark, item_col, item_text_col):
+    for block in blocks(docs.sparkSession, benchmark, item_col, item_text_col, threshold):
         block.choose(count_runs(docs, block, text_col))
         yield block
 
@@ -193,12 +235,11 @@ def find(
     """One row per document row and test item found in it: doc_id, item_id, score, start_word, end_word.
 
     Words are numbered from 0; ``end_word`` is behind the last.  Null and empty texts
-    and items have no words and are never found.  Items with fewer than three words are
-    one run.  Repeated rows repeat their answer.  Other columns are ignored.
+    and items have no words and are never found.  Repeated rows repeat their answer.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], FOUND)
-    for block in _seeded(docs, benchmark, item_col, text_col, item_text_col):
+    for block in _seeded(docs, benchmark, threshold, item_col, text_col, item_text_col):
 
         def search(batches, block=block):
             finder = Finder(block, threshold)
@@ -220,7 +261,7 @@ def drop_leaks(
 ) -> DataFrame:
     """The rows of docs that hold no test item, with all columns and repeats; nothing is joined or moved."""
     at, out = docs.columns.index(text_col), docs
-    for block in _seeded(docs, benchmark, item_col, text_col, item_text_col):
+    for block in _seeded(docs, benchmark, threshold, item_col, text_col, item_text_col):
 
         def keep(batches, block=block):
             finder = Finder(block, threshold)

@@ -227,6 +227,32 @@ def test_edited_leaks_and_odd_rows(spark, odd, none):
     assert decontaminate.find(none, tests).count() == 0
 
 
+def test_leaks_where_only_edited_copies_stand(spark):
+    """No seed of the items need be whole anywhere: every passage that reaches the threshold is found."""
+    rng = np.random.default_rng(5)
+    items = [[f"i{k}w{rng.integers(0, 60)}" if rng.random() < 0.7 else f"c{rng.integers(0, 8)}" for _ in range(n)] for k, n in enumerate(rng.integers(8, 60, 60))]
+    rows = []
+    for k, words in enumerate(items):
+        share = rng.uniform(0.05, 0.35)
+        own = [w if rng.random() > share else f"x{rng.integers(0, 10**9)}" for w in words]
+        thirds = [w if i % 3 < 2 else "other" for i, w in enumerate(words)]  # no three words in a row are left
+        put = [x for i, w in enumerate(words) for x in ([w, "more"] if i % 2 else [w])]
+        apart = [x for w in words for x in (w, "and")]
+        rows += [["c1", "c2"] * int(rng.integers(0, 30)) + x + ["c3"] * 9 for x in (own, thirds, put, apart)]
+    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find(table, tests).collect()}
+    want = {}
+    for k, words in enumerate(items):
+        for i in range(4 * k, 4 * k + 4):
+            names = {w: j for j, w in enumerate(dict.fromkeys(words + rows[i]))}
+            score = decontaminate.align(np.array([names[w] for w in words]), np.array([names[w] for w in rows[i]]))[0] / len(words)
+            if score >= 0.5:
+                want[i, k] = score
+    assert len(want) > 150 and {g: s for g, s in got.items() if g[0] // 4 == g[1]} == pytest.approx(want)
+    assert not set(decontaminate.drop_leaks(table, tests).toPandas()["doc_id"]) & {i for i, _ in want}
+
+
 # --- packing
 
 

@@ -36,7 +36,7 @@ STEPS = (1, 2)
 LOSS = 0.75
 THRESHOLD = 0.5
 COST = 0.5
-#: An item with fewer words counts only where it is most of the document.
+#: An item with fewer words counts, where it is less than half of the document, only word for word.
 MIN_WORDS = 8
 #: Words of the items in a block: about 60 MB in each task.
 BLOCK_WORDS = 1_000_000
@@ -160,7 +160,9 @@ class Finder:
             passage, _, _ = textops.multiset(np.cumsum(new) - 1, place)
             held = np.bincount(passage, minlength=len(starts))
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
-            for i in np.flatnonzero(held >= block.need[item[starts]]):
+            n = block.sizes[item[starts]]
+            whole = (n < MIN_WORDS) & (np.diff(firsts)[text[starts]] > 2 * n)
+            for i in np.flatnonzero(held >= np.where(whole, block.seeds[item[starts]], block.need[item[starts]])):
                 t, k = int(text[starts[i]]), int(item[starts[i]])
                 n = len(block.words[k])
                 low = max(int(firsts[t]), int(begin[starts[i]]) - n)  # at most n words are put in
@@ -174,12 +176,11 @@ class Finder:
 
     def judge(self, item, passage, text_words: int):
         n = len(item)
-        if n < MIN_WORDS and text_words > 2 * n:
-            return None
-        if reachable(item, passage) < self.threshold:
+        threshold = max(1.0, self.threshold) if n < MIN_WORDS and text_words > 2 * n else self.threshold
+        if reachable(item, passage) < threshold:
             return None
         best, end = align(item, passage)
-        if best / n < self.threshold:
+        if best / n < threshold:
             return None
         back, length = align(item[::-1], passage[:end][::-1])
         return best / n, end - length, end

@@ -253,6 +253,17 @@ def test_leaks_where_only_edited_copies_stand(spark):
     assert not set(decontaminate.drop_leaks(table, tests).toPandas()["doc_id"]) & {i for i, _ in want}
 
 
+def test_short_items_stand_word_for_word_in_long_texts(spark):
+    items = [(1, "What is the capital of France?"), (2, "Paris"), (3, "Who wrote Hamlet"), (4, "yes it is, it is")]
+    filler = " and so it went on" * 20
+    rows = [(1, f"{filler} what is the capital of FRANCE {filler}"), (2, f"{filler} what is the big capital of France {filler} Parisian"), (3, f"in Paris {filler}")]
+    rows += [(4, f"who wrote Hamlet, they asked {filler} yes it is it is"), (5, "who wrote hamlet"), (6, f"who else wrote Hamlet {filler}")]
+    table, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.find(table, tests).collect()]
+    assert sorted(got) == [(1, 1, 1.0), (3, 2, 1.0), (4, 3, 1.0), (4, 4, 1.0), (5, 3, 1.0)]
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(table, tests).collect()] == [2, 6]
+
+
 # --- packing
 
 

@@ -5,6 +5,11 @@ whole text.  A unit of b distinct bigrams can only reach the coefficient t with
 template of n bigrams if ``n*t/(2-t) <= b <= n*(2-t)/t``; units and templates
 outside these bounds never meet, and a unit without any of the templates' key words
 is left at once.  The others meet on their bigrams, against a table of fixed size.
+
+A notice that is part of a longer line, or wrapped over lines of a longer paragraph,
+is found in runs of words of the whole text, from one bigram of a template to another.
+Of runs that overlap the best one counts.  Runs speak for licences of which no line,
+paragraph or whole text has a notice; they also meet the texts of licences.
 """
 
 from __future__ import annotations
@@ -59,6 +64,42 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+_GNU = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} General Public License"
+    " as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the"
+    " following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of"
+    " conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,"
+    " this list of conditions and the following disclaimer in the documentation and/or other materials provided with the"
+    " distribution."
+)
+#: Texts of licences (fixed values), for runs of words only.
+TEXTS = [
+    ("AGPL-3.0", _GNU.format("program", ":", "Affero", "3")),
+    ("BSD-2-Clause", _BSD),
+    (
+        "BSD-3-Clause",
+        _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
+        " products derived from this software without specific prior written permission.",
+    ),
+    ("GPL-2.0", _GNU.format("program", ";", "", "2")),
+    ("GPL-3.0", _GNU.format("program", ":", "", "3")),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+        " granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    ("LGPL-2.1", _GNU.format("library", ";", "Lesser", "2.1")),
+    ("LGPL-3.0", _GNU.format("program", ":", "Lesser", "3")),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
+        " distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+]
+
 THRESHOLD = 0.8
 
 
@@ -98,19 +139,99 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
 
+def runs(rows: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """Runs of words that reach the threshold with a template, the best of each place: id, unit, license, dice, run.
+
+    Rows have id and text.  A run begins and ends with a bigram of the template.  Its
+    template bigrams count once, each other bigram as often as it stands there.
+    """
+    known, spans = [], []
+    for i, (_, notice) in enumerate(templates):
+        grams = bigrams_of(notice)
+        length = len(re.findall("[a-z0-9]+", notice.lower())) - 1
+        spans.append((len(grams), bounds(len(grams), threshold)[0], bounds(length, threshold)[1]))
+        known += [(g, i, k) for k, g in enumerate(grams)]
+    table = rows.sparkSession.createDataFrame(known, "t_gram string, template int, g int")
+    # a bigram meets all templates that have it at once
+    table = table.groupBy("t_gram").agg(F.collect_list(F.struct("template", "g")).alias("of"))
+    text, words = F.col("text"), F.col("words")
+    keys = key_words(templates, threshold)
+    per = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in spans]), F.col("template") + 1)
+    pairs = F.zip_with(
+        F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b)
+    )
+    hits = (
+        rows.where(text.isNotNull() & _has_key(text, keys))
+        .select("id", F.xxhash64("text").alias("copy"), _words(text).alias("words"))
+        .where(F.size(words) > 1)
+        .select("id", "copy", F.posexplode(pairs).alias("pos", "gram"))
+        .join(F.broadcast(table), F.col("gram") == F.col("t_gram"))
+        .select("id", "copy", "pos", F.explode("of").alias("of"))
+        .groupBy("id", "copy", "of.template")
+        .agg(F.sort_array(F.collect_set(F.struct("pos", F.col("of.g").alias("g")))).alias("hits"))
+        .withColumns({"size": per(0), "low": per(1), "span": per(2)})
+        .where(F.size("hits") >= F.col("low"))
+    )
+    pos = lambda i: F.get("hits", i)["pos"]
+    # places from which enough bigrams of the template stand close together
+    starts = F.filter(F.sequence(F.lit(0), F.size("hits") - F.col("low")), lambda i: pos(i + F.col("low") - 1) - pos(i) < F.col("span"))
+
+    def best_from(i: Column) -> Column:
+        within = F.filter(F.slice("hits", i + 1, F.col("span")), lambda h: h["pos"] - pos(i) < F.col("span"))
+        nothing = F.struct(F.lit(0.0).alias("dice"), F.lit(0).alias("shared"), F.lit(0).alias("end"))
+
+        def add(acc: Column, h: Column) -> Column:
+            seen = F.array_union(acc["seen"], F.array(h["g"]))
+            n = acc["n"] + 1
+            # the run's length less its repeated template bigrams
+            dice = 2.0 * F.size(seen) / (h["pos"] - pos(i) + 1 - (n - F.size(seen)) + F.col("size"))
+            here = F.struct(dice.alias("dice"), F.size(seen).alias("shared"), h["pos"].alias("end"))
+            return F.struct(n.alias("n"), seen.alias("seen"), F.greatest(acc["best"], here).alias("best"))
+
+        first = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("seen"), nothing.alias("best"))
+        return F.aggregate(within, first, add, lambda acc: acc["best"])
+
+    ranked = F.transform(
+        starts,
+        lambda i: F.transform(
+            F.array(best_from(i)),
+            lambda b: F.struct(
+                (-b["dice"]).alias("less"), (-b["shared"]).alias("fewer"), F.col("template"), pos(i).alias("start"), b["end"].alias("end"),
+                F.xxhash64(F.transform(F.filter("hits", lambda h: h["pos"].between(pos(i), b["end"])), lambda h: h["g"])).alias("unit"),
+            ),
+        )[0],
+    )
+    each = hits.select("id", "copy", F.explode(F.filter(ranked, lambda r: -r["less"] >= threshold)).alias("r"))
+    # a run of words a to b has the bigrams a to b - 1, so runs without a common word are two bigrams apart
+    apart = lambda kept, r: F.forall(kept, lambda k: (k["end"] + 1 < r["start"]) | (r["end"] + 1 < k["start"]))
+    chosen = each.groupBy("id", "copy").agg(F.sort_array(F.collect_set("r")).alias("all")).select(
+        "id",
+        F.explode(
+            F.aggregate("all", F.slice("all", 1, 0), lambda kept, r: F.when(apart(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
+        ).alias("r"),
+    )
+    names = F.array(*[F.lit(name) for name, _ in templates])
+    return chosen.select(
+        "id", F.xxhash64("r.template", "r.unit").alias("unit"), F.element_at(names, F.col("r.template") + 1).alias("license"),
+        (-F.col("r.less")).alias("dice"), F.lit(True).alias("run"),
+    )
+
+
 def scan(
     docs: DataFrame,
     templates: list[tuple[str, str]] = TEMPLATES,
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
+    texts: list[tuple[str, str]] = TEXTS,
 ) -> DataFrame:
     """One row per document and licence found: id, license, dice, units.
 
     ``dice`` is the best coefficient of a unit with a notice of that licence, and
     ``units`` the number of different units for which a notice of that licence is
     the best one (of equal ones the first template).  Null and empty texts have no
-    licence.  Rows that repeat id and text count once.  Other columns are ignored.
+    licence.  A licence without such a unit is found by runs of words, which also meet
+    ``texts``; then these are its units.  Rows that repeat id and text count once.  Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = []
@@ -156,9 +277,13 @@ def scan(
     best = met.groupBy("id", "unit").agg(
         F.max(F.struct(F.col("dice"), -F.col("template"), F.col("license"))).alias("best")
     )
-    return (
-        best.groupBy(F.col("id").alias(id_col), F.col("best.license").alias("license"))
-        .agg(F.max("best.dice").alias("dice"), F.count("*").alias("units"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = best.select("id", "unit", F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), F.lit(False).alias("run"))
+    found = found.unionByName(runs(rows, [*templates, *texts], threshold))
+    own = ~F.col("run")
+    return found.groupBy(F.col("id").alias(id_col), "license").agg(
+        F.coalesce(F.max(F.when(own, F.col("dice"))), F.max("dice")).alias("dice"),
+        F.when(F.max(own), F.count(F.when(own, 1))).otherwise(F.count_distinct("unit")).alias("units"),
     )
 
 

@@ -453,6 +453,22 @@ def test_licences_of_odd_rows(spark, odd, none):
     assert license_scan.scan(odd).count() == license_scan.scan(none).count() == 0
 
 
+def test_licences_inside_longer_lines_and_paragraphs(spark):
+    bsd = dict(license_scan.TEXTS)["BSD-3-Clause"]
+    rows = [
+        (1, "Released under the MIT License. Copyright 2024 The Authors."),
+        (2, "This project is released under the MIT License, see the file LICENSE."),
+        (3, "All of this text is ours and was\nlicensed under the Apache\nLicense, Version 2.0. Have a good time with all of the rest."),
+        (4, f"Copyright 2024 The Authors. All rights reserved. {bsd} THIS SOFTWARE IS PROVIDED AS IS, and so on, for the rest of the text."),
+        (5, "This work is licensed under the GNU General Public License, version 3. It is of the world, and to the world it goes."),
+        (6, "The license of the work is not known, and the work is under the table."),
+        (7, "Well, it is released under the MIT License and then some of it is licensed under CC BY-NC 4.0. That is all."),
+    ]
+    got = {(r["doc_id"], r["license"]): (r["dice"], r["units"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = [(1, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (4, "BSD-3-Clause"), (5, "GPL-3.0"), (7, "CC-BY-NC-4.0"), (7, "MIT")]
+    assert got == {k: (1.0, 1) for k in want}
+
+
 def test_key_words_lose_no_unit():
     rng = np.random.default_rng(8)
     keys = license_scan.key_words(license_scan.TEMPLATES, 0.8)

@@ -443,6 +443,25 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
+def test_relative_and_further_links(spark):
+    rows = [
+        (1, "http://a.com/en/x", None),
+        (2, "http://a.com/new/login.html", '<meta http-equiv="refresh" content="0; url=../en/x">'),
+        (3, "http://a.com/en/y", None),
+        (4, "https://www.a.com/p/q?z", '<link rel="canonical" href="./r/../../../en/./y#top">'),
+        (5, "http://b.org/1", '<link rel="canonical" href="/self"><link rel="canonical" href="http://a.com/en/x">'),
+        (6, "http://b.org/2", '<meta http-equiv="refresh" content="9;url=?a"><meta http-equiv="refresh" content="9;url=http://a.com/en/x">'),
+        (7, "http://a.com", '<meta http-equiv="refresh" content="0; url=en/x">'),
+        (8, "http://c.io/d/", '<meta http-equiv="refresh" content="0; url=e?next=http://a.com/en/x">'),
+        (9, "http://c.io/d/e", '<link rel="canonical" href="mailto:x@a.com">'),
+        (10, "http://d.io/a/../b", '<link rel="canonical" href="http://a.com/en/x">'),
+        (11, "http://d.io/c", '<link rel="canonical" href="http://d.io/a/../b">'),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["component"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, (verdict, _) in got.items() if verdict == "block"} == {1, 2, 3, 4, 5, 6, 7, 10, 11}
+    assert got[2][1] == got[1][1] and got[4][1] == got[3][1] and got[8] == got[9] == ("allow", "c.io/d")
+
+
 # --- licences
 
 

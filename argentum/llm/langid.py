@@ -20,10 +20,8 @@ from argentum.llm.common import small_batches
 
 WINDOW = 128
 EMBED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
-#: Labelled texts from which the network learns, on average, shared evenly among languages.
+#: Labelled texts from which the network learns, on average, shared evenly among languages, one of each at least.
 SAMPLE = 3200
-#: Languages that it tells apart: the most frequent ones.
-LANGUAGES = 200
 STEPS, BATCH = 900, 64
 #: Windows that one pass over the network holds.
 SLICE = 256
@@ -118,18 +116,22 @@ def learn(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps:
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Learn from about ``sample`` labelled texts, drawn by a hash of the id; None if there are none.
 
-    Only these texts come to the driver.
+    Every language has one at least.  Only these texts come to the driver.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where("id is not null and text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()  # a row for each language
     if not sizes:
         return None
     each = max(1.0, sample / len(sizes))
-    draw = F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    shares = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], each / r["n"])])
-    got = rows.where(draw < shares[F.col("lang")]).select("id", "lang", "text").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    shares = docs.sparkSession.createDataFrame([(r["lang"], each / r["n"], r["least"]) for r in sizes], "of string, share double, least double")
+    got = (
+        rows.join(shares, F.col("lang") == F.col("of"))
+        .where((draw < F.col("share")) | (draw == F.col("least")))
+        .select("id", "lang", "text").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    )
     languages = sorted(set(got.column("lang").to_pylist()))
     if not languages:
         return None

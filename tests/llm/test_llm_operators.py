@@ -389,6 +389,12 @@ def test_held_out_languages(docs):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95
 
 
+def test_every_language_is_learned(spark):
+    rows = [(i, f"wort{i % 230} satz{i % 230}", f"l{i % 230:03d}") for i in range(230 * 3)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=300)
+    assert net.languages == [f"l{k:03d}" for k in range(230)]
+
+
 def test_languages_of_odd_rows(odd, none):
     net = langid.fit(odd, sample=50)
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(odd, net).collect()}

@@ -8,8 +8,9 @@ compared, never digests alone:
    is spread over as many tasks as the shuffle has partitions;
 3. across the salts of a digest, where at most one row per salt is left.
 
-Decisions flow back along ids (row -> batch winner -> salt winner -> row that
-stays), so no text moves a second time for them.
+A digest that two different texts share ends the job; so, once the texts have been
+compared, a digest names one text, and decisions go back to rows by digest and
+salt: no text moves a second time, and the order in which rows are read doesn't matter.
 """
 
 from __future__ import annotations
@@ -22,14 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from argentum.llm.common import salt, salts, small_batches
+from argentum.llm.common import materialise, salt, salted_lookup, salts, small_batches
 
 #: Bytes that do not count: space, and tab to carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
 BLANK_CLASS = "[\\x20\\x09-\\x0D]"
 
-LOCAL_SCHEMA = "id long, points long, sha string, win_id long, win_points long, n long, body binary"
-
 
 def _winners(ids: pa.Array, texts: pa.Array):
     """(ids, bodies, code points, winner's row of each body, rows of each body) of a batch."""
@@ -48,22 +47,28 @@ def _winners(ids: pa.Array, texts: pa.Array):
 
 
 def _fold_batch(batches):
-    """For each row its batch winner; only a winner carries text and count."""
+    """The winner of each text of a batch, with its text and the number of rows."""
     for batch in batches:
-        ids, bodies, points, best, count = _winners(batch.column(0), batch.column(1))
-        sha = {b: hashlib.sha256(b).hexdigest() for b in best}
-        winner = [best[b] for b in bodies]
+        ids, _, points, best, count = _winners(batch.column(0), batch.column(1))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(ids, pa.int64()),
-                pa.array(points, pa.int64()),
-                pa.array([sha[b] for b in bodies], pa.string()),
-                pa.array([ids[w] for w in winner], pa.int64()),
-                pa.array([points[w] for w in winner], pa.int64()),
-                pa.array([count[b] if w == i else 0 for i, (w, b) in enumerate(zip(winner, bodies))], pa.int64()),
-                pa.array([b if w == i else None for i, (w, b) in enumerate(zip(winner, bodies))], pa.binary()),
+                pa.array([ids[i] for i in best.values()], pa.int64()),
+                pa.array([points[i] for i in best.values()], pa.int64()),
+                pa.array([hashlib.sha256(b).digest() for b in best], pa.binary()),
+                pa.array([count[b] for b in best], pa.int64()),
+                pa.array(list(best), pa.binary()),
             ],
-            names=["id", "points", "sha", "win_id", "win_points", "n", "body"],
+            names=["id", "points", "sha", "n", "body"],
+        )
+
+
+def _digest_rows(batches):
+    """id, code points and digest of each row."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
+        sha = [hashlib.sha256(t.translate(None, BLANKS)).digest() for t in texts.cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pc.utf8_length(texts).cast(pa.int64()), pa.array(sha, pa.binary())], names=["id", "points", "sha"]
         )
 
 
@@ -73,54 +78,39 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Texts are equal when identical without the characters of ``[\\x20\\x09-\\x0D]``;
     null counts as empty, and all empty texts are one group.  The row with the
     most code points stays, then the one with the smallest id (a null id comes
-    last).  Rows that repeat both id and text share their decision.  An empty
-    table gives an empty result; other columns are ignored.  ``docs`` is read twice and
-    must have its rows in the same order both times, as a written table has.
+    last).  Rows that repeat both id and text share their decision.  Texts may be of any
+    length.  An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    n = salts(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    local = rows.mapInArrow(_fold_batch, LOCAL_SCHEMA)
 
     # salted digest groups: one window over whole texts
-    won = local.where("body is not null").select(
-        "id", "points", "sha", "n", "body", salt("id", salts(spark)).alias("salt")
-    )
+    won = rows.mapInArrow(_fold_batch, "id long, points long, sha binary, n long, body binary").withColumn("salt", salt("id", n))
     group = Window.partitionBy("sha", "salt", "body")
     order = group.orderBy(F.desc("points"), F.asc_nulls_last("id"))
-    # of a salted group one row goes on, with the ids it stands for: batch winners
-    # only, so a list is as long as a task has batches of that text
-    salted = won.select(
-        "*",
-        F.row_number().over(order).alias("place"),
-        F.sum("n").over(group).alias("rows"),
-        F.collect_list(F.struct("id", "points")).over(group).alias("stands_for"),
-    ).where("place = 1")
+    salted = won.select("*", F.row_number().over(order).alias("place"), F.sum("n").over(group).alias("rows")).where("place = 1")
 
     # salt winners: at most one row per salt and text
     group = Window.partitionBy("sha", "body")
     order = group.orderBy(F.desc("points"), F.asc_nulls_last("id"))
-    links = (
-        salted.select("id", "points", "sha", "body", "rows", "stands_for")
-        .select(
-            F.col("sha").alias("l_sha"),
-            "stands_for",
-            F.first("id").over(order).alias("keep_id"),
-            F.first("points").over(order).alias("keep_points"),
-            F.sum("rows").over(group).alias("group_size"),
-        )
-        .select("l_sha", "keep_id", "keep_points", "group_size", F.explode("stands_for").alias("from"))
-        .select("l_sha", F.col("from.id").alias("from_id"), F.col("from.points").alias("from_points"), "keep_id", "keep_points", "group_size")
-        .dropDuplicates(["l_sha", "from_id", "from_points"])
+    told = (
+        salted.select("sha", "id", "points", F.row_number().over(order).alias("place"), F.sum("rows").over(group).alias("group_size"))
+        .where("place = 1")
+        .select("sha", F.col("id").alias("keep_id"), F.col("points").alias("keep_points"), "group_size")
     )
-    return local.select("id", "points", "sha", "win_id", "win_points").join(
-        links, (F.col("sha") == F.col("l_sha")) & F.col("win_id").eqNullSafe(F.col("from_id")) & (F.col("win_points") == F.col("from_points"))
-    ).select(
+    clash = F.when(F.count("*").over(Window.partitionBy("sha")) > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("long"))
+    told = told.withColumn("group_size", F.coalesce(clash, "group_size"))
+
+    # rows hear the answer of their digest, through salts again
+    own = materialise(rows.mapInArrow(_digest_rows, "id long, points long, sha binary"), "digests")
+    return salted_lookup(own, "sha", "id", told).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
         "points",
     )
 
@@ -133,9 +123,10 @@ def body(text: Column) -> Column:
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, each once, with all columns of docs.
 
-    See ``copies`` for which row of a group stays; the same three steps are taken here
-    with whole rows, so none is looked up again.  Whole repeats of the row that
-    stays are dropped as well.
+    See ``copies`` for which row of a group stays, for nulls, empty and very long texts; the
+    same three steps are taken here with whole rows, so none is looked up again.  Repeats
+    of the row that stays are dropped as well.  An empty table gives an empty result.
+    Other columns may have any name that does not begin with ``_k_``.
     """
     spark = docs.sparkSession
     small_batches(spark)

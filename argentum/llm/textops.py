@@ -6,6 +6,8 @@ lower case.  Hashes are the same on every machine.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,9 @@ CHUNK_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
 BASE_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+#: A second polynomial, modulo a prime: what cancels modulo 2**64 does not cancel here.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_234_567_891
+LONG = 1 << 24
 WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 
 
@@ -25,6 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    """base**0, base**1, ... modulo PRIME, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < size:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), PRIME)) % np.uint64(PRIME)])
+    return out[:size]
+
+
 class Hasher:
     """Tables for chunks up to a length; they grow to the longest text seen."""
 
@@ -37,6 +50,8 @@ class Hasher:
             with np.errstate(over="ignore"):
                 self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, BASE)]))
                 self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, BASE_INVERSE)]))
+            self.prime_up = _prime_powers(PRIME_BASE, size)
+            self.prime_down = _prime_powers(pow(PRIME_BASE, -1, PRIME), size)
         return self.up, self.down
 
     def words(self, data: np.ndarray, cuts: np.ndarray):
@@ -61,10 +76,37 @@ class Hasher:
         """A hash of the bytes of each span [a, b), which depends on nothing else."""
         n = len(data)
         up, down = self.powers(n + 1)
+        value = data.astype(np.uint64) + np.uint64(1)
+        sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-            return mix((sums[b] - sums[a]) * down[a] + ODD * (b - a).astype(np.uint64))
+            np.cumsum(value * up[:n], out=sums[1:])
+            code = mix((sums[b] - sums[a]) * down[a] + ODD * (b - a).astype(np.uint64))
+            # terms below 2**40, so sums over LONG bytes fit; longer ones are reduced first
+            terms = value * self.prime_up[:n]
+            np.cumsum(terms % np.uint64(PRIME) if n > LONG else terms, out=sums[1:])
+            rest = (sums[b] - sums[a]) % np.uint64(PRIME) * self.prime_down[a] % np.uint64(PRIME)
+            return mix(code + ODD * rest)
+
+
+def word_digests(data: np.ndarray, cuts: np.ndarray, a: np.ndarray, b: np.ndarray, firsts: np.ndarray):
+    """(first, second) halves of a 128-bit BLAKE2 digest of each text's words, in order; a, b: their bytes.
+
+    Texts have equal digests when their words are the same: what stands between words does
+    not count.
+    """
+    inked = np.zeros(len(data) + 1, np.int32)
+    inked[a] += 1
+    inked[b] -= 1
+    inked = np.cumsum(inked[:-1]) > 0  # bytes of words; words that touch at a cut stay apart by text
+    kept = inked.copy()
+    after = b[b < len(data)]
+    kept[after] = True  # one byte behind each word parts it from the next
+    raw = np.where(inked, data, 32).astype(np.uint8)[kept].tobytes()
+    at = np.concatenate([[0], np.cumsum(kept)])[cuts]
+    out = np.zeros((len(cuts) - 1, 2), np.int64)
+    for i, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())):
+        out[i] = np.frombuffer(hashlib.blake2b(raw[x:y].strip(b" "), digest_size=16).digest(), "<i8")
+    return out[:, 0], out[:, 1]
 
 
 def chunks(texts: pa.Array, lower: bool = True):

@@ -8,9 +8,8 @@
    finds the fullest sum, and backtracking gives the count of each length.  A
    pattern is used as often as the counts allow, so the plan stays as small as the
    histogram.
-3. Pieces of a length are numbered, within salts first, and the plan says which
-   window and offset a number gets: a join with a table whose size the capacity
-   bounds.
+3. Pieces of a length are numbered, within salts first, and the plan, whose size the
+   capacity bounds, says which window and offset a number gets: a binary search.
 """
 
 from __future__ import annotations
@@ -22,14 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from argentum.llm.common import materialise, salts, small_batches
 
 CAPACITY = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Parts into which the pieces of one length are dealt for numbering, at most.
-MAX_SALTS = 256
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -145,33 +143,40 @@ def _plan_rows(windows):
     return rows
 
 
+def _placing(windows: list[tuple], columns: list[str]):
+    """Puts the pieces of Arrow batches, numbered in their last column, into the plan's windows."""
+    length, first, end, copies, window, offset = np.array(sorted(windows), np.int64).reshape(-1, 6).T
+    spread = int(end.max(initial=0)) + 1  # numbers of one length lie below
+    starts = length * spread + first
+
+    def place(batches):
+        for batch in batches:
+            own = batch.column(columns.index("length")).to_numpy()
+            number = batch.column(len(columns)).to_numpy()
+            at = np.searchsorted(starts, own * spread + number, "right") - 1
+            nth = number - first[at]
+            found = pa.array(window[at] + nth // copies[at]), pa.array(offset[at] + nth % copies[at] * own)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*columns, "sequence_id", "offset"])
+
+    return place
+
+
 def assign(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces_ with sequence_id and offset; pieces_ must be a written table."""
-    spark = pieces_.sparkSession
-    salted = pieces_.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(min(MAX_SALTS, salts(spark)))).cast("int"))
+    n = salts(pieces_.sparkSession)
+    salted = pieces_.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n)).cast("int"))
     parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
-    rows = _plan_rows(plan(counts, capacity))
-    windows = spark.createDataFrame(
-        rows, "w_length long, w_first long, w_end long, w_copies long, w_window long, w_offset long"
-    )
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = parts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "start")
     numbered = (
         salted.withColumn("_place", F.row_number().over(order))
         .join(firsts, ["length", "_salt"])
-        .withColumn("_number", F.col("_place") + F.col("_before") - 1)
-    )
-    place = F.col("_number") - F.col("w_first")
-    return numbered.join(
-        F.broadcast(windows),
-        (F.col("length") == F.col("w_length")) & (F.col("_number") >= F.col("w_first")) & (F.col("_number") < F.col("w_end")),
-    ).select(
-        *pieces_.columns,
-        (F.col("w_window") + F.floor(place / F.col("w_copies"))).cast("long").alias("sequence_id"),
-        (F.col("w_offset") + F.pmod(place, F.col("w_copies")) * F.col("length")).cast("long").alias("offset"),
+        .select(*pieces_.columns, (F.col("_place") + F.col("_before") - 1).cast("long").alias("_number"))
     )
+    schema = StructType([*pieces_.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return numbered.mapInArrow(_placing(_plan_rows(plan(counts, capacity)), pieces_.columns), schema)
 
 
 def pack(docs: DataFrame, with_ids: bool = False, capacity: int = CAPACITY, **options) -> DataFrame:

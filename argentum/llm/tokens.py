@@ -4,7 +4,9 @@ A text is cut where the tokenizer itself always cuts: at ASCII white space, and
 between an ASCII letter or digit and punctuation that cannot begin a contraction
 or a special token.  Ids of a part are then the same wherever it stands, so each
 worker keeps those of the parts it has met and calls the tokenizer for new ones
-only.  What it keeps is bounded and never changes a result.
+only.  Parts are looked up by a hash and then compared byte by byte: parts that
+only share a hash are kept under their bytes.  What a worker keeps is bounded and never
+changes a result.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ import pyarrow as pa
 
 from argentum.llm import textops
 
-#: Parts whose ids a worker keeps before it starts afresh.
-KEPT = 1 << 20
+#: Parts whose ids a worker keeps before it starts afresh, and their bytes.
+KEPT, KEPT_BYTES = 1 << 20, 1 << 26
 OTHER, SPACE, LETTER, POINT = range(4)
 _KIND = np.full(256, OTHER, np.uint8)
 _KIND[list(b" \t\n\x0b\x0c\r")] = SPACE
@@ -57,20 +59,31 @@ class Encoder:
     def _forget(self):
         self.known = np.zeros(0, np.uint64)  # hashes in order, and the slot of each
         self.slots = np.zeros(0, np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1, np.int64)
-
-    def _learn(self, hashes: np.ndarray, strings: list[str]):
-        """Keep the ids of new parts, whose hashes are in order."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-        ends = self.first[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        while ends[-1] > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.first[-1] : ends[-1]] = list(itertools.chain.from_iterable(found))
-        at = np.searchsorted(self.known, hashes)
-        self.slots = np.insert(self.slots, at, len(self.first) - 1 + np.arange(len(hashes)))
-        self.known = np.insert(self.known, at, hashes)
+        self.others: dict[bytes, int] = {}  # slots of parts whose hash another part has
+        self.pool, self.first = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+        self.text, self.begin = np.zeros(1 << 18, np.uint8), np.zeros(1, np.int64)
+
+    def _learn(self, parts_: list[bytes]) -> np.ndarray:
+        """Keep the ids and bytes of new parts; their slots."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in parts_], add_special_tokens=False)]
+        self.pool, ends = _append(self.pool, self.first, list(itertools.chain.from_iterable(found)), [len(x) for x in found])
         self.first = np.concatenate([self.first, ends])
+        self.text, ends = _append(self.text, self.begin, np.frombuffer(b"".join(parts_), np.uint8), [len(p) for p in parts_])
+        self.begin = np.concatenate([self.begin, ends])
+        return len(self.first) - 1 - len(parts_) + np.arange(len(parts_))
+
+    def _differ(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Parts [a, b) whose bytes are not those kept in their slot."""
+        size = b - a
+        wrong = self.begin[slot + 1] - self.begin[slot] != size
+        same = np.flatnonzero(~wrong)
+        own = size[same]
+        starts = np.cumsum(own) - own
+        step = np.arange(own.sum()) - np.repeat(starts, own)
+        unlike = data[step + np.repeat(a[same], own)] != self.text[step + np.repeat(self.begin[slot[same]], own)]
+        if unlike.any():
+            wrong[same] = np.logical_or.reduceat(unlike, starts)
+        return np.flatnonzero(wrong)
 
     def ids(self, data: np.ndarray, cuts: np.ndarray):
         """(ids, offset of each text and the end) of texts that lie at ``cuts``."""
@@ -78,7 +91,7 @@ class Encoder:
         if not len(a):
             return np.zeros(0, np.uint32), np.zeros(len(cuts), np.int64)
         hashes, at, back = np.unique(self.hasher.spans(data, a, b), return_index=True, return_inverse=True)
-        if len(self.known) > KEPT:
+        if len(self.first) > KEPT or self.begin[-1] > KEPT_BYTES:
             self._forget()
         place = np.searchsorted(self.known, hashes)
         here = place < len(self.known)
@@ -86,16 +99,33 @@ class Encoder:
         new = np.flatnonzero(~here)
         if len(new):
             raw = data.tobytes()
-            spans = zip(a[at[new]].tolist(), b[at[new]].tolist())
-            self._learn(hashes[new], [raw[x:y].decode("utf-8") for x, y in spans])
+            slots = self._learn([raw[x:y] for x, y in zip(a[at[new]].tolist(), b[at[new]].tolist())])
+            self.slots = np.insert(self.slots, place[new], slots)
+            self.known = np.insert(self.known, place[new], hashes[new])
             place = np.searchsorted(self.known, hashes)
         slot = self.slots[place][back]
+        wrong = self._differ(data, a, b, slot)
+        if len(wrong):
+            spans = [data[x:y].tobytes() for x, y in zip(a[wrong].tolist(), b[wrong].tolist())]
+            fresh = sorted({p for p in spans if p not in self.others})
+            if fresh:
+                self.others.update(zip(fresh, self._learn(fresh).tolist()))
+            slot[wrong] = [self.others[p] for p in spans]
         begin, size = self.first[slot], self.first[slot + 1] - self.first[slot]
         ends = np.cumsum(size)
         take = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
         return self.pool[take], np.concatenate([[0], ends])[firsts]
 
 
+def _append(pool: np.ndarray, ends: np.ndarray, values, sizes: list[int]):
+    """(pool with values behind what it holds, their ends)."""
+    added = ends[-1] + np.cumsum(np.array(sizes, np.int64))
+    while added[-1] > len(pool):
+        pool = np.concatenate([pool, np.zeros_like(pool)])
+    pool[ends[-1] : added[-1]] = values
+    return pool, added
+
+
 @functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """The worker's encoder: tasks that follow each other in a worker share what it has met."""

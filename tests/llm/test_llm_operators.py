@@ -576,3 +576,37 @@ def test_stages_keep_columns_and_clean_rows(spark, docs, tmp_path):
         sizes.append(docs.count())
     assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > sizes[4] > 0.7 * sizes[0]
     assert json.dumps(sizes)
+
+
+# --- hashes decide nothing alone
+
+
+def thue_morse(x, y, turns=11):
+    """Two different words that every polynomial modulo 2**64 takes for one."""
+    for _ in range(turns):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, other = thue_morse("a", "b")
+    by = tokens.Encoder(packing.vocabulary(packing.TOKENIZER))
+    got = [ids.tolist() for _, ids in tokens.encoded(pa.array([one, other]), by)]
+    assert got == [x.ids for x in by.tokenizer.encode_batch([one, other], add_special_tokens=False)]
+    rows = [(1, one), (2, other), (3, one + "!"), (4, f"{one} {other} {one} {one} {one} {other}"), (5, f"{one} {one} {other} {one} {other} {one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["copy_of"]) for r in minhash.classes(docs).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (1, 1), 4: (4, 4), 5: (5, 5)}
+    assert {r["doc_id"] for r in minhash.drop_near_copies(docs).collect()} == {1, 2, 4, 5}
+
+
+def test_parts_that_share_a_hash_keep_their_ids(texts):
+    class Poor(textops.Hasher):
+        def spans(self, data, a, b):
+            return (b - a).astype(np.uint64) % np.uint64(3)
+
+    by = tokens.Encoder(packing.vocabulary(packing.TOKENIZER))
+    by.hasher = Poor()
+    given = list(texts.values())[:40] + ["", None, "aa bb cc dd"]
+    want = [x.ids for x in by.tokenizer.encode_batch([t or "" for t in given], add_special_tokens=False)]
+    assert [ids.tolist() for _, ids in tokens.encoded(pa.array(given), by)] == want

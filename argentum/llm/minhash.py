@@ -21,11 +21,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argentum.llm import textops
-from argentum.llm.common import materialise, salt, salts, small_batches
+from argentum.llm.common import materialise, salt, salted_lookup, salts, small_batches
 from argentum.llm.components import components
 
 WIDTH = 5
@@ -36,8 +36,8 @@ STREAMED, HELD = 512, 256
 #: Rounds in which the members of a bucket are compared with one of them.
 PIVOTS = 2
 
-SIGNED = "id long, s1 long, s2 long, n long, bands array<long>"
-FEATURES = "id long, features array<long>"
+SIGNED = "id long, row binary, times long, s1 long, s2 long, n long, bands array<long>"
+FEATURES = "node long, features array<long>"
 GROUPED = "g1 long, g2 int, g3 int, streamed boolean, id long, label long, features array<long>"
 
 
@@ -97,12 +97,22 @@ def _points(text, code, count, node, rate, reach):
 
 
 def _sign(batches):
+    """Columns id, row (digest of the text as it is) and text: signature bands and word digest of each.
+
+    Rows that repeat in a batch go on once, with their number.
+    """
     hasher = textops.Hasher()
     for batch in batches:
-        ids = batch.column(0)
-        for row, data, cuts in textops.chunks(batch.column(1)):
+        seen: dict = {}
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            seen.setdefault(key, []).append(i)
+        times = pa.array([len(x) for x in seen.values()], pa.int64())
+        if len(seen) < batch.num_rows:
+            batch = batch.take(pa.array([x[0] for x in seen.values()], pa.int64()))
+        ids, row_of = batch.column(0), batch.column(1)
+        for row, data, cuts in textops.chunks(batch.column(2)):
             n = len(cuts) - 1
-            hashes, firsts, _, _ = hasher.words(data, cuts)
+            hashes, firsts, a, b = hasher.words(data, cuts)
             text, _, code = textops.windows(hashes, firsts, WIDTH)
             sign = signatures(*textops.multiset(text, code), n)
             with np.errstate(over="ignore"):
@@ -110,22 +120,19 @@ def _sign(batches):
                 for k in range(ROWS):
                     codes = codes * textops.ODD + sign.reshape(n, -1, ROWS)[:, :, k]
                 codes = textops.mix(codes + np.arange(SLOTS // ROWS, dtype=np.uint64))
-                # two digests of the word sequence
-                place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(firsts[:-1], np.diff(firsts)).astype(np.uint64)
-                sums = []
-                for salt_ in (np.uint64(1), np.uint64(2)):
-                    total = np.concatenate([[np.uint64(0)], np.cumsum(textops.mix(hashes + textops.mix(place * textops.ODD + salt_)))])
-                    sums.append((total[firsts[1:]] - total[firsts[:-1]]).astype(np.int64))
+            s1, s2 = textops.word_digests(data, cuts, a, b, firsts)
             some = np.diff(firsts) > 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(row, n).cast(pa.int64()),
-                    pa.array(sums[0]),
-                    pa.array(sums[1]),
+                    ids.slice(row, n),
+                    row_of.slice(row, n),
+                    times.slice(row, n),
+                    pa.array(s1),
+                    pa.array(s2),
                     pa.array(np.diff(firsts).astype(np.int64)),
                     textops.list_array(codes[some].astype(np.int64).ravel(), np.where(some, SLOTS // ROWS, 0)),
                 ],
-                names=["id", "s1", "s2", "n", "bands"],
+                names=[c.split()[0] for c in SIGNED.split(", ")],
             )
 
 
@@ -139,10 +146,10 @@ def _features(batches):
             sets = [textops.occurrences(code[a:b]) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(row, len(sets)).cast(pa.int64()),
+                    batch.column(0).slice(row, len(sets)),
                     textops.list_array(np.concatenate(sets), np.diff(at)),
                 ],
-                names=["id", "features"],
+                names=["node", "features"],
             )
 
 
@@ -193,10 +200,10 @@ def _compare(threshold):
     return compare
 
 
-def with_representative(rows: DataFrame, keys: list[str], id_col: str) -> DataFrame:
-    """rows with ``rep``, the least id among rows of equal keys; copies fold by salt first."""
-    salted = rows.withColumn("_salt", salt(id_col, salts(rows.sparkSession)))
-    parts = salted.groupBy(*keys, "_salt").agg(F.min(id_col).alias("low"))
+def with_representative(rows: DataFrame, keys: list[str], low: Column, by: str) -> DataFrame:
+    """rows with ``rep``, the least ``low`` among rows of equal keys; copies fold by salt first."""
+    salted = rows.withColumn("_salt", salt(by, salts(rows.sparkSession)))
+    parts = salted.groupBy(*keys, "_salt").agg(F.min(low).alias("low"))
     whole = parts.groupBy(*keys).agg(F.min("low").alias("rep"))
     answer = parts.drop("low").join(whole, keys)
     return salted.join(answer, [*keys, "_salt"]).drop("_salt")
@@ -208,30 +215,67 @@ def _verify(grouped: DataFrame, threshold: float, name: str) -> DataFrame:
     return materialise(laid.mapInArrow(_compare(threshold), "a long, b long"), name)
 
 
-def classes(
-    docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: id, class_id, copy_of.
+def _digest(text_col: str) -> Column:
+    """128 bits of the SHA-256 digest of a text as it is; null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), 1, 32))
 
-    Texts whose multisets of five-word runs reach the threshold in weighted
-    Jaccard similarity are linked; a class is a connected component, named by
-    its least id.  ``copy_of`` is the least id with the same words in the same
-    order.  A text of fewer than five words is one run; texts without words
-    (null, empty, punctuation) are copies of each other.  A row with a null id
-    takes no part and has nulls.  Repeated rows repeat their answer.
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, row and text; id and row name a row up to repeats of both id and text."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), _digest(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+
+
+def _nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """(named, reps, plain): every row with its node, each node with the row that stands for it.
+
+    Rows with the same words are one node, named by their least id.  Where that id has
+    other texts too, those nodes get numbers above all ids instead, and it isn't plain.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(rows.where("id is not null").mapInArrow(_sign, SIGNED), "signed")
+    rows = signed.select("id", "row", "s1", "s2", "n")
     named = materialise(
-        with_representative(signed.select("id", "s1", "s2", "n"), ["s1", "s2", "n"], "id").select("id", "rep"), "named"
+        with_representative(rows, ["s1", "s2", "n"], F.struct("id", "row"), "id")
+        .select("id", "row", F.col("rep.id").alias("rep"), F.col("rep.row").alias("rep_row"))
+        .distinct(),
+        "named",
     )
-    reps = signed.select(F.col("id").alias("rep"), "bands").join(
-        named.where("id = rep").select("rep").distinct(), "rep", "left_semi"
+    reps = named.where((F.col("id") == F.col("rep")) & (F.col("row") == F.col("rep_row"))).select("rep", "rep_row")
+    shared = reps.groupBy("rep").agg(F.count("*").alias("texts"), F.min("rep_row").alias("first")).where("texts > 1")
+    if shared.isEmpty():
+        return named.withColumn("node", F.col("rep")), reps.withColumn("node", F.col("rep")), True
+    top = signed.agg(F.max("id")).first()[0]
+    further = materialise(
+        reps.join(shared.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"))
+        .where("rep_row <> first")
+        .select(F.struct("rep", "rep_row").alias("whose"), (F.lit(top) + 1 + F.monotonically_increasing_id()).alias("node")),
+        "nodes",
     )
+
+    def numbered(df: DataFrame, by: str) -> DataFrame:
+        found = salted_lookup(df.withColumn("whose", F.struct("rep", "rep_row")), "whose", by, further)
+        return found.withColumn("node", F.coalesce("node", "rep")).drop("whose")
+
+    return materialise(numbered(named, "id"), "named"), materialise(numbered(reps, "rep"), "reps"), False
+
+
+def _classified(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool, bool]:
+    """(rows, plain, repeated): each row (id, row) once, with rep, rep_row, node and head.
+
+    ``head`` is the node that names the class.  It is plain if all nodes are ids, and repeated if
+    the table has rows with both id and text alike.
+    """
+    signed = materialise(rows.where("id is not null").mapInArrow(_sign, SIGNED), "signed")
+    repeated = not signed.groupBy("id", "row").agg(F.sum("times").alias("times")).where("times > 1").isEmpty()
+    named, reps, plain = _nodes(signed)
+    return _headed(named, _found(rows, signed, reps, threshold)), plain, repeated
+
+
+def _found(rows: DataFrame, signed: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(node, component) of the nodes that have links."""
+    spark = rows.sparkSession
+    bands = signed.select(F.col("id").alias("b_id"), F.col("row").alias("b_row"), "bands")
     slots = materialise(
-        reps.select("rep", F.posexplode("bands").alias("band", "code"))
+        reps.join(bands, (F.col("rep") == F.col("b_id")) & (F.col("rep_row") == F.col("b_row")))
+        .select(F.col("node").alias("rep"), F.posexplode("bands").alias("band", "code"))
         .select("rep", F.xxhash64("band", "code").alias("bucket"))
         .distinct(),
         "slots",
@@ -251,15 +295,22 @@ def classes(
         salted.join(open_parts, ["bucket", "salt"]).select("bucket", "rep", "low", "members"), "inside"
     )
     if inside.isEmpty():
-        return _answer(rows, named, None, id_col)
+        return spark.createDataFrame([], "node long, component long")
 
     # texts are brought together by id at every size of the table
-    wanted = inside.select(F.col("rep").alias("w")).distinct().hint("shuffle_hash")
+    wanted = (
+        reps.join(inside.select(F.col("rep").alias("w")).distinct(), F.col("node") == F.col("w"))
+        .select(F.col("rep").alias("w_id"), F.col("rep_row").alias("w_row"), F.col("node").alias("w_node"))
+        .hint("shuffle_hash")
+    )
     features = materialise(
-        rows.join(wanted, F.col("id") == F.col("w"), "left_semi").mapInArrow(_features, FEATURES).dropDuplicates(["id"]),
+        rows.join(wanted, (F.col("id") == F.col("w_id")) & (F.col("row") == F.col("w_row")))
+        .select("w_node", "text")
+        .mapInArrow(_features, FEATURES)
+        .dropDuplicates(["node"]),
         "features",
     )
-    feat = lambda c: features.withColumnRenamed("id", c)
+    feat = lambda c: features.withColumnRenamed("node", c)
 
     # every member against one of its bucket; what is left open, against another one
     edges = spark.createDataFrame([], "a long, b long")
@@ -272,7 +323,8 @@ def classes(
             .withColumn("g3", F.pmod(F.xxhash64("rep"), F.col("g2")).cast("int")),
             "pairs",
         )
-        first = pairs.groupBy("pivot", "g2", "g3").agg(F.max("pivot_label").alias("label")).join(feat("pivot"), "pivot").select(
+        met = pairs.groupBy("pivot", "g2", "g3").agg(F.max("pivot_label").alias("label"))
+        first = salted_lookup(met, "pivot", "g3", feat("pivot"), "inner").select(
             F.col("pivot").alias("g1"), "g2", "g3", F.lit(False).alias("streamed"), F.col("pivot").alias("id"), "label", "features"
         )
         rest = pairs.join(feat("rep"), "rep").select(
@@ -282,7 +334,7 @@ def classes(
         found = components(edges)
         open_ = _still_open(inside, found, turn)
         if open_.isEmpty():
-            return _answer(rows, named, found, id_col)
+            return found
 
     # buckets that still hold several components: outsiders against all members
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -298,7 +350,7 @@ def classes(
         F.col("bucket").alias("g1"), "g2", "g3", "streamed", F.col("rep").alias("id"), "label", "features"
     )
     edges = edges.unionByName(_verify(again, threshold, "edges"))
-    return _answer(rows, named, components(edges), id_col)
+    return components(edges)
 
 
 def _still_open(inside: DataFrame, found: DataFrame, turn: int) -> DataFrame:
@@ -317,33 +369,70 @@ def _still_open(inside: DataFrame, found: DataFrame, turn: int) -> DataFrame:
         F.count("*").alias("k"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("pick")
     )
     tops = (
-        sizes.groupBy(F.col("bucket").alias("b"))
+        sizes.groupBy("bucket")
         .agg(F.max(F.struct("k", "label", F.col("pick.rep").alias("rep"))).alias("top"), F.count("*").alias("labels"))
         .where("labels > 1")
+        .drop("labels")
     )
     return materialise(
-        labelled.join(tops, F.col("bucket") == F.col("b")).select(
+        salted_lookup(labelled, "bucket", "rep", tops, "inner").select(
             "bucket", "rep", "members", "label", F.col("top.rep").alias("pivot"), F.col("top.label").alias("pivot_label"), F.col("top.k").alias("k")
         ),
         "open",
     )
 
 
-def _answer(rows: DataFrame, named: DataFrame, found: DataFrame | None, id_col: str) -> DataFrame:
-    if found is not None:
-        out = named.join(found, F.col("rep") == F.col("node"), "left").select(
-            "id", F.coalesce("component", "rep").alias("class_id"), F.col("rep").alias("copy_of")
-        )
-    else:
-        out = named.select("id", F.col("rep").alias("class_id"), F.col("rep").alias("copy_of"))
-    nulls = rows.where("id is null").select("id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("copy_of"))
-    return out.unionByName(nulls).withColumnRenamed("id", id_col)
+def _headed(named: DataFrame, found: DataFrame) -> DataFrame:
+    """named with ``head``; nodes that many rows share hear it by salt."""
+    heads = found.select(F.col("node"), F.col("component").alias("head"))
+    return salted_lookup(named, "node", "id", heads).withColumn("head", F.coalesce("head", "node"))
+
+
+def classes(
+    docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: id, class_id, copy_of.
+
+    Texts whose multisets of five-word runs reach the threshold in weighted
+    Jaccard similarity are linked; a class is a connected component, named by
+    its least id.  ``copy_of`` is the least id with the same words in the same
+    order.  A text of fewer than five words is one run; texts without words
+    (null, empty, punctuation) are copies of each other.  A row with a null id
+    takes no part and has nulls.  Repeated rows repeat their answer; rows that share an
+    id but not a text are texts of their own.  An empty table gives an empty result;
+    other columns are ignored, texts may be of any length.
+    """
+    small_batches(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    named, plain, _ = _classified(rows, threshold)
+    if plain:
+        named = named.withColumn("class_id", F.col("head"))
+    else:  # a class is named by the id of the row that stands for its head
+        ids = named.where("node = head").select("head", F.col("rep").alias("class_id")).distinct()
+        named = salted_lookup(named, "head", "id", ids)
+    named = named.select(F.col("id").alias("n_id"), F.col("row").alias("n_row"), "class_id", F.col("rep").alias("copy_of"))
+    return (
+        rows.drop("text")
+        .join(named, (F.col("id") == F.col("n_id")) & (F.col("row") == F.col("n_row")), "left")
+        .select(F.col("id").alias(id_col), "class_id", "copy_of")
+    )
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that name their class, each once, with all columns; rows with a null id stay."""
-    out = classes(docs, threshold, id_col, text_col)
-    gone = out.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_g_id")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("_g_id"), "left_anti")
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    """The rows of docs that name their class, with all columns; see ``classes`` for links and odd texts.
+
+    Of rows that repeat id and text one stays.  Rows that share an id but not a text are
+    texts of their own.  Rows with a null id stay.  An empty table gives an empty
+    result.  Other columns may have any name that does not begin with ``_g_``.
+    """
+    small_batches(docs.sparkSession)
+    rows = _rows(docs, id_col, text_col)
+    found, _, repeated = _classified(rows, threshold)
+    stays = (F.col("node") == F.col("head")) & (F.col("id") == F.col("rep")) & (F.col("row") == F.col("rep_row"))
+    gone = found.where(~stays).select(F.col("id").alias("_g_id"), F.col("row").alias("_g_row"))
+    own = docs.withColumns({"_g_of": F.col(id_col).cast("long"), "_g_text": _digest(text_col)})
+    kept = own.join(gone, (F.col("_g_of") == F.col("_g_id")) & (F.col("_g_text") == F.col("_g_row")), "left_anti")
+    if repeated:
+        named = kept.where("_g_of is not null").dropDuplicates(["_g_of", "_g_text"])
+        kept = named.unionByName(kept.where("_g_of is null"))
+    return kept.select(docs.columns)

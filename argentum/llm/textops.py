@@ -42,7 +42,7 @@ class Hasher:
     """Tables for chunks up to a length; they grow to the longest text seen."""
 
     def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up = self.down = self.prime_up = self.prime_down = np.ones(1, np.uint64)
 
     def powers(self, n: int):
         if len(self.up) < n:

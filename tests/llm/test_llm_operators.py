@@ -610,3 +610,15 @@ def test_parts_that_share_a_hash_keep_their_ids(texts):
     given = list(texts.values())[:40] + ["", None, "aa bb cc dd"]
     want = [x.ids for x in by.tokenizer.encode_batch([t or "" for t in given], add_special_tokens=False)]
     assert [ids.tolist() for _, ids in tokens.encoded(pa.array(given), by)] == want
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    far = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, BASE), (3, far), (5, BASE + " today"), (3, far), (9, far + " !"), (4, "x " + BASE), (None, far), (7, None), (7, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _salt long")
+    kept = minhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert got == sorted([(3, BASE), (3, far), (0, far), (7, "")])
+    classes = sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in minhash.classes(docs).collect())
+    assert classes == sorted([(3, 3)] * 3 + [(5, 3), (9, 3), (4, 3), (0, 0), (7, 7), (7, 7)])

@@ -92,7 +92,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
-SQL = {"op1_license_scan": license_scan.scan_sql(), "op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL}
+SQL = {"op1_license_scan": license_scan.scan_sql(), "op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": url_filter.judge_sql()}
 
 
 def queries():

@@ -421,51 +421,152 @@ def test_gradients_against_differences():
 # --- URL filter
 
 
+def canonical(to):
+    return f'<link rel="canonical" href="{to}">'
+
+
+def refresh(to):
+    return f'<meta http-equiv="refresh" content="0; url={to}">'
+
+
 def test_url_rules_and_aliases(spark):
-    html = '<link rel="canonical" href="{}">'
     rows = [
-        (1, "http://www.a.com/en/x", None),
-        (2, "http://b.org/p", html.format("http://a.com/en/x")),
-        (3, "http://c.io/q?z", '<meta http-equiv="refresh" content="0; url=http://b.org/p">'),
+        (1, "http://a.com/en/x", None),
+        (2, "http://b.org/p", canonical("http://a.com/en/x")),
+        (3, "http://c.io/q?z", refresh("http://b.org/p")),
         (4, "HTTP://Example.COM/en/77#f", ""),
         (5, "http://notexample.com/en/7", None),
         (6, None, None),
         (7, "no scheme", None),
-        (8, "http://d.io/r", html.format("http://example.com/en/77")),
-        (9, "http://e.com/en/y", html.format("http://example.com/en/77")),
-        (9, "http://e.com/en/y", html.format("http://example.com/en/77")),
+        (8, "http://d.io/r", canonical("http://example.com/en/77")),
+        (9, "http://e.com/en/y", canonical("http://example.com/en/77")),
+        (9, "http://e.com/en/y", canonical("http://example.com/en/77")),
+        (10, "http://f.io/a", canonical("http://net.net/de/never-crawled")),
+        (None, "http://f.io/b", canonical("http://f.io/a")),
     ]
     got = defaultdict(list)
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "page_id long, url string, html string, node string, host string, blocked int")
     for r in url_filter.judge(pages).collect():
         got[r["page_id"]].append((r["host"], r["path"], r["rule"], r["verdict"]))
-    assert got[1] == [("www.a.com", "/en/x", "com/en/", "block")]
+    assert got[1] == [("a.com", "/en/x", "com/en/", "block")]
     assert got[2] == [("b.org", "/p", None, "block")] and got[3] == [("c.io", "/q", None, "block")]
     assert got[4] == [("example.com", "/en/77", "example.com/en/7", "allow")]
     assert got[5][0][2:] == ("com/en/", "block")
     assert got[6] == [("", "", None, "allow")] == got[7]
     assert got[8] == [("d.io", "/r", None, "allow")]  # an allow goes before a block among aliases
     assert got[9] == [("e.com", "/en/y", "com/en/", "block")] * 2
+    assert got[10] == [("f.io", "/a", None, "block")] and got[None] == [("f.io", "/b", None, "block")]
     assert url_filter.judge(pages.where("false")).count() == 0
 
 
 def test_relative_and_further_links(spark):
     rows = [
         (1, "http://a.com/en/x", None),
-        (2, "http://a.com/new/login.html", '<meta http-equiv="refresh" content="0; url=../en/x">'),
+        (2, "http://a.com/new/login.html", refresh("../en/x")),
         (3, "http://a.com/en/y", None),
-        (4, "https://www.a.com/p/q?z", '<link rel="canonical" href="./r/../../../en/./y#top">'),
-        (5, "http://b.org/1", '<link rel="canonical" href="/self"><link rel="canonical" href="http://a.com/en/x">'),
-        (6, "http://b.org/2", '<meta http-equiv="refresh" content="9;url=?a"><meta http-equiv="refresh" content="9;url=http://a.com/en/x">'),
-        (7, "http://a.com", '<meta http-equiv="refresh" content="0; url=en/x">'),
-        (8, "http://c.io/d/", '<meta http-equiv="refresh" content="0; url=e?next=http://a.com/en/x">'),
-        (9, "http://c.io/d/e", '<link rel="canonical" href="mailto:x@a.com">'),
-        (10, "http://d.io/a/../b", '<link rel="canonical" href="http://a.com/en/x">'),
-        (11, "http://d.io/c", '<link rel="canonical" href="http://d.io/a/../b">'),
+        (4, "https://a.com/p/q?z", canonical("./r/../../../en/./y#top")),
+        (5, "http://b.org/1", canonical("/self") + canonical("http://a.com/en/x")),
+        (6, "http://b.org/2", '<meta http-equiv="refresh" content="9;url=?a">' + refresh("http://a.com/en/x")),
+        (7, "http://a.com", refresh("en/x")),
+        (8, "http://c.io/d/", refresh("e?next=http://a.com/en/x")),
+        (9, "http://c.io/d/e", canonical("mailto:x@a.com")),
+        (10, "http://d.io/a/../b", canonical("http://a.com/en/x")),
+        (11, "http://d.io/c", canonical("http://d.io/a/../b")),
+        (12, "http://e.io/1", canonical("/go?to=http://net/de/x")),
+        (13, "http://e.io/v?id=1&b=2", canonical("http://a.com/en/x")),
+        (14, "http://e.io/v?id=2", None),
+        (15, "http://e.io/w", canonical("v?id=1&amp;b=2")),
+        (16, "http://www.e.io/w", None),
+        (17, "http://a.com/en", None),
+        (18, "http://e.io/x", "<!-- " + canonical("http://a.com/en/x") + " -->"),
+        (19, "http://e.io/y", '<base href="http://a.com/en/"><link href=x rel=canonical>'),
+        (20, "http://e.io/z", '<link rel="alternate" href="http://a.com/en/x"><link data-rel="canonical" href="http://a.com/en/x">'),
+        (21, "http://e.io/long", "<p>" * 300000 + canonical("http://a.com/en/x")),
     ]
     got = {r["page_id"]: (r["verdict"], r["component"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {i for i, (verdict, _) in got.items() if verdict == "block"} == {1, 2, 3, 4, 5, 6, 7, 10, 11}
-    assert got[2][1] == got[1][1] and got[4][1] == got[3][1] and got[8] == got[9] == ("allow", "c.io/d")
+    assert {i for i, (verdict, _) in got.items() if verdict == "block"} == {1, 2, 3, 4, 5, 6, 7, 10, 11, 13, 15, 19, 21}
+    assert got[2][1] == got[1][1] and got[4][1] == got[3][1] and got[8] == ("allow", "c.io/d/") and got[9] == ("allow", "c.io/d/e")
+
+
+def linked_pages(seed, n=400):
+    import random
+
+    r = random.Random(seed)
+    hosts = ["a.com", "example.com", "www.example.com", "b.net", "example.net", "c.org", "d.io", "E.io", "f.io", "g.io"]
+    place = lambda: "/".join(r.choice(["en", "de", "es", "7", "8", "x", "y", ".", ".."]) for _ in range(r.randint(1, 4)))
+    urls = [f"http://{r.choice(hosts)}/{place()}{r.choice(['', '', '/', '?q=1', '?q=2', '#f'])}" for _ in range(n)]
+    link = lambda: r.choice([r.choice(urls), r.choice(urls), place(), "/" + place(), "?q=1", "#top", "//d.io/" + place(), "mailto:a@b.c", "http://x.io/?u=http://a.com/en/"])
+    html = lambda: "".join(r.choice([canonical, refresh])(link().replace("&", "&amp;")) for _ in range(r.choice([0, 0, 1, 1, 2])))
+    return [(i, r.choice([None, "plain"]) if r.random() < 0.03 else u, r.choice([None, ""]) if r.random() < 0.2 else html()) for i, u in enumerate(urls)]
+
+
+def union_find_verdicts(pages, rules):
+    """Verdicts by a plain union-find over addresses that the standard library resolves."""
+    import re
+    from urllib.parse import urljoin, urlsplit
+
+    def rule(host, path):
+        fits = [(len(name), name, v == "allow", v) for v, name in rules for h, _, p in [name.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        return max(fits) if fits else None
+
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    def clean(url):
+        u = urlsplit(url)
+        path = urlsplit(urljoin("http://h/", u.path)).path if "/." in u.path else u.path
+        return u.netloc.lower() + (path or "/") + ("?" + u.query if u.query else "")
+
+    for _, url, html in pages:
+        if url and "://" in url and html:
+            base = "http://" + clean(url)
+            for to in re.findall(r"""(?:href|url)="?([^"]+)""", html):
+                to = to.replace("&amp;", "&")
+                if not re.match("[a-z]+:(?!//)", to) and clean(urljoin(base, to)) != clean(url):
+                    root[find(clean(urljoin(base, to)))] = find(clean(url))
+    said = defaultdict(set)
+    for node in list(root):
+        host, slash, rest = node.partition("/")
+        if hit := rule(host, slash + rest.partition("?")[0]):
+            said[find(node)].add(hit[3])
+    out = {}
+    for i, url, _ in pages:
+        if not url or "://" not in url:
+            out[i] = ("", "", None, "allow")
+            continue
+        u = urlsplit(url)
+        hit = rule(u.netloc.lower(), u.path)
+        of = said[find(clean(url))] if clean(url) in root else set()
+        out[i] = (u.netloc.lower(), u.path, hit[1] if hit else None, hit[3] if hit else "block" if of == {"block"} else "allow")
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_verdicts_against_union_find_and_sql(spark, seed):
+    pages = linked_pages(seed)
+    given = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(given).collect()}
+    assert got == union_find_verdicts(pages, url_filter.RULES)
+    assert 5 < sum(r is None and v == "block" for _, _, r, v in got.values())
+    con = duckdb.connect()
+    con.register("pages", given.toPandas())
+    assert sorted(con.sql(url_filter.judge_sql()).fetchall()) == sorted((i, *v) for i, v in got.items())
+
+
+def test_long_rule_lists_decide_as_short_ones(spark):
+    import random
+
+    r = random.Random(3)
+    part = lambda: "/".join(r.choice(["en", "de", "es", "7", "8"]) for _ in range(r.randint(0, 3)))
+    rules = [(r.choice(["block", "allow"]), f"{r.choice(['com', 'example.com', 'net', 'org', 'www.example.com', 'io'])}/{part()}") for _ in range(60)]
+    pages = spark.createDataFrame(linked_pages(4), "page_id long, url string, html string")
+    short = sorted(map(str, url_filter.judge(pages, rules).collect()))
+    long = sorted(map(str, url_filter.judge(pages, rules + [("block", f"h{k}.xyz/") for k in range(2000)]).collect()))
+    assert short == long
 
 
 # --- licences

@@ -13,12 +13,14 @@ that is run again, or twice at once, does no harm.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 import uuid
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,10 @@ from argentum.llm.common import fresh_path, salt, salts
 
 CHUNK = 1 << 18
 END = "\r\n\r\n"
+#: Bytes of members that one task fetches, about, and of payloads that it holds at once.
+TASK_BYTES, HELD_BYTES = 64 << 20, 16 << 20
+#: Index rows that a task holds at once.
+INDEX_ROWS = 10000
 INDEX_SCHEMA = "archive string, place long, offset long, length long, record_id string, record_type string, uri string"
 
 
@@ -168,9 +174,12 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite the archives under source into target; the sidecar index as a DataFrame.
 
     The index is also kept as ``target/index`` (Parquet) and beside each archive
-    as ``.idx`` (a JSON line per record).  An empty folder gives an empty index.
+    as ``.idx`` (a JSON line per record).  An empty folder gives an empty index.  Only one
+    record and INDEX_ROWS index rows are held at a time.
     """
 
+    names = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
+
     def rewrite(batches):
         for batch in batches:
             for name in batch["path"]:
@@ -178,18 +187,23 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                 out_uri = f"{target}/{uuid.uuid4().hex}.warc.gz"
                 out_fs, out_path = _open(out_uri)
                 out_fs.create_dir(out_path.rpartition("/")[0], recursive=True)
-                index, offset = [], 0
-                with fs.open_input_stream(path, compression=None) as src, out_fs.open_output_stream(out_path, compression=None) as dst:
+                index, place, offset = [], 0, 0
+                with (
+                    fs.open_input_stream(path, compression=None) as src,
+                    out_fs.open_output_stream(out_path, compression=None) as dst,
+                    out_fs.open_output_stream(out_path + ".idx", compression=None) as side,
+                ):
                     for head, block in records_in(_inflated(src)):
                         wide = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = wide.compress(head + block + END.encode()) + wide.flush()
                         dst.write(member)
-                        index.append((out_uri, len(index), offset, len(member), _field(head, "WARC-Record-ID"), _field(head, "WARC-Type"), _field(head, "WARC-Target-URI")))
-                        offset += len(member)
-                names = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
-                with out_fs.open_output_stream(out_path + ".idx", compression=None) as side:
-                    for row in index:
+                        row = (out_uri, place, offset, len(member), _field(head, "WARC-Record-ID"), _field(head, "WARC-Type"), _field(head, "WARC-Target-URI"))
                         side.write((json.dumps(dict(zip(names, row))) + "\n").encode())
+                        index.append(row)
+                        place, offset = place + 1, offset + len(member)
+                        if len(index) == INDEX_ROWS:
+                            yield pd.DataFrame(index, columns=names)
+                            index = []
                 yield pd.DataFrame(index, columns=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
@@ -198,42 +212,45 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/index")
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    names = [c.split()[0] for c in READ_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+
+def _record_of(whole: bytes) -> tuple:
+    cut = whole.index(b"\r\n\r\n") + 4
+    head, block = whole[:cut], whole[cut : len(whole) - 4]
+    body = block[block.index(b"\r\n\r\n") + 4 :]
+    full = _field(head, "WARC-Type") == "response"
+    ident = lambda name: int(m[1]) if (m := re.search(r"<urn:page:(-?\d+)>", _field(head, name) or "")) else None
+    return (
+        ident("WARC-Record-ID"),
+        _field(head, "WARC-Target-URI"),
+        body if full else None,
+        len(body) if full else int(_field(head, "WARC-Payload-Length")),
+        hashlib.sha1(body).hexdigest() if full else _field(head, "WARC-Payload-Digest").removeprefix("sha1:"),
+        _field(head, "WARC-Type"),
+        ident("WARC-Refers-To"),
+    )
+
+
 def _fetch(batches):
+    """Members of an archive are read in order; no more than HELD_BYTES and one record are held."""
     for batch in batches:
-        rows = []
-        for archive, part in batch.sort_values(["archive", "offset"]).groupby("archive", sort=False):
+        members = zip(*(batch.column(k).to_pylist() for k in range(3)))
+        for archive, part in itertools.groupby(members, key=lambda m: m[0]):
             fs, path = _open(archive)
             with fs.open_input_file(path) as src:
-                for offset, length in zip(part["offset"], part["length"]):
-                    src.seek(int(offset))
-                    whole = zlib.decompress(src.read(int(length)), 31)
-                    cut = whole.index(b"\r\n\r\n") + 4
-                    head, block = whole[:cut], whole[cut : len(whole) - 4]
-                    body = block[block.index(b"\r\n\r\n") + 4 :]
-                    full = _field(head, "WARC-Type") == "response"
-                    ident = lambda name: re.search(r"<urn:page:(-?\d+)>", _field(head, name) or "")
-                    rows.append(
-                        (
-                            int(m[1]) if (m := ident("WARC-Record-ID")) else None,
-                            _field(head, "WARC-Target-URI"),
-                            body if full else None,
-                            len(body) if full else int(_field(head, "WARC-Payload-Length")),
-                            hashlib.sha1(body).hexdigest() if full else _field(head, "WARC-Payload-Digest").removeprefix("sha1:"),
-                            _field(head, "WARC-Type"),
-                            int(m[1]) if (m := ident("WARC-Refers-To")) else None,
-                        )
-                    )
-        yield pd.DataFrame(
-            {
-                "page_id": pd.array([r[0] for r in rows], "Int64"),
-                "url": [r[1] for r in rows],
-                "payload": [r[2] for r in rows],
-                "payload_bytes": [r[3] for r in rows],
-                "payload_digest": [r[4] for r in rows],
-                "record_type": [r[5] for r in rows],
-                "refers_to": pd.array([r[6] for r in rows], "Int64"),
-            }
-        )
+                rows, held = [], 0
+                for _, offset, length in part:
+                    src.seek(offset)
+                    rows.append(_record_of(zlib.decompress(src.read(length), 31)))
+                    held += len(rows[-1][2] or b"")
+                    if held > HELD_BYTES:
+                        yield _batch(rows)
+                        rows, held = [], 0
+                yield _batch(rows)
 
 
 READ_SCHEMA = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -243,13 +260,23 @@ def read(index: DataFrame) -> DataFrame:
     """The records that an index lists, each fetched at its offset.
 
     Digest and length of a response are taken from its payload, those of a
-    revisit, which has none, from its header.
+    revisit, which has none, from its header.  Runs of about HELD_BYTES of an archive are dealt to
+    as many tasks as the archives have TASK_BYTES.  An empty index gives no rows.
     """
-    return index.select("archive", "offset", "length").mapInPandas(_fetch, READ_SCHEMA)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    n = max(salts(index.sparkSession), -(-total // TASK_BYTES))
+    rows = index.select("archive", "offset", "length", F.floor(F.col("offset") / HELD_BYTES).alias("run"))
+    rows = rows.repartition(n, "archive", "run").sortWithinPartitions("archive", "offset")
+    return rows.drop("run").mapInArrow(_fetch, READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
-    """Plan, write, normalise and read back the records of pages."""
+    """Plan, write, normalise and read back the records of pages: a row for each.
+
+    Null and empty html, null and repeated ids: see ``plan_records``.  Html may be of any length;
+    an empty table gives no rows; other columns are ignored.  The archives stay in the shared
+    folder until ``common.sweep``.
+    """
     spark = pages.sparkSession
     root = fresh_path(spark, "warc")
     write_monolithic(plan_records(pages, **columns), f"{root}/crawl")

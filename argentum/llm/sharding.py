@@ -70,10 +70,11 @@ def shards(
 ) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
-    A null text has no bytes, so its size is 16, like that of an empty one.
-    Rows that repeat id and text get neighbouring slots.  A null id orders first.
-    An empty table gives an empty result; other columns are ignored.
-    ``grown_shard`` is null, as the law is ``bytes``.
+    A null text has no bytes, so its size is 16, like that of an empty one; texts may be of any
+    length.  Equal texts (groups) are neighbours, but a group may lie in two or more shards: sizes
+    near equal, the law, goes first.  Rows that repeat id and text get neighbouring
+    slots.  A null id orders first.  An empty table gives an empty result; other columns
+    are ignored.  ``grown_shard`` is null, as the law is ``bytes``.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = materialise(
@@ -81,14 +82,31 @@ def shards(
             F.col(id_col).cast("long").alias("id"),
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text).alias("crc"),
-            F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 32), 31)
-            .bitwiseOR(F.xxhash64(F.col(id_col)).bitwiseAND(F.lit((1 << 31) - 1)))
-            .alias("key"),
+            _key(text, F.col(id_col).cast("long")).alias("key"),
         ),
         "shard-keys",
     )
+    placed = _placed(keyed, n_shards)
+    first = placed.groupBy("shard").agg(F.min("row").alias("first")).withColumnRenamed("shard", "f_shard")
+    return placed.join(F.broadcast(first), F.col("shard") == F.col("f_shard")).select(  # a row for each shard
+        F.col("id").alias(id_col),
+        "size",
+        F.col("crc").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        (F.col("row") - F.col("first")).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def _key(text: Column, id_: Column) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 32), 31).bitwiseOR(F.xxhash64(id_).bitwiseAND(F.lit((1 << 31) - 1)))
+
+
+def _placed(keyed: DataFrame, n_shards: int) -> DataFrame:
+    """keyed (id, size, crc, key; a written table) with shard and row, its place among all rows."""
     total = keyed.agg(F.sum("size")).first()[0] or 0
-    ranges = _ranges(docs)
+    ranges = _ranges(keyed)
     splitters = _splitters(keyed, ranges, total)
     ranged = keyed.withColumn("range", _range_of(F.col("key"), splitters))
 
@@ -129,33 +147,34 @@ def shards(
             ).cast("int"),
         )
     )
-    placed = materialise(placed.select("id", "size", "crc", "shard", "row"), "shard-rows")
-    first = placed.groupBy("shard").agg(F.min("row").alias("first")).withColumnRenamed("shard", "f_shard")
-    return placed.join(F.broadcast(first), F.col("shard") == F.col("f_shard")).select(
-        F.col("id").alias(id_col),
-        "size",
-        F.col("crc").alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        "shard",
-        (F.col("row") - F.col("first")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    return materialise(placed.select("id", "size", "crc", "key", "shard", "row"), "shard-rows")
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write docs as Parquet under ``path/shard=N``, ordered by slot.
+def write_shards(docs: DataFrame, path: str, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write docs as Parquet under ``path/shard=N``, in the order of their slots; the name of the folders' column.
 
-    Rows of one id go where the first of them goes.
+    Where docs has a column ``shard``, the folders' column gets underscores in front until its name
+    is free.  Nulls, odd texts and empty tables: see ``shards``; of rows that repeat
+    id and text all go where the first of them goes.  Each text moves once, to its
+    shard; a shard may have several files.
     """
-    where = shards(docs, n_shards, id_col, text_col).groupBy(F.col(id_col).alias("_s_id")).agg(
-        F.min(F.struct("shard", "slot")).alias("_s_at")
+    folder, own = "shard", [c.lower() for c in docs.columns]
+    while folder in own:
+        folder = "_" + folder
+    text, id_ = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    keyed = materialise(
+        docs.select(id_.alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"), _key(text, id_).alias("key")),
+        "shard-keys",
     )
-    rows = docs.join(where, F.col(id_col).cast("long").eqNullSafe(F.col("_s_id")))
+    # rows of one id and key are repeats: one place for all
+    where = _placed(keyed, n_shards).groupBy(F.col("id").alias("_s_id"), F.col("key").alias("_s_key")).agg(F.min(F.struct("shard", "row")).alias("_s_at"))
+    met = docs.withColumn("_s_own", _key(text, id_)).join(where, id_.eqNullSafe(F.col("_s_id")) & (F.col("_s_own") == F.col("_s_key")))
     (
-        rows.select(*docs.columns, F.col("_s_at.shard").alias("shard"), F.col("_s_at.slot").alias("_s_slot"))
-        .repartitionByRange(n_shards, "shard", "_s_slot")
-        .sortWithinPartitions("shard", "_s_slot")
-        .drop("_s_slot")
-        .write.partitionBy("shard")
+        met.select(*docs.columns, F.col("_s_at.shard").alias(folder), F.col("_s_at.row").alias("_s_row"))
+        .repartitionByRange(max(n_shards, salts(docs.sparkSession)), "_s_row")
+        .sortWithinPartitions(folder, "_s_row")
+        .drop("_s_row")
+        .write.partitionBy(folder)
         .parquet(path)
     )
+    return folder

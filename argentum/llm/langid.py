@@ -8,6 +8,7 @@ into languages.  A text's scores are the normalised geometric mean of its window
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ WINDOW = 128
 EMBED, FILTERS, WIDTHS = 8, 12, (2, 3, 4)
 #: Labelled texts from which the network learns, on average, shared evenly among languages, one of each at least.
 SAMPLE = 3200
+#: Windows of one text from which the network learns, at most, drawn from the whole text.
+PER_TEXT = 256
 STEPS, BATCH = 900, 64
 #: Windows that one pass over the network holds.
 SLICE = 256
@@ -113,11 +116,35 @@ def learn(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps:
     return net
 
 
+def _drawn_windows(batches):
+    """Columns id, text, lang: PER_TEXT windows at most of each text, with their place in it."""
+    for batch in batches:
+        ids, langs = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for row, data, cuts in textops.chunks(batch.column(1)):
+            windows, text = cut(data, cuts)
+            firsts = np.searchsorted(text, np.arange(len(cuts)))
+            for t, (a, b) in enumerate(zip(firsts.tolist(), firsts[1:].tolist())):
+                own = np.arange(a, b)
+                if b - a > PER_TEXT:
+                    own = np.sort(np.random.default_rng(zlib.crc32(data[cuts[t] : cuts[t + 1]].tobytes())).choice(own, PER_TEXT, replace=False))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([ids[row + t]] * len(own), pa.int64()),
+                        pa.array(own - a),
+                        pa.array([langs[row + t]] * len(own), pa.string()),
+                        pa.array([windows[w].tobytes() for w in own], pa.binary()),
+                    ],
+                    names=["id", "place", "lang", "window"],
+                )
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Learn from about ``sample`` labelled texts, drawn by a hash of the id; None if there are none.
 
-    Every language has one at least.  Only these texts come to the driver.
+    Every language has one at least.  An id counts once, however often it is repeated, and a text
+    with PER_TEXT windows at most, drawn from all of it; only these windows come to the driver.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where("id is not null and text is not null and lang is not null")
@@ -127,22 +154,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col:
         return None
     each = max(1.0, sample / len(sizes))
     shares = docs.sparkSession.createDataFrame([(r["lang"], each / r["n"], r["least"]) for r in sizes], "of string, share double, least double")
-    got = (
-        rows.join(shares, F.col("lang") == F.col("of"))
+    drawn = (
+        rows.join(F.broadcast(shares), F.col("lang") == F.col("of"))  # a row for each language
         .where((draw < F.col("share")) | (draw == F.col("least")))
-        .select("id", "lang", "text").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+        .groupBy("id")
+        .agg(F.min(F.struct("text", "lang")).alias("one"))
+        .select("id", "one.text", "one.lang")
     )
-    languages = sorted(set(got.column("lang").to_pylist()))
+    got = drawn.mapInArrow(_drawn_windows, "id long, place long, lang string, window binary").toArrow()
+    got = got.sort_by([("id", "ascending"), ("place", "ascending")])
+    named = got.column("lang").to_pylist()
+    languages = sorted(set(named))
     if not languages:
         return None
-    codes = np.array([languages.index(x) for x in got.column("lang").to_pylist()])
-    windows, labels = [], []
-    for row, data, cuts in textops.chunks(got.column("text").combine_chunks()):
-        own, text = cut(data, cuts)
-        windows.append(own)
-        labels.append(codes[row + text])
-    windows, labels = np.concatenate(windows), np.concatenate(labels)
-    return learn(windows, labels, languages) if len(labels) else None
+    number = {x: k for k, x in enumerate(languages)}
+    labels = np.array([number[x] for x in named])
+    windows = np.frombuffer(b"".join(got.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
+    return learn(windows, labels, languages)
 
 
 def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +178,7 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     Every window of the whole text counts.  A null text, or one without a letter, is
     ``und`` with score 0, and so is every text if there is no network.  Repeated rows
-    repeat their answer; other columns are ignored.
+    repeat their answer; an empty table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")

@@ -36,6 +36,8 @@ SYMBOLS, EDGE, BLANK = 32, 0, 31
 LANDMARKS = 128
 #: Labelled texts of each class from which the classifier is fitted, on average.
 SAMPLE = 2500
+#: Distinct units of one text from which it learns, at most, drawn by their hash from all of them.
+PER_TEXT = 20000
 NEGATIVES = 20000
 ROUNDS = 4
 #: Units whose margins a worker keeps before it starts afresh.
@@ -285,7 +287,8 @@ def _distinct_units(batches):
             raw = whole.tobytes()
             for t in range(len(cuts) - 1):
                 own = np.flatnonzero(text == t)
-                _, at = np.unique(hashes[own], return_index=True)
+                names, at = np.unique(hashes[own], return_index=True)
+                at = at[np.argsort(textops.mix(names ^ textops.ODD), kind="stable")[:PER_TEXT]]
                 out.append([raw[a[i] : b[i]] for i in own[at]])
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())), labels], names=["units", "label"])
 
@@ -295,8 +298,9 @@ def fit(
 ) -> Model:
     """Fit on labelled texts: about ``sample`` of each class, drawn by a hash of the id.
 
-    Labels other than 0 and 1 are ignored, and an id with both counts as toxic.  The
-    sample's words come to the driver; nothing else does.
+    Labels other than 0 and 1 are ignored, and an id with both counts as toxic.  An id counts once,
+    however often it is repeated, and a text with PER_TEXT distinct units at most.  The
+    sample's units come to the driver; nothing else does.  Without labels the score is the same everywhere.
     """
     small_batches(docs.sparkSession)
     marked = (
@@ -312,7 +316,9 @@ def fit(
     rows = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).cast("string").alias("text"))
     got = (
         rows.join(F.broadcast(drawn), F.col("d_id") == F.col("l_id"))  # about 2 * sample rows at any size
-        .select("text", "label")
+        .groupBy("d_id")
+        .agg(F.min(F.struct("text", "label")).alias("one"))
+        .select("one.text", "one.label")
         .mapInArrow(_distinct_units, "units array<binary>, label int")
         .toArrow()
     )
@@ -352,8 +358,9 @@ class Scorer:
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score, predicted.
 
-    Whole texts are scored.  A null, empty or wordless text has the score of the
-    machine's bias alone.  Repeated rows repeat their answer.  Other columns are ignored.
+    Whole texts are scored, of any length.  A null, empty or wordless text has the score of the
+    machine's bias alone.  Repeated rows repeat their answer.  An empty table gives an empty
+    result.  Other columns are ignored.
     """
     small_batches(docs.sparkSession)
 
@@ -379,7 +386,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_co
     """The rows of docs whose own text is not rejected, with all columns and repeats.
 
     Learns from the labels of ids that are not held out.  Rows are judged where they
-    lie: nothing is joined or moved.
+    lie: nothing is joined or moved.  Nulls and empty texts: as in ``score``; an empty table gives an
+    empty result, and other columns may have any name.
     """
     model = fit(docs, labels.where(~held_out(id_col)), id_col=id_col, text_col=text_col)
     at = docs.columns.index(text_col)

@@ -36,7 +36,8 @@ STEPS = (1, 2)
 LOSS = 0.75
 THRESHOLD = 0.5
 COST = 0.5
-#: An item with fewer words counts, where it is less than half of the document, only word for word.
+#: An item with fewer words counts, in a document of more than twice its words, only word for word
+#: (a few common words would make half of it); 0 scores all items alike.
 MIN_WORDS = 8
 #: Words of the items in a block: about 60 MB in each task.
 BLOCK_WORDS = 1_000_000
@@ -121,8 +122,8 @@ def reachable(item: np.ndarray, passage: np.ndarray) -> float:
 class Finder:
     """Leaks in the texts of a task."""
 
-    def __init__(self, block: Block, threshold: float):
-        self.block, self.threshold, self.hasher = block, threshold, textops.Hasher()
+    def __init__(self, block: Block, threshold: float, min_words: int = MIN_WORDS):
+        self.block, self.threshold, self.min_words, self.hasher = block, threshold, min_words, textops.Hasher()
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(block.runs & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
@@ -161,7 +162,7 @@ class Finder:
             held = np.bincount(passage, minlength=len(starts))
             best: dict[tuple[int, int], tuple[float, int, int]] = {}
             n = block.sizes[item[starts]]
-            whole = (n < MIN_WORDS) & (np.diff(firsts)[text[starts]] > 2 * n)
+            whole = (n < self.min_words) & (np.diff(firsts)[text[starts]] > 2 * n)
             for i in np.flatnonzero(held >= np.where(whole, block.seeds[item[starts]], block.need[item[starts]])):
                 t, k = int(text[starts[i]]), int(item[starts[i]])
                 n = len(block.words[k])
@@ -176,7 +177,7 @@ class Finder:
 
     def judge(self, item, passage, text_words: int):
         n = len(item)
-        threshold = max(1.0, self.threshold) if n < MIN_WORDS and text_words > 2 * n else self.threshold
+        threshold = max(1.0, self.threshold) if n < self.min_words and text_words > 2 * n else self.threshold
         if reachable(item, passage) < threshold:
             return None
         best, end = align(item, passage)
@@ -231,19 +232,22 @@ def _seeded(docs: DataFrame, benchmark: DataFrame, threshold: float, item_col: s
 
 def find(
     docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """One row per document row and test item found in it: doc_id, item_id, score, start_word, end_word.
 
     Words are numbered from 0; ``end_word`` is behind the last.  Null and empty texts
-    and items have no words and are never found.  Repeated rows repeat their answer.  Other columns are ignored.
+    and items have no words and are never found.  Whole texts of any length are read.  Items of
+    fewer than ``min_words`` words count in longer texts only word for word; 0 scores them all alike.
+    Repeated rows repeat their answer.  An empty table, of documents or of items,
+    gives an empty result.  Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], FOUND)
     for block in _seeded(docs, benchmark, threshold, item_col, text_col, item_text_col):
 
         def search(batches, block=block):
-            finder = Finder(block, threshold)
+            finder = Finder(block, threshold, min_words)
             for batch in batches:
                 names = batch.column(0).to_pylist()
                 got = [(names[r], block.ids[k], s, a, b) for r, k, s, a, b in finder.leaks(batch.column(1))]
@@ -258,14 +262,18 @@ def find(
 
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """The rows of docs that hold no test item, with all columns and repeats; nothing is joined or moved."""
+    """The rows of docs that hold no test item, with all columns and repeats; nothing is joined or moved.
+
+    See ``find`` for null, empty and very long texts and short items.  Without items all rows stay; an
+    empty table gives an empty result.  Other columns may have any name.
+    """
     at, out = docs.columns.index(text_col), docs
     for block in _seeded(docs, benchmark, threshold, item_col, text_col, item_text_col):
 
         def keep(batches, block=block):
-            finder = Finder(block, threshold)
+            finder = Finder(block, threshold, min_words)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r for r, *_ in finder.leaks(batch.column(at))]] = False

@@ -231,7 +231,8 @@ def scan(
     ``units`` the number of different units for which a notice of that licence is
     the best one (of equal ones the first template).  Null and empty texts have no
     licence.  A licence without such a unit is found by runs of words, which also meet
-    ``texts``; then these are its units.  Rows that repeat id and text count once.  Other columns are ignored.
+    ``texts``; then these are its units.  Rows that repeat id and text count once.  Texts may be of
+    any length; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = []

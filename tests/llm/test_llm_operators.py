@@ -362,15 +362,31 @@ def test_shards_hold_the_law(docs, texts, odd, none):
     assert sharding.shards(none, 40).count() == 0
 
 
+def test_written_shards(spark, odd, none, tmp_path):
+    docs = odd.withColumn("shard", F.lit("own"))
+    assert sharding.write_shards(docs, str(tmp_path / "a"), 5) == "_shard"
+    got = spark.read.parquet(str(tmp_path / "a"))
+    assert sorted(map(str, got.drop("_shard").select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    want = Counter((r["doc_id"], r["size"], r["shard"]) for r in sharding.shards(odd, 5).collect() if r["doc_id"] not in (5, None))
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 16
+    assert Counter((r[0], r[1], r[2]) for r in got.where("doc_id <> 5").select("doc_id", size, "_shard").collect()) == want
+    assert sharding.write_shards(none, str(tmp_path / "b"), 5) == "shard"
+
+
 # --- WARC
 
 
 def test_warc_of_odd_pages(spark):
     big = "<p>" + "é" * 600
-    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, None), (4, "x\ny", ""), (5, "http://a/5", "\r\n\r\nWARC/1.1\r\n"), (6, "http://a/6", "<p>" * 300), (7, "u", "<p>" * 300)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    huge = "".join(chr(33 + k * k % 90) for k in range(1 << 20)) * 20  # more than a task holds at once
+    rows = [(1, "http://a/1", big), (2, "http://a/2", big), (3, None, None), (4, "x\ny", ""), (5, "http://a/5", "\r\n\r\nWARC/1.1\r\n"), (6, "http://a/6", "<p>" * 300), (7, "u", "<p>" * 300), (8, "h", huge)]
+    columns = "page_id long, url string, html string, payload string, digest string, sha int, salt int, archive string"
+    pages = spark.createDataFrame([(*r, "x", "y", 1, 2, "z") for r in rows], columns)
     got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
-    assert len(got) == 7
+    assert len(got) == 8
+    again = pages.where("page_id in (2, 3)").unionByName(pages.where("page_id in (1, 2, 3)")).unionByName(pages.where("page_id = 1").withColumn("page_id", F.lit(None).cast("long")))
+    repeats = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(again).collect())
+    assert repeats == {(2, "response", None): 2, (3, "response", None): 2, (1, "revisit", 2): 1, (None, "revisit", 2): 1}
     for i, _, html in rows:
         body = (html or "").encode()
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(body), hashlib.sha1(body).hexdigest())

@@ -1,11 +1,17 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes all rows that the one before it kept.  Null and empty texts are kept by the
+first and folded into one row by the second; rows with a null id pass the near-copy stage as they
+are.  Rows that repeat both id and text become one.  Columns beside id and text go along unread, so long
+as their names do not begin with ``_k_`` or ``_g_``.  Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from argentum.llm import decontaminate, exact_dedup, minhash, packing, toxicity
-from argentum.llm.common import materialise, table
+from argentum.llm.common import fresh_path, store, sweep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +49,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all stages; a stage's intermediate tables go when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = fresh_path(spark, f"pipeline-{name}")
+        docs = store(stage(spark, docs, sf_dir), path)
+        sweep(spark, keep=path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -70,13 +70,18 @@ def remove(spark: SparkSession, path: str) -> None:
         _written().remove(path)
 
 
-def sweep(spark: SparkSession, keep: str | None = None) -> None:
+def written() -> list[str]:
+    """What this thread's calls left in the shared folder so far."""
+    return list(_written())
+
+
+def sweep(spark: SparkSession, keep: list[str] = ()) -> None:
     """Remove what this thread's calls left in the shared folder, but for ``keep``.
 
     Call it when results have been written: a result that is still to be computed reads
     such tables.
     """
-    for path in [p for p in _written() if p != keep]:
+    for path in [p for p in _written() if p not in keep]:
         remove(spark, path)
 
 

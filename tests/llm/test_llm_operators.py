@@ -1,7 +1,6 @@
 """Each operator against a brute-force version, its SQL, an exact round trip or held-out accuracy."""
 
 import hashlib
-import json
 import os
 import zlib
 from collections import Counter, defaultdict
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from argentum.llm import (
+    common,
     components,
     decontaminate,
     entry,
@@ -682,17 +682,83 @@ def test_toxicity_of_odd_rows(spark, odd, none):
 # --- pipeline
 
 
-def test_stages_keep_columns_and_clean_rows(spark, docs, tmp_path):
-    sizes = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, DATA)
-        if name != "packing":
-            assert out.schema == docs.schema
-        out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        sizes.append(docs.count())
-    assert sizes[0] > sizes[1] > sizes[2] >= sizes[3] > sizes[4] > 0.7 * sizes[0]
-    assert json.dumps(sizes)
+def planted_documents(seed=12):
+    """Documents with their tests and labels: (rows, items, labels)."""
+    import random
+
+    r = random.Random(seed)
+    names = [a + b + c for a in ("ba", "ke", "li", "mo", "nu", "ra", "se", "to") for b in ("dar", "fen", "gil", "lom", "pur", "vex") for c in ("a", "in", "o")]
+    prose = lambda n: " ".join(r.choice(names) for _ in range(n))
+    items = [prose(r.randint(10, 30)) for _ in range(8)]
+    texts = [prose(r.choice([3, 40, 80, 200])) for _ in range(150)]
+    for k in range(12):
+        base = texts[k].split()
+        near = list(base)
+        near[r.randrange(len(near))] = "changed"
+        texts += [texts[k], "  " + texts[k].replace(" ", "\n"), " ".join(near), " ".join(base[: len(base) // 2] + near[len(base) // 2 :] + ["end"])]
+    for k, item in enumerate(items):
+        words = item.split()
+        texts += [f"{prose(20)} {item} {prose(20)}", f"{prose(5)} {' '.join(w if i % 4 else 'swapped' for i, w in enumerate(words))} {prose(9)}"]
+    marked = len(texts)
+    texts += [f"{prose(20)} you {r.choice(['idiot', 'moron', 'i-d-i-o-t'])} {prose(10)}" for _ in range(60)] + [None, "", " ", "?!"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    labels = [(i, 1, int(i >= marked)) for i in range(len(texts) - 4)]
+    r.shuffle(rows)
+    return rows, items, labels
+
+
+def test_pipeline_against_plain_version(spark, tmp_path):
+    rows, items, labels = planted_documents()
+    save = lambda name, data, schema: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save("documents", rows, "doc_id long, text string, lang string, source string, n_chars long")
+    save("benchmark", list(enumerate(items)), "item_id long, text string")
+    save("labels", labels, "doc_id long, quality int, toxic int")
+    # toxic ones by the same model, text by text
+    docs, marks = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.fit(docs, marks.where(~toxicity.held_out("doc_id")))
+    left = {i: t for i, t, *_ in rows if toxicity.Scorer(model).scores(pa.array([t], pa.string()))[0] < 0.3}
+    assert len(rows) - len(left) >= 55
+    # exact copies
+    best = {}
+    for i, t in left.items():
+        body = "".join((t or "").split())
+        best[body] = min(best.get(body, (1, 0)), (-len(t or ""), i))
+    left = {i: left[i] for _, i in best.values()}
+    assert len(left) < len(rows) - 70
+    # near copies
+    sets = {i: shingles(t) for i, t in left.items() if words_of(t)[0].size} if left else {}
+    root = {i: i for i in left}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    wordless = [i for i in left if i not in sets]
+    linked = [(a, b) for a in sets for b in sets if a < b and minhash.overlap(sets[a], sets[b]) >= 0.8]
+    for a, b in linked + list(zip(wordless, wordless[1:])):
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    assert linked
+    left = {i: t for i, t in left.items() if find(i) == i}
+    # test items
+    tests = [words_of(t)[0] for t in items]
+    leaks = lambda t: any(len(w) and decontaminate.align(x, w)[0] / len(x) >= 0.5 for w in [words_of(t)[0]] for x in tests)
+    clean = {i: t for i, t in left.items() if not leaks(t)}
+    assert len(left) - len(clean) >= 14
+    before = common.written()
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    by = tokens.Encoder(packing.vocabulary(packing.TOKENIZER))
+    want = {i: len(by.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in clean.items()}
+    got = Counter()
+    for r in out:
+        got[r["doc_id"]] += r["length"]
+    assert got == want
+    check_packing(out, 4096)
+    assert len(common.written()) <= len(before) + 2  # the last stage's documents and pieces
+    # stages give the columns of documents, and take empty tables
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.where("false"), str(tmp_path)).schema == docs.schema
 
 
 # --- hashes decide nothing alone

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from argentum.llm import decontaminate, exact_dedup, minhash, packing, toxicity
-from argentum.llm.common import fresh_path, store, sweep, table
+from argentum.llm.common import fresh_path, store, sweep, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +50,11 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all stages; a stage's intermediate tables go when its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"pipeline-{name}")
         docs = store(stage(spark, docs, sf_dir), path)
-        sweep(spark, keep=path)
+        sweep(spark, keep=[*before, path])
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

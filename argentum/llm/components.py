@@ -5,21 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from argentum.llm.common import fresh_path, materialise, remove, salted_lookup, store
-
-#: Arcs of one node that may meet its label in one task; nodes with more have several parts.
-DEGREE = 4096
-
-
-def _dealt(arcs: DataFrame) -> DataFrame:
-    """arcs (x, y) with ``part``: the arcs of one y are cut into parts of about DEGREE.
-
-    Degrees are added up by salt first and told back by salt, so a node with very many
-    arcs is no hot key here either.
-    """
-    degrees = arcs.groupBy("y").agg(F.ceil(F.count("*") / DEGREE).cast("int").alias("parts"))  # added up in the tasks first
-    told = salted_lookup(arcs, "y", "x", degrees, "inner")
-    return told.select("x", "y", F.pmod(F.xxhash64("x"), "parts").cast("int").alias("part"))
+from argentum.llm.common import fresh_path, materialise, remove, store
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,28 +13,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Edges are undirected, may repeat and may be loops; an edge with a null end is
     ignored, and no edges give no rows.  Each round takes the least label among
-    neighbours, then the label of that label, so long chains close in few rounds.  The
-    labels of a round are written to the shared folder and those of the round before removed.
-    Nodes with very many neighbours and components with very many nodes are dealt in parts.
+    neighbours (added up in the tasks first), then the label of that label, so long chains close in few
+    rounds.  The labels of a round are written to the shared folder and those of the round
+    before removed.  Joins are plain inner or left equi-joins of freshly dealt rows with one row for
+    each key, which Spark splits where a node has very many neighbours or a component very many
+    nodes (adaptive skew joins); three more shuffles a round for salts cost more than they save.
     """
     spark = edges.sparkSession
     named = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     both = named.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(
         named.select(F.col(b).alias("x"), F.col(a).alias("y"))
     )
-    distinct = fresh_path(spark, "arcs")
-    arcs = materialise(_dealt(store(both.where("x <> y").distinct(), distinct)), "arcs")
-    remove(spark, distinct)
-    slots = materialise(arcs.select("y", "part").distinct(), "arc-parts")
+    arcs = materialise(both.where("x <> y").distinct(), "arcs")
     path = fresh_path(spark, "labels")
     labels = store(
         both.groupBy("x").agg(F.min("y").alias("low")).select(F.col("x").alias("node"), F.least("x", "low").alias("label")), path
     )
     while True:
         told_path, next_path = fresh_path(spark, "labels"), fresh_path(spark, "labels")
-        said = slots.join(labels, F.col("y") == F.col("node")).select(F.col("y").alias("s_y"), F.col("part").alias("s_part"), "label")
         heard = (
-            arcs.join(said, (F.col("y") == F.col("s_y")) & (F.col("part") == F.col("s_part")))
+            arcs.join(labels, F.col("y") == F.col("node"))
             .groupBy("x")
             .agg(F.min("label").alias("heard"))
         )
@@ -60,9 +44,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             ),
             told_path,
         )
-        roots = told.select(F.col("node").alias("label"), F.col("label").alias("r_label"))
+        roots = told.select(F.col("node").alias("r_node"), F.col("label").alias("r_label"))
         labels = store(
-            salted_lookup(told, "label", "node", roots).select(
+            told.join(roots, F.col("label") == F.col("r_node"), "left").select(
                 "node",
                 F.least("label", F.coalesce("r_label", "label")).alias("label"),
                 (F.col("moved") | F.coalesce(F.col("r_label") < F.col("label"), F.lit(False))).alias("moved"),

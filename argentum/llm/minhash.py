@@ -31,8 +31,8 @@ from argentum.llm.components import components
 WIDTH = 5
 THRESHOLD = 0.8
 SLOTS, ROWS = 64, 4
-#: Members streamed past one block, and members held in one.
-STREAMED, HELD = 512, 256
+#: Members streamed past one block, and members held in one; members compared with a pivot at a time.
+STREAMED, HELD, ABREAST = 256, 256, 128
 #: Rounds in which the members of a bucket are compared with one of them.
 PIVOTS = 2
 
@@ -233,9 +233,9 @@ def _nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     """
     rows = signed.select("id", "row", "s1", "s2", "n")
     named = materialise(
-        with_representative(rows, ["s1", "s2", "n"], F.struct("id", "row"), "id")
-        .select("id", "row", F.col("rep.id").alias("rep"), F.col("rep.row").alias("rep_row"))
-        .distinct(),
+        with_representative(rows, ["s1", "s2", "n"], F.struct("id", "row"), "id").select(
+            "id", "row", F.col("rep.id").alias("rep"), F.col("rep.row").alias("rep_row")
+        ),
         "named",
     )
     reps = named.where((F.col("id") == F.col("rep")) & (F.col("row") == F.col("rep_row"))).select("rep", "rep_row")
@@ -265,6 +265,8 @@ def _classified(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool, boo
     """
     signed = materialise(rows.where("id is not null").mapInArrow(_sign, SIGNED), "signed")
     repeated = not signed.groupBy("id", "row").agg(F.sum("times").alias("times")).where("times > 1").isEmpty()
+    if repeated:
+        signed = materialise(signed.dropDuplicates(["id", "row"]), "signed")
     named, reps, plain = _nodes(signed)
     return _headed(named, _found(rows, signed, reps, threshold)), plain, repeated
 
@@ -319,12 +321,11 @@ def _found(rows: DataFrame, signed: DataFrame, reps: DataFrame, threshold: float
         pairs = materialise(
             open_.where("label <> pivot_label")
             .groupBy("pivot", "rep")
-            .agg(F.max("label").alias("label"), F.max("pivot_label").alias("pivot_label"), F.ceil(F.max("members") / STREAMED).cast("int").alias("g2"))
+            .agg(F.max("label").alias("label"), F.max("pivot_label").alias("pivot_label"), F.ceil(F.max("members") / ABREAST).cast("int").alias("g2"))
             .withColumn("g3", F.pmod(F.xxhash64("rep"), F.col("g2")).cast("int")),
             "pairs",
         )
-        met = pairs.groupBy("pivot", "g2", "g3").agg(F.max("pivot_label").alias("label"))
-        first = salted_lookup(met, "pivot", "g3", feat("pivot"), "inner").select(
+        first = pairs.groupBy("pivot", "g2", "g3").agg(F.max("pivot_label").alias("label")).join(feat("pivot"), "pivot").select(
             F.col("pivot").alias("g1"), "g2", "g3", F.lit(False).alias("streamed"), F.col("pivot").alias("id"), "label", "features"
         )
         rest = pairs.join(feat("rep"), "rep").select(
@@ -383,9 +384,10 @@ def _still_open(inside: DataFrame, found: DataFrame, turn: int) -> DataFrame:
 
 
 def _headed(named: DataFrame, found: DataFrame) -> DataFrame:
-    """named with ``head``; nodes that many rows share hear it by salt."""
-    heads = found.select(F.col("node"), F.col("component").alias("head"))
-    return salted_lookup(named, "node", "id", heads).withColumn("head", F.coalesce("head", "node"))
+    """named with ``head``; a node that many rows share is split by Spark, as one side has a row for each node."""
+    heads = found.select(F.col("node").alias("h_node"), F.col("component").alias("head"))
+    met = named.join(heads, F.col("node") == F.col("h_node"), "left").drop("h_node")
+    return met.withColumn("head", F.coalesce("head", "node"))
 
 
 def classes(
@@ -404,18 +406,18 @@ def classes(
     """
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    named, plain, _ = _classified(rows, threshold)
+    named, plain, repeated = _classified(rows, threshold)
     if plain:
         named = named.withColumn("class_id", F.col("head"))
     else:  # a class is named by the id of the row that stands for its head
         ids = named.where("node = head").select("head", F.col("rep").alias("class_id")).distinct()
         named = salted_lookup(named, "head", "id", ids)
-    named = named.select(F.col("id").alias("n_id"), F.col("row").alias("n_row"), "class_id", F.col("rep").alias("copy_of"))
-    return (
-        rows.drop("text")
-        .join(named, (F.col("id") == F.col("n_id")) & (F.col("row") == F.col("n_row")), "left")
-        .select(F.col("id").alias(id_col), "class_id", "copy_of")
-    )
+    if repeated:  # each row of the table hears of the one that it repeats
+        named = named.select(F.col("id").alias("n_id"), F.col("row").alias("n_row"), "class_id", "rep")
+        named = rows.where("id is not null").select("id", "row").join(named, (F.col("id") == F.col("n_id")) & (F.col("row") == F.col("n_row")), "left")
+    nothing = F.lit(None).cast("long")
+    nulls = rows.where("id is null").select("id", nothing.alias("class_id"), nothing.alias("copy_of"))
+    return named.select("id", "class_id", F.col("rep").alias("copy_of")).unionByName(nulls).withColumnRenamed("id", id_col)
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argentum.operators.predicates import BLANKS
+
+#: Prefix of stored pictures, what is shown without a name, least mean confidence of a text.
 DATA_URL = "data:image/jpeg;base64,"
+UNNAMED = "圖片"
+LEAST_CONFIDENCE = 20.0
 
 
 def exif_datetime(tag: Column) -> Column:
@@ -41,8 +46,15 @@ def to_data_url(content: Column) -> Column:
 
 
 def from_data_url(url: Column) -> Column:
-    """The bytes, or null without the exact prefix."""
-    return F.when(url.startswith(DATA_URL), F.unbase64(F.substring(url, len(DATA_URL) + 1, 2**31 - 1 - len(DATA_URL))))
+    """The bytes; null without the exact prefix, or where what follows isn't padded base64."""
+    body = F.substring(url, len(DATA_URL) + 1, 2**31 - 1 - len(DATA_URL))
+    good = url.startswith(DATA_URL) & (F.length(body) % 4 == 0) & body.rlike("^[A-Za-z0-9+/]*([AQgw]==|[AEIMQUYcgkosw048]=)?$")
+    return F.when(good, F.try_to_binary(body, F.lit("base64")))
+
+
+def first_datetime(tags: list[Column]) -> Column:
+    """The first of several date tags (original, digitised, changed) that can be read."""
+    return F.coalesce(*[exif_datetime(t) for t in tags])
 
 
 def box_iou(a: list[Column], b: list[Column]) -> Column:
@@ -57,7 +69,9 @@ def box_iou(a: list[Column], b: list[Column]) -> Column:
 
 
 def filename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    """The last part of a path; one without has the name ``圖片``."""
+    last = F.element_at(F.split(path, "/"), -1)
+    return F.when(last.isin("", ".", "..") | last.isNull(), UNNAMED).otherwise(last)
 
 
 def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
@@ -70,23 +84,107 @@ def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     )
 
 
-def card(text: Column, people: Column) -> Column:
-    """The first hundred characters of the text, and the people."""
-    return F.concat_ws(" | ", F.substring(text, 1, 100), F.array_join(people, "、"))
+def utf16_prefix(text: Column, units: int) -> Column:
+    """The first code points of a text that fit into so many UTF-16 units; half a pair is left out."""
+    short = F.substring(text, 1, units)
+    width = lambda c: F.when(c.rlike("[\\x{10000}-\\x{10FFFF}]"), 2).otherwise(1)
+    fitting = F.aggregate(
+        F.split(short, ""),
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("kept")),
+        lambda acc, c: F.when(
+            (c != "") & (acc["n"] + width(c) <= units), F.struct((acc["n"] + width(c)).alias("n"), (acc["kept"] + 1).alias("kept"))
+        ).otherwise(F.struct(F.lit(units + 1).alias("n"), acc["kept"].alias("kept"))),
+        lambda acc: acc["kept"],
+    )
+    return F.when(short.rlike("[\\x{10000}-\\x{10FFFF}]"), F.substring(short, F.lit(1), fitting)).otherwise(short)
+
+
+def size_text(width: Column, height: Column) -> Column:
+    """``w × h``, or ``圖片`` where a side isn't known."""
+    known = F.coalesce((width > 0) & (height > 0), F.lit(False))
+    return F.when(known, F.concat_ws(" × ", width.cast("string"), height.cast("string"))).otherwise(UNNAMED)
+
 
+def card(text: Column, people: Column, width: Column, height: Column, captured_at: Column) -> Column:
+    """What a result shows under its picture: size, capture time, people and the first hundred units of the text.
 
-def eta_text(seconds: Column) -> Column:
-    """Hours and minutes, minutes and seconds, or seconds."""
+    Parts that are missing are left out; there is always a size.
+    """
+    part = lambda value, prefix="": F.when(value != "", F.concat(F.lit(prefix), value))
+    return F.concat_ws(
+        " | ",
+        size_text(width, height),
+        part(captured_at, "拍攝："),
+        part(F.array_join(people, "、")),
+        part(utf16_prefix(text, 100), "OCR："),
+    )
+
+
+def eta_text(seconds: Column, finish: Column | None = None) -> Column:
+    """The remaining time in words; ``finish`` is the clock time to name, if any."""
     h, m, rest = F.floor(seconds / 3600), F.floor(seconds % 3600 / 60), seconds % 60
     part = lambda x, unit: F.concat(x.cast("string"), F.lit(unit))
-    return (
-        F.when(seconds >= 3600, F.concat(part(h, "h "), part(m, "m")))
-        .when(seconds >= 60, F.concat(part(m, "m "), part(rest, "s")))
-        .otherwise(part(rest, "s"))
+    left = (
+        F.when(seconds >= 3600, F.concat(part(h, " 小時 "), part(m, " 分鐘")))
+        .when(seconds >= 60, F.concat(part(m, " 分鐘 "), part(rest, " 秒")))
+        .otherwise(part(rest, " 秒"))
+    )
+    end = F.lit("") if finish is None else F.concat(F.lit("（約 "), finish, F.lit(" 完成）"))
+    return F.when(seconds.isNull(), "正在估算完成時間…").when(seconds <= 0, "即將完成").otherwise(F.concat(F.lit("預估剩餘 "), left, end))
+
+
+def clock_text(second_of_day: Column) -> Column:
+    """``上午`` or ``下午`` with hours from 1 to 12 and minutes."""
+    hour = F.floor(second_of_day / 3600)
+    return F.concat(
+        F.when(hour < 12, "上午").otherwise("下午"), F.format_string("%02d:%02d", F.pmod(hour + 11, F.lit(12)) + 1, F.floor(second_of_day % 3600 / 60))
+    )
+
+
+def tsv_words(output: Column) -> Column:
+    """(place, word, confidence) of a recogniser's tab-separated output; the first line is its header.
+
+    A line has twelve fields at least, the last of which keeps further tabs.  Blank words are left
+    out; a confidence that isn't a number from 0 up is null.
+    """
+    lines = F.split(F.regexp_replace(output, "\r\n", "\n"), "\n")
+    lines = F.slice(lines, 2, F.size(lines))
+    fields = F.transform(lines, lambda line, place: F.struct(place.alias("place"), F.split(line, "\t", 12).alias("f")))
+    trimmed = lambda f: F.regexp_replace(F.get(f, F.lit(11)), f"^{BLANKS}|{BLANKS}$", "")
+    number = lambda f: F.when(F.get(f, F.lit(10)).rlike("^[^ ]+$"), F.get(f, F.lit(10)).try_cast("float"))
+    words = F.transform(
+        F.filter(fields, lambda x: F.size(x["f"]) >= 12),
+        lambda x: F.struct(
+            x["place"], trimmed(x["f"]).alias("word"), F.when((number(x["f"]) >= 0) & ~F.isnan(number(x["f"])), number(x["f"])).alias("confidence")
+        ),
+    )
+    return F.filter(words, lambda w: w["word"] != "")
+
+
+def tsv_text(output: Column, least: float = LEAST_CONFIDENCE) -> Column:
+    """struct(text, confidence) of a recogniser's output, or null: no words, or a mean confidence below ``least``.
+
+    Without any known confidence it is 0 and the text stays.
+    """
+    words = F.filter(F.array(tsv_words(output)), lambda w: F.size(w) > 0)
+    read = F.transform(
+        words,
+        lambda w: F.transform(
+            F.array(F.filter(F.transform(w, lambda x: x["confidence"]), lambda c: c.isNotNull())),
+            lambda known: F.struct(
+                F.array_join(F.transform(w, lambda x: x["word"]), " ").alias("text"),
+                F.when(F.size(known) == 0, 0.0)
+                .otherwise(F.aggregate(known, F.lit(0.0), lambda a, c: a + c.cast("double")) / F.size(known))
+                .alias("confidence"),
+                (F.size(known) > 0).alias("counted"),
+            ),
+        )[0],
     )
+    good = F.filter(read, lambda r: ~r["counted"] | (r["confidence"] >= least))
+    return F.get(F.transform(good, lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence"))), F.lit(0))
 
 
-def words_of_page(words: DataFrame, key: str, place: str, word: str, confidence: str, least: float = 20.0) -> DataFrame:
+def words_of_page(words: DataFrame, key: str, place: str, word: str, confidence: str, least: float = LEAST_CONFIDENCE) -> DataFrame:
     """(key, text, confidence) of recognised words, in their order.
 
     Words without a confidence (below 0) count for the text alone; a page whose mean

@@ -2,33 +2,60 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Everything else separates words (fixed value).
-NOT_WORD = r"[^\p{L}\p{N}\p{Co}]+"
-COLUMNS = ["filename", "ocr_text", "people_text"]
+#: Characters of words, and everything else, which separates them (fixed values).
+WORD, NOT_WORD = r"[\p{L}\p{N}\p{Co}]", r"[^\p{L}\p{N}\p{Co}]+"
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda t: t != "")
 
 
-def phrase(text: Column) -> Column:
-    """Words with one blank around each, so that a phrase is a substring."""
-    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+def words_of(term: str) -> list[str]:
+    """The words of a search term, as ``tokens`` cuts a text."""
+    kinds = ((c, unicodedata.category(c)) for c in term.lower())
+    return "".join(c if k[0] in "LN" or k == "Co" else " " for c, k in kinds).split()
 
 
-def matches(phrases: list[Column], term: str) -> Column:
-    """Whether the words of term follow each other in one of the columns; a term without words never does."""
-    needle = phrase(F.lit(term))
-    return (F.trim(needle) != "") & reduce(lambda a, b: a | b, [p.contains(needle) for p in phrases])
+def once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function of a value that is computed once, however often function uses it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
 
 
-def score(phrases: list[Column], should: list[str], must: list[str] = ()) -> Column:
+def _stands(low: Column, words: list[str]) -> Column:
+    """Texts are not cut into words: the first word is looked for, and a pattern looks at what is around it."""
+    pattern = f"(?<!{WORD})" + NOT_WORD.join(words) + f"(?!{WORD})"  # words have no letter that a pattern reads otherwise
+    return low.contains(words[0]) & low.rlike(pattern)
+
+
+def lowered(texts: list[Column]) -> Column:
+    return F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])
+
+
+def matches_in(low: Column, n: int, term: str) -> Column:
+    """As ``matches``, in an array of n lower-case texts."""
+    words = words_of(term)
+    return reduce(or_, [_stands(F.get(low, F.lit(k)), words) for k in range(n)]) if words else F.lit(False)
+
+
+def score_in(low: Column, n: int, terms: list[str]) -> Column:
+    """As ``score``, in an array of n lower-case texts."""
+    times = {t: terms.count(t) for t in terms}
+    return reduce(add, [F.when(matches_in(low, n, t), k).otherwise(0) for t, k in times.items()], F.lit(0))
+
+
+def matches(texts: list[Column], term: str) -> Column:
+    """Whether the words of term follow each other in one of the texts; a term without words never does."""
+    return once(lowered(texts), lambda low: matches_in(low, len(texts), term))
+
+
+def score(texts: list[Column], should: list[str], must: list[str] = ()) -> Column:
     """The number of terms that match; repeated terms count again."""
-    return reduce(
-        lambda a, b: a + b, [F.when(matches(phrases, t), 1).otherwise(0) for t in [*should, *must]], F.lit(0)
-    )
+    return once(lowered(texts), lambda low: score_in(low, len(texts), [*should, *must]))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from argentum.plans.query_parser import QueryPlan
 
 
+#: Seconds of the years 1 to 9999.
+MIN_SECONDS, MAX_SECONDS = -62135596800, 253402300799
 #: Unicode's white space (fixed values).
 BLANKS = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 
@@ -42,9 +44,19 @@ def has_no_people(people: Column, names: list[str]) -> Column:
 
 
 def date_key(captured_at: Column, modified_at: Column) -> Column:
-    """Capture time, else the modification time's epoch seconds as UTC text, else null."""
+    """Capture time, else the modification time's epoch seconds as UTC text, else null.
+
+    The text is UTC whatever the session's time zone is.
+    """
     seconds = modified_at.try_cast("bigint")
-    return F.coalesce(captured_at, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"))
+    return F.coalesce(captured_at, utc_text(F.when(seconds.between(MIN_SECONDS, MAX_SECONDS), seconds)))
+
+
+def utc_text(seconds: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of epoch seconds, from the day's number and what is left of the day."""
+    day, rest = F.floor(seconds / 86400), F.pmod(seconds, F.lit(86400))
+    clock = F.format_string("%02d:%02d:%02d", F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
+    return F.when(seconds.isNotNull(), F.concat_ws(" ", F.date_from_unix_date(day.cast("int")).cast("string"), clock))
 
 
 def in_dates(key: Column, first: str | None, last: str | None) -> Column:
@@ -78,19 +90,22 @@ def compact(hay: Column) -> Column:
     return F.regexp_replace(hay, BLANKS, "")
 
 
-def has_term(hay: Column, term: str, packed: Column | None = None) -> Column:
-    """As it stands, or with all blanks of both left out; ``packed``: the haystack so, if a column has it."""
+def has_term(hay: Column, term: str) -> Column:
+    """As it stands, or with all blanks of both left out.
+
+    The second is a pattern with blanks allowed between any two letters, so no text is rewritten.
+    """
     term = term.lower()
-    packed = compact(hay) if packed is None else packed
-    return hay.contains(term) | packed.contains("".join(term.split()))
+    letters = ["\\" + c if c.isascii() and not c.isalnum() else c for c in "".join(term.split())]
+    return hay.contains(term) | hay.rlike(f"{BLANKS[:-1]}*".join(letters))
 
 
-def has_any_term(hay: Column, terms: list[str], packed: Column | None = None) -> Column:
-    return reduce(or_, [has_term(hay, t, packed) for t in terms], F.lit(False))
+def has_any_term(hay: Column, terms: list[str]) -> Column:
+    return reduce(or_, [has_term(hay, t) for t in terms], F.lit(False))
 
 
-def matched_share(hay: Column, terms: list[str], packed: Column | None = None) -> Column:
+def matched_share(hay: Column, terms: list[str]) -> Column:
     """The share of terms that the haystack has; 0 without terms."""
     if not terms:
         return F.lit(0.0)
-    return reduce(lambda a, b: a + b, [F.when(has_term(hay, t, packed), 1.0).otherwise(0.0) for t in terms]) / len(terms)
+    return reduce(add, [F.when(has_term(hay, t), 1.0).otherwise(0.0) for t in terms]) / len(terms)

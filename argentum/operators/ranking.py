@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from argentum.operators import fulltext, predicates, vectors
@@ -12,65 +12,64 @@ BONUS = 0.15
 PAGE, MAX_PAGE = 60, 200
 
 
-def candidates(images: DataFrame, plan: QueryPlan, queries: DataFrame | None = None) -> DataFrame:
-    """Images that pass the filters, with lexical, sem (null: no vector) and excluded.
+def candidates(images: DataFrame, plan: QueryPlan, queries: list[list[float]] = ()) -> DataFrame:
+    """Images that pass the filters, with lexical, sim (null: no vector) and excluded.
 
     ``lexical`` is the larger of the number of full-text hits and the share of terms
-    found as substrings.  Text is read once; vectors meet the images by id.
+    found as substrings.  Filters, words and vectors are looked at in one pass: nothing is joined.
     """
     terms = [*plan.should, *plan.must]
-    # each text is lowered, packed and cut into words once, in columns of their own
-    kept = (
-        images.where(predicates.plan_filter(plan))
-        .select(
-            "id",
-            "filename",
-            "embedding",
-            predicates.haystack().alias("_hay"),
-            *[fulltext.phrase(c).alias(f"_p{k}") for k, c in enumerate((F.col("filename"), F.col("ocr_text"), F.array_join("people", " ")))],
-        )
-        .withColumn("_packed", predicates.compact(F.col("_hay")))
+    texts = [F.col("filename"), F.col("ocr_text"), F.array_join("people", " ")]
+    read = F.struct(fulltext.lowered(texts).alias("low"), predicates.haystack().alias("hay"))
+    judged = F.transform(
+        F.array(read),
+        lambda x: F.struct(
+            F.greatest(fulltext.score_in(x["low"], 3, terms).cast("double"), predicates.matched_share(x["hay"], terms)).alias("lexical"),
+            predicates.has_any_term(x["hay"], plan.must_not).alias("excluded"),
+        ),
     )
-    hay, packed, phrases = F.col("_hay"), F.col("_packed"), [F.col(f"_p{k}") for k in range(3)]
-    out = kept.select(
-        "id",
-        "filename",
-        F.greatest(
-            fulltext.score(phrases, plan.should, plan.must).cast("double"), predicates.matched_share(hay, terms, packed)
-        ).alias("lexical"),
-        predicates.has_any_term(hay, plan.must_not, packed).alias("excluded"),
-        "embedding",
+    # a row of its own, so that filters on it don't have it computed again
+    rows = images.where(predicates.plan_filter(plan)).select(
+        "id", "filename", vectors.best_similarity(F.col("embedding"), list(queries)).alias("sim"), F.explode(judged).alias("text")
     )
-    if queries is None:
-        return out.withColumn("sim", F.lit(None).cast("double")).drop("embedding")
-    sims = vectors.similarities(out.select("id", "embedding"), queries, "id")
-    return out.drop("embedding").join(sims, "id", "left")
+    return rows.select("id", "filename", "text.lexical", "sim", "text.excluded")
 
 
 def ranked(found: DataFrame, plan: QueryPlan) -> DataFrame:
     """(id, filename, score) of what the search keeps."""
-    positive = bool(plan.should or plan.must)
-    best = found.agg(vectors.threshold(F.max("sim")).alias("least"))  # one row
     keep = ~F.col("excluded")
-    if positive:
-        keep &= (F.col("lexical") > 0) | F.coalesce(F.col("sim") >= F.col("least"), F.lit(False))
+    if plan.should or plan.must:
+        # the best of all candidates, excluded ones too: one value
+        least = found.agg(vectors.threshold(F.max("sim")).alias("least")).scalar()
+        keep &= (F.col("lexical") > 0) | F.coalesce(F.col("sim") >= least, F.lit(False))
     sim = F.coalesce("sim", F.lit(0.0))
     score = F.when(
         (F.col("lexical") > 0) & ~F.col("excluded"), 1 + F.col("lexical") + BONUS * F.greatest(sim, F.lit(0.0))
     ).otherwise(sim)
-    return found.crossJoin(F.broadcast(best)).where(keep).select("id", "filename", score.alias("score"))
+    return found.where(keep).select("id", "filename", score.alias("score"))
 
 
 def ordered(hits: DataFrame, limit: int | None = None) -> DataFrame:
+    """Best score first, then by file name and id; a limit beyond an int cuts nothing."""
     out = hits.orderBy(F.desc("score"), "filename", "id")
-    return out.limit(limit) if limit else out
+    return out.limit(limit) if limit and limit < 2**31 else out
 
 
-def page(hits: DataFrame, offset: int = 0, size: int = PAGE, limit: int | None = None) -> DataFrame:
-    """Rows ``offset`` to ``offset + size`` of the ordered hits, at most MAX_PAGE; ``limit`` cuts before."""
+def page(
+    hits: DataFrame, offset: int = 0, size: int = PAGE, limit: int | None = None, after: tuple[float, str, object] | None = None
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + size`` of the ordered hits, at most MAX_PAGE; ``limit`` cuts before.
+
+    ``after`` is (score, filename, id) of a row: the page then begins behind it, counts its offset
+    from there, and costs the same however deep it lies.
+    """
     size = min(max(size, 1), MAX_PAGE)
     if limit is not None:
         size = max(0, min(size, limit - offset))
+    if after is not None:
+        score, name, id_ = (F.lit(x) for x in after)
+        behind = (F.col("filename") > name) | ((F.col("filename") == name) & (F.col("id") > id_))
+        hits = hits.where((F.col("score") < score) | ((F.col("score") == score) & behind))
     return hits.orderBy(F.desc("score"), "filename", "id").offset(offset).limit(size)
 
 
@@ -87,6 +86,36 @@ def page_metadata(hits: DataFrame, offset: int = 0, size: int = PAGE, limit: int
 
 
 def hydrate(rows: DataFrame, thumbnails: DataFrame, key: str = "id") -> DataFrame:
-    """A page with its thumbnails; the page, at most MAX_PAGE rows, is what is broadcast."""
-    few = F.broadcast(rows)
-    return thumbnails.join(few, key, "right").withColumn("thumbnail", F.coalesce("thumbnail", F.lit("")))
+    """A page with its thumbnails, empty where there is none; pages of more than MAX_PAGE rows are an error.
+
+    The page comes to the driver, as pages do, and its keys are a filter that reaches the scan of
+    the thumbnails: only what it lets through meets the page.
+    """
+    few = rows.limit(MAX_PAGE + 1).collect()
+    if len(few) > MAX_PAGE:
+        raise ValueError(f"a page has at most {MAX_PAGE} rows")
+    shown = rows.sparkSession.createDataFrame(few, rows.schema)
+    found = thumbnails.where(F.col(key).isin([r[key] for r in few])).select(key, "thumbnail").dropDuplicates([key])
+    return shown.join(F.broadcast(found), key, "left").withColumn("thumbnail", F.coalesce("thumbnail", F.lit("")))
+
+
+def positions(images: DataFrame, walk: str = "id", buckets: int = 1024) -> DataFrame:
+    """images with ``position``: its place by lower-case file name, then by the order of the listing.
+
+    Names are dealt to ranges, each range is numbered by itself, and the ranges' sizes (a row
+    for each) say where it begins.
+    """
+    named = images.withColumn("_p_name", F.lower("filename"))
+    ranged = named.repartitionByRange(buckets, "_p_name", walk).withColumn("_p_part", F.spark_partition_id())
+    order = Window.partitionBy("_p_part").orderBy("_p_name", walk)
+    numbered = ranged.withColumn("_p_nth", F.row_number().over(order))
+    sizes = ranged.groupBy("_p_part").agg(F.count("*").alias("_p_n"))
+    before = Window.orderBy("_p_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select("_p_part", F.coalesce(F.sum("_p_n").over(before), F.lit(0)).alias("_p_first"))
+    placed = numbered.join(F.broadcast(firsts), "_p_part")  # at most ``buckets`` rows
+    return placed.withColumn("position", F.col("_p_first") + F.col("_p_nth") - 1).select(*images.columns, "position")
+
+
+def session_key(root: str, query: str, version: int) -> tuple[str, str, int]:
+    """What ranked hits may be reused for: the same root, the very same query, the same state of the catalogue."""
+    return root, query, version

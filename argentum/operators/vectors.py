@@ -1,9 +1,16 @@
-"""Exact vector search with array functions."""
+"""Exact vector search: array functions for a search's own vectors, blocks of matrix products for many."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 MIN_SIMILARITY, MARGIN = 0.20, 0.07
 
@@ -25,15 +32,21 @@ def normalize(a: Column) -> Column:
     return F.when(norm > 0, F.transform(a, lambda x: x.cast("double") / norm)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, key: str, vector: str = "embedding", query: str = "q") -> DataFrame:
-    """(key, sim): the best similarity over the query vectors.
+def best_similarity(vector: Column, queries: list[list[float]]) -> Column:
+    """The best similarity over a search's query vectors; null without a vector or one of their length."""
+    sims = [
+        F.when(F.size(vector) == len(q), F.greatest(F.least(cosine(vector, F.lit(list(map(float, q)))), F.lit(1.0)), F.lit(-1.0)))
+        for q in queries
+    ]
+    return F.greatest(*sims) if len(sims) > 1 else sims[0] if sims else F.lit(None).cast("double")
+
+
+def similarities(vectors: DataFrame, queries: list[list[float]], key: str, vector: str = "embedding") -> DataFrame:
+    """(key, sim): the best similarity over the query vectors, where a row has any.
 
-    Queries are one search's vectors, two at most, so they are broadcast.  Vectors
-    of another length are left out.
+    The query vectors are part of the plan: nothing is joined or moved.
     """
-    met = vectors.where(F.col(vector).isNotNull()).join(F.broadcast(queries.limit(2)), F.size(vector) == F.size(query))
-    sim = F.greatest(F.least(cosine(F.col(vector), F.col(query)), F.lit(1.0)), F.lit(-1.0))
-    return met.groupBy(key).agg(F.max(sim).alias("sim"))
+    return vectors.select(key, best_similarity(F.col(vector), queries).alias("sim")).where("sim is not null")
 
 
 def nearest(scores: DataFrame, k: int, key: str) -> DataFrame:
@@ -46,11 +59,93 @@ def threshold(best: Column) -> Column:
     return F.greatest(F.coalesce(best - MARGIN, F.lit(MIN_SIMILARITY)), F.lit(MIN_SIMILARITY))
 
 
-def nearest_group(vectors: DataFrame, groups: DataFrame, key: str, vector: str, centroid: str, least: float) -> DataFrame:
-    """For each vector the most similar centroid at or over ``least``; of equal ones the last.
-
-    Groups are the named people of one catalogue; Spark broadcasts them while they are small.
+def _blocks(table: DataFrame, key: str, vector: str, rows: int):
+    """(keys, unit rows) of the vectors of a table, in blocks of one length and at most ``rows``; zero vectors are left out."""
+    kept: dict[int, tuple[list, list]] = {}
+    for r in table.select(key, vector).where(F.size(vector) > 0).toLocalIterator():
+        keys, block = kept.setdefault(len(r[1]), ([], []))
+        x = np.array(r[1], np.float64)
+        if norm := np.linalg.norm(x):
+            keys.append(r[0])
+            block.append(x / norm)
+        if len(keys) == rows:
+            yield kept.pop(len(r[1]))[0], np.array(block)
+    for keys, block in kept.values():
+        if keys:
+            yield keys, np.array(block)
+
+
+def _similar(batch: pa.RecordBatch, block: np.ndarray):
+    """(rows, similarities) of the batch's vectors (its second column) that have the block's length."""
+    lists = batch.column(1)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(sizes == block.shape[1])
+    x = pc.list_flatten(lists.take(pa.array(rows))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, block.shape[1])
+    norms = np.linalg.norm(x, axis=1)
+    rows, x = rows[norms > 0], x[norms > 0] / norms[norms > 0, None]
+    return rows, np.clip(x @ block.T, -1.0, 1.0)
+
+
+def nearest_group(
+    vectors: DataFrame, groups: DataFrame, key: str, vector: str, centroid: str, least: float, group: str = "group_id", rows: int = 4096
+) -> DataFrame:
+    """(key, group_id, sim): for each vector the most similar centroid at or over ``least``; of equal ones the last.
+
+    Centroids go to the tasks in blocks of at most ``rows``.  A vector keeps the best one of a
+    block, and blocks are merged by key: no pair of vector and centroid is ever a row.
+    Vectors and centroids of different lengths, nulls and zero vectors don't meet.
+    """
+    key_type = vectors.schema[key].dataType
+    schema = StructType([StructField(key, key_type), StructField(group, StringType()), StructField("sim", DoubleType())])
+    parts = []
+    for names, block in _blocks(groups.withColumn(group, F.col(group).cast("string")), group, centroid, rows):
+        order = np.array(sorted(range(len(names)), key=lambda i: names[i], reverse=True))
+        names, block = [names[i] for i in order], block[order]  # argmax takes the first of equal ones
+
+        def best(batches, names=names, block=block):
+            for batch in batches:
+                at, sims = _similar(batch, block)
+                top = sims.argmax(1) if len(at) else np.zeros(0, np.int64)
+                sim = sims[np.arange(len(at)), top]
+                good = sim >= least
+                columns = batch.column(0).take(pa.array(at[good])), pa.array([names[k] for k in top[good]], pa.string()), pa.array(sim[good])
+                yield pa.RecordBatch.from_arrays(list(columns), names=[key, group, "sim"])
+
+        parts.append(vectors.select(key, vector).mapInArrow(best, schema))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], schema)
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.max(F.struct("sim", group)).alias("top")).select(key, f"top.{group}", "top.sim")
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str, rows: int = 1024) -> DataFrame:
+    """(query, key, sim, place): the k most similar vectors of each query vector; of equal ones the smaller key.
+
+    Query vectors (key and vector as in vectors) go to the tasks in blocks of at most ``rows``;
+    each batch keeps the best k of each query, which are merged by query.  Exact; the query itself
+    counts as well.
     """
-    met = vectors.join(groups, F.size(vector) == F.size(centroid)).withColumn("sim", cosine(F.col(vector), F.col(centroid)))
-    order = Window.partitionBy(key).orderBy(F.desc("sim"), F.desc("group_id"))
-    return met.where(F.col("sim") >= least).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    key_type = vectors.schema[key].dataType
+    schema = StructType([StructField("query", key_type), StructField(key, key_type), StructField("sim", DoubleType())])
+    kind = to_arrow_type(key_type)
+    found = vectors.sparkSession.createDataFrame([], schema)
+    for names, block in _blocks(queries, key, vector, rows):
+
+        def best(batches, names=pa.array(names, kind), block=block):
+            for batch in batches:
+                at, sims = _similar(batch, block)
+                keys = batch.column(0).take(pa.array(at))
+                order = np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable")
+                sims = sims[order]
+                top = np.argsort(-sims, axis=0, kind="stable")[:k]  # (k, queries), equal ones by key
+                columns = (
+                    names.take(pa.array(np.tile(np.arange(len(names)), len(top)))),
+                    keys.take(pa.array(order[top.ravel()])),
+                    pa.array(np.take_along_axis(sims, top, 0).ravel()),
+                )
+                yield pa.RecordBatch.from_arrays(list(columns), names=["query", key, "sim"])
+
+        found = found.unionByName(vectors.select(key, vector).mapInArrow(best, schema))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), key))
+    return found.withColumn("place", place).where(F.col("place") <= k)

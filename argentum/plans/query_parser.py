@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 # Fixed values of the query language.
 EXTENSIONS = ["jpg", "jpeg", "png", "webp", "gif", "bmp"]
-STOP_WORDS = set("的 和 與 在 有 一張 一些 照片 相片 圖片 影像 找 找出 請 幫我 顯示 列出 相關 最 看 只 其中 裡 中 張".split())
+STOP_WORDS = ["的", "和", "與", "在", "有", "一張", "一些", "照片", "相片", "圖片", "影像", "找", "找出", "請", "幫我", "顯示", "列出", "相關", "最", "看", "只", "其中", "裡", "中", "張"]
 LIMIT_MARKS = ["最多", "前", "取"]
 SUMMERS = {"去年夏天": -1, "今年夏天": 0}
 YEARS = {"前年": -2, "去年": -1, "今年": 0, "明年": 1}
@@ -94,21 +94,44 @@ def _take_negated(text: str) -> tuple[list[str], str]:
     return out, text
 
 
+def parse_limit(query: str) -> int | None:
+    """The number behind the first marker that has one; larger ones than an unsigned long are none."""
+    for mark in LIMIT_MARKS:
+        found = re.match(r"\s*([0-9]+)", query.partition(mark)[2])
+        if found and 0 < int(found[1]) < 2**64:
+            return int(found[1])
+    return None
+
+
+def _take_people(query: str, rest: str, known_people: list[str], plan: QueryPlan) -> str:
+    """Known people in the query, in either case; they leave rest, a negation before them doesn't."""
+    for person in sorted({p.strip() for p in known_people if p.strip()}):
+        name = person.lower()
+        if name not in query:
+            continue
+        if any(mark + name in query for mark in PERSON_NEGATION):
+            plan.people_exclude.append(person)
+        else:
+            plan.people_include.append(person)
+            plan.face = "required" if plan.face == "any" else plan.face
+        rest = rest.replace(name, " ")
+    return rest
+
+
 def parse(query: str, known_people: list[str] = (), now_year: int | None = None) -> QueryPlan:
-    """The plan of a query; a blank query has an empty plan.  ``now_year`` defaults to the UTC year."""
+    """The plan of a query, in either case; a blank query has an empty plan.  ``now_year`` defaults to the UTC year."""
     year = now_year or datetime.datetime.now(datetime.UTC).year
-    plan = QueryPlan()
+    query = query.strip().lower()
+    plan = QueryPlan(limit=parse_limit(query))
     if dates := parse_dates(query, year):
         plan.date_from, plan.date_to = dates
-    mark = next((m for m in LIMIT_MARKS if m in query), None)
-    if mark and (n := re.match(r"\s*([0-9]+)", query[query.find(mark) + len(mark) :])) and int(n[1]) > 0:
-        plan.limit = int(n[1])
+    # date words go before limit markers, and all digits with them
     rest = query
-    for m in LIMIT_MARKS:
-        rest = re.sub(re.escape(m) + r"\s*[0-9]*", " ", rest, count=1)
     for word in DATE_WORDS:
         rest = rest.replace(word, " ")
     rest = re.sub("[0-9]", " ", rest)
+    for mark in LIMIT_MARKS:
+        rest = re.sub(re.escape(mark) + r"\s*", " ", rest, count=1)
 
     if any(w in query for w in NO_FACE):
         plan.face = "forbidden"
@@ -117,20 +140,11 @@ def parse(query: str, known_people: list[str] = (), now_year: int | None = None)
     elif w := next((w for w in FACE if w in query), None):
         plan.face = "required"
         rest = rest.replace(w, " ")
-    for name in sorted({p for p in known_people if p.strip()}):
-        if name not in query:
-            continue
-        if any(n + name in query for n in PERSON_NEGATION):
-            plan.people_exclude.append(name)
-            rest = re.sub(f"(?:{'|'.join(PERSON_NEGATION)}){re.escape(name)}", " ", rest)
-        else:
-            plan.people_include.append(name)
-            plan.face = "required" if plan.face == "any" else plan.face
-        rest = rest.replace(name, " ")
+    rest = _take_people(query, rest, known_people, plan)
     for extension in EXTENSIONS:
-        if extension in rest.lower():
+        if extension in query:
             plan.extensions.append(extension)
-            rest = re.sub(re.escape(extension), " ", rest, flags=re.I)
+            rest = rest.replace(extension, " ")
     plan.must_not, rest = _take_negated(rest)
-    plan.should = [t for t in tokenize(rest) if t not in TERM_NEGATION]
+    plan.should = [t for t in tokenize(rest) if t not in PERSON_NEGATION]
     return plan

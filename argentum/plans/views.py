@@ -10,47 +10,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("id"),
-        F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("captured_at"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("modified_at"),
-    )
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("label"), "n_name")
+#: Which table a column of the catalogue comes from, where it isn't documents.
+FROM_EVENTS = {"captured_at", "modified_at"}
+FROM_EMBEDDINGS = {"people", "face_group_ids", "embedding"}
+COLUMNS = [
+    "id", "root", "path", "filename", "bytes", "captured_at", "modified_at", "ocr_text", "people", "face_group_ids", "embedding", "width", "height",
+]
+
+
+def images(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The catalogue, or some of its columns; tables that none of these needs are not read."""
+    wanted = [c for c in COLUMNS if columns is None or c in columns]
     ending = F.element_at(F.array(*map(F.lit, ["jpg", "JPEG", "png", "webp", "gif", "txt"])), (F.col("id") % 6 + 1).cast("int"))
-    empty = F.array().cast("array<string>")
-    return (
-        table(spark, sf_dir, "documents")
-        .select(F.col("doc_id").alias("id"), F.col("text").alias("ocr_text"), "source", F.col("n_chars").alias("bytes"))
-        .join(events, "id", "left")
-        .join(vectors, "id", "left")
-        .join(F.broadcast(nations), "label", "left")  # 25 rows at any size
-        .withColumn("filename", F.concat(F.lit("doc_"), "id", F.lit("."), ending))
-        .select(
-            "id",
-            F.lit("/corpus").alias("root"),
-            F.concat(F.lit("/corpus/"), "source", F.lit("/"), "filename").alias("path"),
-            "filename",
-            "bytes",
-            "captured_at",
-            "modified_at",
-            "ocr_text",
-            F.when(F.col("label") < 5, F.array("n_name")).otherwise(empty).alias("people"),
-            F.when(F.col("label").isNotNull(), F.array(F.concat(F.lit("face-"), F.col("label")))).otherwise(empty).alias("face_group_ids"),
-            "embedding",
-        )
-    )
+    name, empty = F.concat(F.lit("doc_"), "id", F.lit("."), ending), F.array().cast("array<string>")
+    of = {
+        "id": F.col("id"),
+        "root": F.lit("/corpus"),
+        "path": F.concat(F.lit("/corpus/"), "source", F.lit("/"), name),
+        "filename": name,
+        "bytes": F.col("n_chars"),
+        "captured_at": F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
+        # a timestamp without zone is UTC here, whatever the session's zone is
+        "modified_at": F.floor(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1000000).cast("string"),
+        "ocr_text": F.col("text"),
+        "people": F.when(F.col("label") < 5, F.array("n_name")).otherwise(empty),
+        "face_group_ids": F.when(F.col("label").isNotNull(), F.array(F.concat(F.lit("face-"), F.col("label")))).otherwise(empty),
+        "embedding": F.col("embedding"),
+        "width": (F.col("n_chars") % 4000 + 1).cast("int"),
+        "height": F.when(F.col("id") % 9 != 0, (F.col("id") % 3000 + 1).cast("int")),
+    }
+    rows = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    if FROM_EVENTS & set(wanted):
+        rows = rows.join(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "ts"), "id", "left")
+    if FROM_EMBEDDINGS & set(wanted):
+        vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+        nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("label"), "n_name")
+        rows = rows.join(vectors, "id", "left").join(F.broadcast(nations), "label", "left")  # 25 rows at any size
+    return rows.select(*[of[c].alias(c) for c in wanted])
 
 
 IMAGES = """
 images as (
   select doc_id as id, '/corpus' as root, '/corpus/' || source || '/' || filename as path, filename, n_chars as bytes,
          case when event_type <> 'error' then strftime(ts, '%Y-%m-%d %H:%M:%S') end as captured_at,
-         cast(epoch_ms(ts) // 1000 as varchar) as modified_at, text as ocr_text,
+         cast(epoch_us(ts) // 1000000 as varchar) as modified_at, text as ocr_text,
          case when label < 5 then [n_name] else [] end as people,
          case when label is not null then ['face-' || label] else [] end as face_group_ids,
-         embedding
+         embedding, cast(n_chars % 4000 + 1 as integer) as width, case when doc_id % 9 <> 0 then cast(doc_id % 3000 + 1 as integer) end as height
   from (select *, 'doc_' || doc_id || '.' || (['jpg', 'JPEG', 'png', 'webp', 'gif', 'txt'])[doc_id % 6 + 1] as filename from documents)
   left join events on event_id = doc_id
   left join embeddings on vec_id = doc_id
@@ -58,9 +64,9 @@ images as (
 )"""
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two query vectors of the registered searches."""
-    return table(spark, sf_dir, "embeddings").where("vec_id in (0, 1)").select(F.col("embedding").alias("q"))
+def queries(spark: SparkSession, sf_dir: str) -> list[list[float]]:
+    """The two query vectors of the registered searches, as an encoder would hand them over."""
+    return [r[0] for r in table(spark, sf_dir, "embeddings").where("vec_id in (0, 1)").orderBy("vec_id").select("embedding").collect()]
 
 
 def old_snapshot(all_images: DataFrame) -> DataFrame:

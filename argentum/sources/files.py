@@ -2,29 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argentum.functions.media import filename
+from argentum.operators.predicates import has_extension
 from argentum.plans.query_parser import EXTENSIONS
 
 #: Matches the extensions in either case.
 GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in EXTENSIONS) + "}"
 
 
-def scan(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
-    """One row per image under root: root, path, filename, bytes, modified_at, and content if asked for.
+def modified_ns(time: Column) -> Column:
+    """Nanoseconds since 1970, as fine as the file source tells the time; null before."""
+    micros = F.unix_micros(time)
+    return F.when(micros >= 0, micros * 1000)
 
-    Without content only the listing is read.  A missing root is Spark's error.
-    """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
-    )
+
+def supported(listing: DataFrame, limit: int | None = None) -> DataFrame:
+    """Files with a supported extension; with a limit the first so many by path."""
+    found = listing.where(has_extension(F.col("filename"), EXTENSIONS))
+    return found if limit is None else found.orderBy("path").limit(limit)
+
+
+def listed(files: DataFrame, root: str) -> DataFrame:
+    """root, path, filename, bytes, modified_at and modified_ns of rows of the binary file source."""
     return files.select(
         F.lit(root).alias("root"),
         "path",
         filename(F.col("path")).alias("filename"),
         F.col("length").alias("bytes"),
         F.unix_seconds("modificationTime").cast("string").alias("modified_at"),
-        *["content"] * with_content,
+        modified_ns(F.col("modificationTime")).alias("modified_ns"),
+        *[c for c in files.columns if c == "content"],
+    )
+
+
+def scan(spark: SparkSession, root: str, with_content: bool = False, limit: int | None = None) -> DataFrame:
+    """One row per image under root: see ``listed``; content only if asked for.
+
+    Without content only the listing is read.  A missing root, or one that is a file, is an error.  With
+    a limit the first so many by path are taken.
+    """
+    if not root.rstrip("/"):
+        raise ValueError("a folder is needed")
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root.rstrip("/") + "/")
     )
+    rows = listed(files if with_content else files.drop("content"), root)
+    return supported(rows, limit)
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str, root: str | None = None) -> DataFrame:
+    """A table of the catalogue as Parquet, or an empty one where there is none yet; of one root if it is given."""
+    try:
+        rows = spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    return rows if root is None else rows.where(F.col("root") == root)

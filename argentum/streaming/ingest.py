@@ -2,38 +2,91 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from argentum.functions.media import filename
-from argentum.operators.maintenance import KEY
-from argentum.sources.files import GLOB
+from argentum.operators.maintenance import KEY, last_of
+from argentum.sources.files import GLOB, listed
 
 LISTING = "path string, modificationTime timestamp, length long, content binary"
 
 
-def follow(spark: SparkSession, root: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append the listing of new files under root to target until all present ones are taken."""
-    files = (
+class Gate:
+    """Holds a stream between micro-batches: ``pause`` and ``resume`` may be called from any thread."""
+
+    def __init__(self):
+        self._open = threading.Event()
+        self._open.set()
+
+    def pause(self) -> None:
+        self._open.clear()
+
+    def resume(self) -> None:
+        self._open.set()
+
+    @property
+    def paused(self) -> bool:
+        return not self._open.is_set()
+
+    def wait(self) -> None:
+        self._open.wait()
+
+
+def remaining(done: int, total: int, elapsed: float) -> int | None:
+    """Whole seconds left: 0 when all is done, none before anything can be told."""
+    if total and done >= total:
+        return 0
+    if not done or elapsed < 0.5:
+        return None
+    return -int(-(total - done) * elapsed // done)
+
+
+def follow(
+    spark: SparkSession,
+    root: str,
+    target: str,
+    checkpoint: str,
+    files_per_batch: int | None = None,
+    gate: Gate | None = None,
+    report: Callable[[dict], None] | None = None,
+    total: int = 0,
+) -> StreamingQuery:
+    """Append the listing of new files under root to target until all present ones are taken.
+
+    A micro-batch has files_per_batch files at most and a folder of its own, which a repeated batch
+    writes again, so no file is listed twice.  A paused gate holds the next batch.  After
+    each batch ``report`` gets done, total, elapsed and eta (seconds left, or none).
+    """
+    reader = (
         spark.readStream.format("binaryFile")
         .schema(LISTING)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", GLOB)
-        .load(root)
     )
-    rows = files.select(
-        F.lit(root).alias("root"),
-        "path",
-        filename(F.col("path")).alias("filename"),
-        F.col("length").alias("bytes"),
-        F.unix_seconds("modificationTime").cast("string").alias("modified_at"),
-    )
-    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    began, seen = time.monotonic(), {}
+
+    def take(batch: DataFrame, number: int) -> None:
+        if gate:
+            gate.wait()
+        path = f"{target}/batch={number}"
+        batch.write.mode("overwrite").parquet(path)
+        if report:
+            seen[number] = spark.read.parquet(path).count()
+            done, elapsed = sum(seen.values()), time.monotonic() - began
+            report({"done": done, "total": max(total, done), "elapsed": elapsed, "eta": remaining(done, max(total, done), elapsed)})
+
+    rows = listed(reader.load(root), root).drop("content")
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(changes: DataFrame) -> DataFrame:
     """The newest row of each file in a folder of change sets."""
-    columns = [c for c in changes.columns if c not in KEY]
-    newest = F.max_by(F.struct(*columns), F.struct(F.col("modified_at").try_cast("bigint"), "bytes")).alias("row")
-    return changes.groupBy(*KEY).agg(newest).select(*KEY, "row.*")
+    rows = changes.drop("batch")
+    return last_of(rows.withColumn("_time", F.col("modified_at").try_cast("bigint")), KEY, ["_time", "bytes"]).select(rows.columns)

@@ -27,6 +27,14 @@ CASES = [
     ("dog, cat dog", [], dict(should=["dog", "cat", "dog"])),
     ("合照 人像", [], dict(face="required", should=["合照"])),
     ("", [], {}),
+    ("  TONY 照片", ["Tony"], dict(people_include=["Tony"], face="required")),
+    ("不要TONY DOG.JPG", ["Tony", "Ann"], dict(people_exclude=["Tony"], extensions=["jpg"], should=["dog"])),
+    ("前年 取5張 貓", [], dict(date_from="2023-01-01 00:00:00", date_to="2023-01-31 23:59:59", limit=5, should=["貓"])),
+    ("前年前10張 貓", [], dict(date_from="2023-01-01 00:00:00", date_to="2023-01-31 23:59:59", should=["貓"])),
+    ("無 貓", [], dict(should=["貓"])),
+    ("無小明 貓", ["小明"], dict(people_exclude=["小明"], should=["貓"])),
+    ("貓 最多 99999999999999999999", [], dict(should=["貓"])),
+    ("貓 最多 99999999999 張", [], dict(should=["貓"], limit=99999999999)),
 ]
 
 

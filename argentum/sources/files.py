@@ -43,13 +43,12 @@ def scan(spark: SparkSession, root: str, with_content: bool = False, limit: int
     """One row per image under root: see ``listed``; content only if asked for.
 
     Without content only the listing is read.  A missing root, or one that is a file, is an error.  With
-    a limit the first so many by path are taken.
+    a limit the first so many by path are taken.  Spark's source passes over empty files.
     """
-    if not root.rstrip("/"):
-        raise ValueError("a folder is needed")
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root.rstrip("/") + "/")
-    )
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(path):
+        raise NotADirectoryError(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
     rows = listed(files if with_content else files.drop("content"), root)
     return supported(rows, limit)
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from argentum.functions import media
-from argentum.operators import fulltext, maintenance, vectors
+from argentum.functions import faces, media
+from argentum.operators import fulltext, maintenance, predicates, ranking, vectors
 from argentum.sources import files
 from argentum.streaming import ingest
 
@@ -37,7 +37,7 @@ def test_full_text(spark):
         "p3": ("x.jpg", "café café a b", "A"),
     }
     df = spark.createDataFrame([(k, *v) for k, v in rows.items()], "id string, f string, o string, p string")
-    phrases = [fulltext.phrase(F.col(c)) for c in "fop"]
+    texts = [F.col(c) for c in "fop"]
     hits = {
         "p1": ["receipt", "RECEIPT", "img", "2024", "tony", "海邊的狗", "2024 receipt", "invoice 海邊的狗"],
         "p2": ["海邊", "foo bar", "foo-bar", "bar baz", "小明", "straße"],
@@ -46,10 +46,118 @@ def test_full_text(spark):
     }
     for want, terms in hits.items():
         for term in terms:
-            got = [r["id"] for r in df.where(fulltext.matches(phrases, term)).collect()]
+            got = [r["id"] for r in df.where(fulltext.matches(texts, term)).collect()]
             assert got == ([want] if want else []), term
 
 
+def test_terms_between_blanks(spark):
+    df = spark.createDataFrame([("a b\u3000c d. e\\f(g",)], "hay string")
+    for term, want in (("bcd", True), ("b c", True), ("B C", True), ("c d.", True), ("c.d", False), (". e\\f(", True), ("x", False), ("da", False)):
+        assert df.select(predicates.has_term(F.col("hay"), term).alias("x")).first()["x"] is want, term
+
+
+def test_data_urls_that_are_none(spark):
+    good = media.DATA_URL + "AAECAw=="
+    for url, want in ((good, b"\0\1\2\3"), (media.DATA_URL, b""), (good + "=", None), (good[1:], None), (media.DATA_URL + "AB*=", None), (media.DATA_URL + "AAF=", None), (None, None)):
+        got = one(spark, media.from_data_url(F.lit(url).cast("string")))
+        assert (None if got is None else bytes(got)) == want, url
+
+
+def test_date_keys_are_utc_in_any_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Asia/Taipei"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            for seconds, want in (("0", "1970-01-01 00:00:00"), ("-1", "1969-12-31 23:59:59"), ("1784246400", "2026-07-17 00:00:00"), ("2026-08-19", None), (None, None)):
+                assert one(spark, predicates.date_key(F.lit(None).cast("string"), F.lit(seconds).cast("string"))) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_cards_and_names(spark):
+    text = "\U0001f600" * 60
+    assert one(spark, media.utf16_prefix(F.lit(text), 100)) == text[:50]
+    assert one(spark, media.utf16_prefix(F.lit("a" + text), 100)) == "a" + text[:49]
+    assert one(spark, media.utf16_prefix(F.lit("é" * 120), 100)) == "é" * 100
+    none = F.lit(None).cast("string")
+    assert one(spark, media.card(F.lit(""), F.array(F.lit("Ann"), F.lit("Bo")), F.lit(4), F.lit(3), none)) == "4 × 3 | Ann、Bo"
+    assert one(spark, media.card(F.lit("x"), F.array().cast("array<string>"), F.lit(None).cast("int"), F.lit(3), F.lit("2024"))) == "圖片 | 拍攝：2024 | OCR：x"
+    for path, want in (("/a/b.jpg", "b.jpg"), ("/a/", "圖片"), (None, "圖片")):
+        assert one(spark, media.filename(F.lit(path).cast("string"))) == want
+    for seconds, want in ((None, "正在估算完成時間…"), (0, "即將完成"), (59, "預估剩餘 59 秒"), (61, "預估剩餘 1 分鐘 1 秒"), (3660, "預估剩餘 1 小時 1 分鐘")):
+        assert one(spark, media.eta_text(F.lit(seconds).cast("long"))) == want
+
+
+def test_recogniser_output(spark):
+    line = lambda conf, word: "\t".join(["1"] * 10 + [conf, word])
+    read = lambda *lines: one(spark, media.tsv_text(F.lit("\n".join(["header", *lines]))))
+    assert read(line("90", " a\tb "), line("-1", "c"), "short", line("x", "\u3000")) == ("a\tb c", 90.0)
+    assert read(line("10", "a"), line("20", "b")) is None and read() is None and read(line("50", " ")) is None
+    assert read(line("NaN", "a")) == ("a", 0.0) and read(line("30", "a") + "\r", line("20", "b")) == ("a b", 25.0)
+
+
+def test_overlapping_and_small_faces(spark):
+    rows = [(1, 0, 0.9, 0, 0, 10, 10), (1, 1, 0.8, 1, 0, 11, 10), (1, 2, 0.7, 8, 0, 18, 10), (1, 3, 0.9, 1, 0, 11, 10), (2, 0, 0.1, 0, 0, 1, 1)]
+    found = spark.createDataFrame([(*r[:3], *map(float, r[3:])) for r in rows], "image int, n int, score double, x1 double, y1 double, x2 double, y2 double")
+    assert sorted((r["image"], r["n"]) for r in faces.suppress(found, "image", ["n"]).collect()) == [(1, 0), (1, 2), (2, 0)]
+    assert faces.suppress(found.where("false"), "image", ["n"]).count() == 0
+    box = lambda *x: [F.lit(float(v)) for v in x]
+    assert one(spark, faces.large_enough(box(0, 0, 24, 24))) and not one(spark, faces.large_enough(box(0, 0, 24, 23.9)))
+    assert one(spark, faces.crop(box(10, 10, 60, 60), F.lit(100), F.lit(100))) == (0, 0, 71, 74)
+    assert one(spark, faces.crop(box(500, 500, 501, 501), F.lit(100), F.lit(50))) == (99, 49, 1, 1)
+    assert one(spark, faces.fitted(F.lit(360), F.lit(90))) == (180, 45) and one(spark, faces.fitted(F.lit(1), F.lit(1000))) == (1, 180)
+    grid = spark.createDataFrame([(1, 320, 2.0, [0.1, 0.9, 0.7, 0.66, 0.9, 0.9, 0.9, 0.9, 0.9], [0.5] * 32, [0.25] * 80)], "image int, stride int, scale double, scores array<double>, boxes array<double>, landmarks array<double>")
+    got = {r["anchor"]: (r["x1"], r["y1"], r["x2"], r["y2"], r["landmarks"][:2]) for r in faces.decode(grid, "image").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7]
+    assert got[1] == (-80.0, -80.0, 80.0, 80.0, [40.0, 40.0]) and got[6] == (80.0, 80.0, 240.0, 240.0, [200.0, 200.0])
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.standard_normal(4)]) for i in range(40)] + [(40, None), (41, []), (42, [0.0] * 4), (43, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "id long, v array<double>")
+    groups = spark.createDataFrame([(f"g{i:02d}", v) for i, v in rows[:20]] + [("twin", rows[3][1]), ("short", [1.0, 1.0])], "group_id string, c array<double>")
+    one_block = sorted(map(tuple, vectors.nearest_group(table, groups, "id", "v", "c", 0.3).collect()))
+    assert one_block == sorted(map(tuple, vectors.nearest_group(table, groups, "id", "v", "c", 0.3, rows=3).collect()))
+    got = {r[0]: r[1] for r in one_block}
+    assert got[3] == "twin" and got[43] == "short" and not {40, 41, 42} & set(got)
+    unit = np.array([v for _, v in rows[:40]])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = {(q, int(i)) for q in (0, 20) for i in np.argsort(-(unit @ unit[q]))[:5]}
+    near = vectors.nearest_each(table, table.where("id % 20 = 0"), 5, "id", "v", rows=1)
+    assert {(r["query"], r["id"]) for r in near.where("query < 40").collect()} == want
+    assert "Join" not in vectors.nearest_group(table, groups, "id", "v", "c", 0.3)._jdf.queryExecution().toString()
+
+
+def test_pages_seek_and_hydrate(spark):
+    hits = spark.createDataFrame([(f"f{i % 7}", i, float(i % 3)) for i in range(50)], "filename string, id long, score double")
+    whole = ranking.ordered(hits).collect()
+    assert ranking.ordered(hits, 2**40).count() == 50
+    last = whole[19]
+    seek = ranking.page(hits, size=10, after=(last["score"], last["filename"], last["id"])).collect()
+    assert seek == whole[20:30] == ranking.page(hits, 20, 10).collect()
+    thumbs = spark.createDataFrame([(1, "a"), (2, "b")], "id long, thumbnail string")
+    shown = ranking.hydrate(hits.where("id < 3"), thumbs)
+    assert sorted((r["id"], r["thumbnail"]) for r in shown.collect()) == [(0, ""), (1, "a"), (2, "b")]
+    assert "SortMergeJoin" not in shown._jdf.queryExecution().toString()
+    many = spark.range(201).withColumn("score", F.lit(1.0))
+    try:
+        ranking.hydrate(many, thumbs)
+        raise AssertionError
+    except ValueError:
+        pass
+    images = spark.createDataFrame([(i, n) for i, n in enumerate(["b", "A", "a", "B", "c"])], "id long, filename string")
+    assert sorted((r["position"], r["id"]) for r in ranking.positions(images).collect()) == [(0, 1), (1, 2), (2, 0), (3, 3), (4, 4)]
+
+
+def test_query_vectors_without_a_cap(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0])], "id long, v array<double>")
+    got = {r["id"]: r["sim"] for r in vectors.similarities(df, [[0.0, 1.0], [-1.0, 0.0], [1.0, 0.0]], "id", "v").collect()}
+    assert got == {1: 1.0} and vectors.similarities(df, [], "id", "v").count() == 0
+
+
 def test_scan_follow_and_upsert(spark, tmp_path):
     root = tmp_path / "photos" / "a"
     root.mkdir(parents=True)

@@ -38,7 +38,6 @@ PIVOTS = 2
 
 SIGNED = "id long, row binary, times long, s1 long, s2 long, n long, bands array<long>"
 FEATURES = "node long, features array<long>"
-GROUPED = "g1 long, g2 int, g3 int, streamed boolean, id long, label long, features array<long>"
 
 
 def signatures(text: np.ndarray, code: np.ndarray, count: np.ndarray, n_texts: int) -> np.ndarray:
@@ -174,9 +173,9 @@ def _compare(threshold):
             return x
 
         for batch in batches:
-            g = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            streamed, ids, labels = (batch.column(i).to_pylist() for i in (3, 4, 5))
-            lists = batch.column(6)
+            g = list(zip(*(batch.column(i).to_pylist() for i in range(2))))
+            streamed, ids, labels = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            lists = batch.column(5)
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             out = []
             for i, key in enumerate(g):
@@ -210,8 +209,11 @@ def with_representative(rows: DataFrame, keys: list[str], low: Column, by: str)
 
 
 def _verify(grouped: DataFrame, threshold: float, name: str) -> DataFrame:
-    laid = grouped.select("g1", "g2", "g3", "streamed", "id", "label", "features")
-    laid = laid.repartition(salts(laid.sparkSession), "g1", "g2", "g3").sortWithinPartitions("g1", "g2", "g3", "streamed")
+    """Edges found in groups (g1, g2).  The groups of one bucket, numbered by g2, go to one task after the other."""
+    n = salts(grouped.sparkSession)
+    laid = grouped.select("g1", "g2", "streamed", "id", "label", "features")
+    laid = laid.repartitionById(n, F.pmod(F.pmod(F.xxhash64("g1"), F.lit(n)) + F.col("g2"), F.lit(n)).cast("int"))
+    laid = laid.sortWithinPartitions("g1", "g2", "streamed")
     return materialise(laid.mapInArrow(_compare(threshold), "a long, b long"), name)
 
 
@@ -321,15 +323,15 @@ def _found(rows: DataFrame, signed: DataFrame, reps: DataFrame, threshold: float
         pairs = materialise(
             open_.where("label <> pivot_label")
             .groupBy("pivot", "rep")
-            .agg(F.max("label").alias("label"), F.max("pivot_label").alias("pivot_label"), F.ceil(F.max("members") / ABREAST).cast("int").alias("g2"))
-            .withColumn("g3", F.pmod(F.xxhash64("rep"), F.col("g2")).cast("int")),
+            .agg(F.max("label").alias("label"), F.max("pivot_label").alias("pivot_label"), F.ceil(F.max("members") / ABREAST).alias("parts"))
+            .select("pivot", "rep", "label", "pivot_label", F.pmod(F.xxhash64("rep"), F.col("parts")).alias("g2")),
             "pairs",
         )
-        first = pairs.groupBy("pivot", "g2", "g3").agg(F.max("pivot_label").alias("label")).join(feat("pivot"), "pivot").select(
-            F.col("pivot").alias("g1"), "g2", "g3", F.lit(False).alias("streamed"), F.col("pivot").alias("id"), "label", "features"
+        first = pairs.groupBy("pivot", "g2").agg(F.max("pivot_label").alias("label")).join(feat("pivot"), "pivot").select(
+            F.col("pivot").alias("g1"), "g2", F.lit(False).alias("streamed"), F.col("pivot").alias("id"), "label", "features"
         )
         rest = pairs.join(feat("rep"), "rep").select(
-            F.col("pivot").alias("g1"), "g2", "g3", F.lit(True).alias("streamed"), F.col("rep").alias("id"), "label", "features"
+            F.col("pivot").alias("g1"), "g2", F.lit(True).alias("streamed"), F.col("rep").alias("id"), "label", "features"
         )
         edges = edges.unionByName(_verify(first.unionByName(rest), threshold, "edges"))
         found = components(edges)
@@ -338,17 +340,17 @@ def _found(rows: DataFrame, signed: DataFrame, reps: DataFrame, threshold: float
             return found
 
     # buckets that still hold several components: outsiders against all members
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     outsiders = F.col("members") - F.col("k")
-    laid = open_.withColumn("blocks", F.ceil(outsiders / HELD).cast("int")).withColumn("streams", F.ceil(F.col("members") / STREAMED).cast("int"))
+    laid = open_.withColumns({"blocks": F.ceil(outsiders / HELD), "streams": F.ceil(F.col("members") / STREAMED)})
     held = laid.where("label <> pivot_label").select(
-        "bucket", "rep", "label", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("g2"), spread(F.col("streams")).alias("g3"), F.lit(False).alias("streamed")
+        "bucket", "rep", "label", "streams", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), spread(F.col("streams")).alias("stream"), F.lit(False).alias("streamed")
     )
     streamed = laid.select(
-        "bucket", "rep", "label", spread(F.col("blocks")).alias("g2"), F.pmod(F.xxhash64("rep"), "streams").cast("int").alias("g3"), F.lit(True).alias("streamed")
+        "bucket", "rep", "label", "streams", spread(F.col("blocks")).alias("block"), F.pmod(F.xxhash64("rep"), "streams").alias("stream"), F.lit(True).alias("streamed")
     )
     again = held.unionByName(streamed).join(feat("rep"), "rep").select(
-        F.col("bucket").alias("g1"), "g2", "g3", "streamed", F.col("rep").alias("id"), "label", "features"
+        F.col("bucket").alias("g1"), (F.col("block") * F.col("streams") + F.col("stream")).alias("g2"), "streamed", F.col("rep").alias("id"), "label", "features"
     )
     edges = edges.unionByName(_verify(again, threshold, "edges"))
     return components(edges)

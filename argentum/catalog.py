@@ -303,12 +303,12 @@ HYBRID = f"with {views.IMAGES},{SIMS},{CANDIDATES}"
 SEARCHED = ["id", "filename", "ocr_text", "people", "face_group_ids", "captured_at", "modified_at", "embedding"]
 
 
-def _candidates(spark, d, plan=PLAN):
-    return ranking.candidates(views.images(spark, d, SEARCHED), plan, views.queries(spark, d))
+def _candidates(spark, d):
+    return ranking.candidates(views.images(spark, d, SEARCHED), PLAN, views.queries(spark, d))
 
 
-def _hits(spark, d):
-    return ranking.ranked(_candidates(spark, d), PLAN)
+def _hits(spark, d, plan=PLAN):
+    return ranking.search(views.images(spark, d, SEARCHED), plan, views.queries(spark, d))
 
 
 @_register("hybrid_candidates", f"{HYBRID} select id, lexical, {six('sim')} as sim, excluded from candidates")
@@ -339,8 +339,7 @@ TYPED = "license the 不要idiot 最多 40 張"
 def _(spark, d):
     names = [r["name"] for r in people.known_people(views.images(spark, d, ["people"])).collect()]  # a row for each person
     plan = parse(TYPED, names)
-    hits = ranking.ranked(_candidates(spark, d, plan), plan)
-    return ranking.page(hits, 15, 30, plan.limit).select("id", "filename")
+    return ranking.page(_hits(spark, d, plan), 15, 30, plan.limit).select("id", "filename")
 
 
 @_register("page_after", f"{HYBRID} select id, filename from hits order by score desc, filename, id limit 60 offset 60")

@@ -233,7 +233,7 @@ class Catalogue:
         wanted = bool(plan.semantic_query and self.encode) and not stored.isEmpty()
         searched = images.drop("embedding").join(stored.select("path", "embedding"), "path", "left") if wanted else images
         queries = self.encode(plan.semantic_query) if wanted else []
-        hits = ranking.ranked(ranking.candidates(searched, plan, queries), plan).cache()
+        hits = ranking.search(searched, plan, queries).cache()
         self.session = (key, hits)
         return hits
 

@@ -30,9 +30,13 @@ def once(value: Column, function: Callable[[Column], Column]) -> Column:
 
 
 def _stands(low: Column, words: list[str]) -> Column:
-    """Texts are not cut into words: the first word is looked for, and a pattern looks at what is around it."""
-    pattern = f"(?<!{WORD})" + NOT_WORD.join(words) + f"(?!{WORD})"  # words have no letter that a pattern reads otherwise
-    return low.contains(words[0]) & low.rlike(pattern)
+    """Texts are not cut into words: the first word is looked for, and a pattern looks at what is around it.
+
+    The pattern begins with a letter, so that it is tried at few places; what stands before
+    that letter is looked at next.
+    """
+    first, rest = words[0][0], NOT_WORD.join([words[0][1:], *words[1:]])  # words have no letter that a pattern reads otherwise
+    return low.contains(words[0]) & low.rlike(f"{first}(?<!{WORD}{first}){rest}(?!{WORD})")
 
 
 def lowered(texts: list[Column]) -> Column:

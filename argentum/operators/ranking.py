@@ -20,12 +20,16 @@ def candidates(images: DataFrame, plan: QueryPlan, queries: list[list[float]] =
     """
     terms = [*plan.should, *plan.must]
     texts = [F.col("filename"), F.col("ocr_text"), F.array_join("people", " ")]
-    read = F.struct(fulltext.lowered(texts).alias("low"), predicates.haystack().alias("hay"))
+    # each text is lowered once, and its blanks are taken out once
+    low = F.transform(F.array(fulltext.lowered(texts)), lambda x: F.struct(x.alias("low"), F.array_join(x, " ").alias("hay")))
+    read = F.transform(low, lambda x: F.struct(x["low"].alias("low"), x["hay"].alias("hay"), predicates.compact(x["hay"]).alias("packed")))
     judged = F.transform(
-        F.array(read),
+        read,
         lambda x: F.struct(
-            F.greatest(fulltext.score_in(x["low"], 3, terms).cast("double"), predicates.matched_share(x["hay"], terms)).alias("lexical"),
-            predicates.has_any_term(x["hay"], plan.must_not).alias("excluded"),
+            F.greatest(
+                fulltext.score_in(x["low"], 3, terms).cast("double"), predicates.matched_share(x["hay"], terms, x["packed"])
+            ).alias("lexical"),
+            predicates.has_any_term(x["hay"], plan.must_not, x["packed"]).alias("excluded"),
         ),
     )
     # a row of its own, so that filters on it don't have it computed again
@@ -35,12 +39,22 @@ def candidates(images: DataFrame, plan: QueryPlan, queries: list[list[float]] =
     return rows.select("id", "filename", "text.lexical", "sim", "text.excluded")
 
 
-def ranked(found: DataFrame, plan: QueryPlan) -> DataFrame:
-    """(id, filename, score) of what the search keeps."""
+def similar(images: DataFrame, plan: QueryPlan, queries: list[list[float]]) -> DataFrame:
+    """(sim) of all images that pass the filters: what the threshold is taken from, without reading a text."""
+    return images.where(predicates.plan_filter(plan)).select(vectors.best_similarity(F.col("embedding"), list(queries)).alias("sim"))
+
+
+def search(images: DataFrame, plan: QueryPlan, queries: list[list[float]] = ()) -> DataFrame:
+    """(id, filename, score) of what a search keeps, in no order."""
+    return ranked(candidates(images, plan, queries), plan, similar(images, plan, queries))
+
+
+def ranked(found: DataFrame, plan: QueryPlan, sims: DataFrame | None = None) -> DataFrame:
+    """(id, filename, score) of the candidates that a search keeps; sims: where their similarities can be read alone."""
     keep = ~F.col("excluded")
     if plan.should or plan.must:
         # the best of all candidates, excluded ones too: one value
-        least = found.agg(vectors.threshold(F.max("sim")).alias("least")).scalar()
+        least = (found if sims is None else sims).agg(vectors.threshold(F.max("sim")).alias("least")).scalar()
         keep &= (F.col("lexical") > 0) | F.coalesce(F.col("sim") >= least, F.lit(False))
     sim = F.coalesce("sim", F.lit(0.0))
     score = F.when(
@@ -50,8 +64,11 @@ def ranked(found: DataFrame, plan: QueryPlan) -> DataFrame:
 
 
 def ordered(hits: DataFrame, limit: int | None = None) -> DataFrame:
-    """Best score first, then by file name and id; a limit beyond an int cuts nothing."""
-    out = hits.orderBy(F.desc("score"), "filename", "id")
+    """Best score first, then by file name and id; a limit beyond an int cuts nothing.
+
+    Hits, small rows, are dealt once before: a sort looks at its input twice, and would read all texts twice.
+    """
+    out = hits.repartition("id").orderBy(F.desc("score"), "filename", "id")
     return out.limit(limit) if limit and limit < 2**31 else out
 
 

@@ -99,6 +99,11 @@ def windows(data: np.ndarray, a: np.ndarray, b: np.ndarray):
     return owner, start, np.minimum(start + SPAN, b[owner])
 
 
+def parts_of(unit: bytes) -> list[bytes]:
+    """The windows of a unit, as scoring looks at them."""
+    return [unit[i : i + SPAN] for i in range(0, max(1, len(unit) - SPAN + STEP), STEP)]
+
+
 def subsequences(data: np.ndarray, a: np.ndarray, b: np.ndarray):
     """Blocks (rows, codes, values): each window's subsequences, with unit length."""
     length = b - a + 2
@@ -227,8 +232,10 @@ def _logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray):
 def fit_units(texts: list[list[bytes]], labels: list[int], share: float, landmarks: int = LANDMARKS, seed: int = 7) -> Model:
     """Fit on the distinct units of texts; share: that of toxic ones among all labelled texts.
 
-    With one class only, or without units, the score is the share everywhere.
+    With one class only, or without units, the score is the share everywhere.  Long units count as their windows,
+    here as in scoring.
     """
+    texts = [list(dict.fromkeys(w for u in t for w in parts_of(u))) for t in texts]
     rng = np.random.default_rng(seed)
     flat = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     clean = sorted({u for t, y in zip(texts, labels) if not y for u in t})

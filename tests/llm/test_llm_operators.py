@@ -434,6 +434,30 @@ def test_gradients_against_differences():
         assert abs((up - down) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 1e-3
 
 
+def test_scores_of_whole_texts_against_plain_version(spark):
+    rng = np.random.default_rng(9)
+    net = langid.learn(rng.integers(0, 256, (40, langid.WINDOW)).astype(np.uint8), np.arange(40) % 3, ["a", "b", "c"], steps=20)
+    texts = ["Das ist ein Satz über Äpfel. " * 12, "short", "x" * langid.WINDOW, "1 2 3", "Ünï " * 400]
+    rows = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()
+    for r in rows:
+        body = texts[r["doc_id"]].lower().encode()
+        if r["doc_id"] == 3:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total, n = np.zeros(3), 0
+        for at in range(0, len(body), langid.WINDOW):
+            window = body[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+            features = []
+            for kernel, bias, width in zip(net.kernels, net.biases, langid.WIDTHS):
+                answers = [np.concatenate([net.embed[b] for b in window[i : i + width]]) @ kernel for i in range(langid.WINDOW - width + 1)]
+                features += [max(0.0, max(a[f] for a in answers) + bias[f]) for f in range(langid.FILTERS)]
+            logits = np.array(features) @ net.dense + net.dense_bias
+            total += logits - np.log(np.exp(logits).sum())
+            n += 1
+        p = np.exp(total / n) / np.exp(total / n).sum()
+        assert r["lang_pred"] == net.languages[p.argmax()] and abs(r["score"] - p.max()) < 1e-4
+
+
 # --- URL filter
 
 
@@ -649,6 +673,30 @@ def test_kernel_against_plain_version():
     assert np.allclose(got, [[kernel(g, m) for m in marks] for g in given], atol=1e-5)
 
 
+def test_margins_of_whole_texts_against_plain_version():
+    """A text's margin is that of its worst unit: the machine's weights times the unit's subsequences, spelled out."""
+
+    def features(s):
+        s, out = "^" + s + "$", Counter()
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for k in range(j + 1, min(len(s), i + 3 + toxicity.GAPS)):
+                    out[tuple(0 if c in "^$" else ord(c) - 96 for c in (s[i], s[j], s[k]))] += toxicity.DECAY ** (k - i - 2)
+        return out
+
+    clean = [[w.encode() for w in t.split()] for t in ("the river flows past an old mill", "seven friends watch a lazy dog", "it is what it was")] * 5
+    model = toxicity.fit_units(clean + [[*c, b"idiot"] for c in clean[:4]], [0] * len(clean) + [1] * 4, 0.3)
+
+    def margin(unit):
+        found = features(unit)
+        norm = sum(v * v for v in found.values()) ** 0.5
+        return sum(v * model.weights[(a * 32 + b) * 32 + c] for (a, b, c), v in found.items()) / norm + model.bias
+
+    for text in ("what an idiot he is", "the old mill", "idixot", "a dog", "moron at the river"):
+        want = model.probability(np.array([max(margin(u) for u in text.split())]))[0]
+        assert abs(toxicity.Scorer(model).scores(pa.array([text]))[0] - want) < 1e-4, text
+
+
 def test_held_out_toxicity(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     model = toxicity.fit(docs, labels.where(~toxicity.held_out("doc_id")))

@@ -122,16 +122,6 @@ def _(images):
     return images.where(~predicates.has_any_term(predicates.haystack(), ["license"])).select("id")
 
 
-@_images("exists_vectors", "select count(*) > 0 as found from images where embedding is not null", "embedding")
-def _(images):
-    return images.agg((F.count_if(F.col("embedding").isNotNull()) > 0).alias("found"))
-
-
-@_images("count_vectors", "select len(face_group_ids) > 0 as faces, count(embedding) as n from images group by 1", "face_group_ids", "embedding")
-def _(images):
-    return images.groupBy((F.size("face_group_ids") > 0).alias("faces")).agg(F.count("embedding").alias("n"))
-
-
 # --- full text -------------------------------------------------------------
 
 TOKENS = r"list_filter(regexp_split_to_array(lower(coalesce(ocr_text, '')), '[^\p{L}\p{N}\p{Co}]+'), lambda t: t <> '')"
@@ -351,7 +341,7 @@ def _(spark, d):
 
 @_images("index_position", "select id, row_number() over (order by lower(filename), id) - 1 as position from images", "id", "filename")
 def _(images):
-    return ranking.positions(images, "id", 64).select("id", "position")
+    return ranking.positions(images).select("id", "position")
 
 
 @_register("hybrid_search", f"{HYBRID} select id, filename, {six('score')} as score from hits")
@@ -471,6 +461,16 @@ def _stored(images):
     return clip.unionByName(gone).unionByName(row(own.where("id % 8 = 0"), "face", F.lit(""), F.concat(F.lit("old-"), "id")))
 
 
+@_images("exists_vectors", f", {VECTORS} select bool_or(kind = 'clip' and root = '/corpus') as clip, coalesce(bool_or(kind = 'clip' and root = '/other'), false) as other from stored", "id", "root", "path", "embedding")
+def _(images):
+    return _stored(images).agg(records.has_vectors("clip", "/corpus").alias("clip"), records.has_vectors("clip", "/other").alias("other"))
+
+
+@_images("count_vectors", f", {VECTORS} select kind, root, count(*) as n from stored group by kind, root", "id", "root", "path", "embedding")
+def _(images):
+    return records.vector_counts(_stored(images))
+
+
 @_images("stale_vectors", f", {VECTORS} select kind, path, group_id from stored where kind <> 'clip' or path in (select path from images)", "id", "root", "path", "embedding")
 def _(images):
     return maintenance.without_stale(_stored(images), images).select("kind", "path", "group_id")
@@ -676,8 +676,8 @@ def _(images):
     "eta_format",
     """select o_orderkey, case when s is null then '正在估算完成時間…' when s <= 0 then '即將完成' else '預估剩餘 ' ||
     case when s >= 3600 then (s // 3600) || ' 小時 ' || (s % 3600 // 60) || ' 分鐘' when s >= 60 then (s % 3600 // 60) || ' 分鐘 ' || (s % 60) || ' 秒' else (s % 60) || ' 秒' end
-    || '（約 ' || strftime(o_orderdate + to_seconds(s), '%p%I:%M') || ' 完成）' end as eta
-    from (select o_orderkey, case when o_orderkey % 11 > 0 then o_orderkey % 9000 - 5 end as s, o_orderdate from orders)""".replace("strftime(", "replace(replace(strftime(").replace("'%p%I:%M')", "'%p%I:%M'), 'AM', '上午'), 'PM', '下午')"),
+    || '（約 ' || case when hour(o_orderdate + to_seconds(s)) < 12 then '上午' else '下午' end || strftime(o_orderdate + to_seconds(s), '%I:%M') || ' 完成）' end as eta
+    from (select o_orderkey, case when o_orderkey % 11 > 0 then o_orderkey % 9000 - 5 end as s, o_orderdate from orders)""",
 )
 def _(spark, d):
     s = F.when(F.col("o_orderkey") % 11 > 0, F.col("o_orderkey") % 9000 - 5)
@@ -685,12 +685,16 @@ def _(spark, d):
     return views.table(spark, d, "orders").select("o_orderkey", media.eta_text(s, media.clock_text((second + s) % 86400)).alias("eta"))
 
 
-TSV = "'header\n' || repeat('1\t', 10) || p_size || '\t ' || p_brand || '\tx \n' || repeat('1\t', 10) || '-1\t' || p_type || '\nshort\n' || repeat('1\t', 10) || 'x\t \n'"
+#: A recogniser's output for each part: two words, a line that is too short, and a blank word; the same in both dialects.
+TSV = (
+    "'header' || chr(10) || repeat('1' || chr(9), 10) || p_size || chr(9) || ' ' || p_brand || chr(9) || 'x ' || chr(10) || repeat('1' || chr(9), 10) || '-1' || chr(9) || p_type"
+    " || chr(10) || 'short' || chr(10) || repeat('1' || chr(9), 10) || 'x' || chr(9) || ' ' || chr(10)"
+)
 
 
 @_register(
     "ocr_tsv_parse",
-    f"""with o as (select p_partkey, {TSV.replace("\\n", "' || chr(10) || '").replace("\\t", "' || chr(9) || '").replace("repeat('1' || chr(9) || '', 10)", "repeat('1' || chr(9), 10)")} as tsv from part),
+    f"""with o as (select p_partkey, {TSV} as tsv from part),
     l as (select p_partkey, unnest(str_split(tsv, chr(10))[2:]) as line, generate_subscripts(str_split(tsv, chr(10))[2:], 1) as place from o),
     f as (select p_partkey, place, str_split(line, chr(9)) as f from l),
     w as (select p_partkey, place, trim(array_to_string(f[12:], chr(9))) as word, case when try_cast(f[11] as float) >= 0 then try_cast(f[11] as float) end as conf from f where len(f) >= 12)
@@ -772,10 +776,11 @@ def _(spark, d):
 
 @_register(
     "face_crop_geometry",
-    """select l_orderkey, n, floor(a)::int as x, floor(b)::int as y, floor(least(greatest(x2 + mx, floor(a) + 1), 100))::int - floor(a)::int as width,
+    f"""with {BOXES}
+    select l_orderkey, n, floor(a)::int as x, floor(b)::int as y, floor(least(greatest(x2 + mx, floor(a) + 1), 100))::int - floor(a)::int as width,
     floor(least(greatest(y2 + my, floor(b) + 1), 70))::int - floor(b)::int as height
     from (select *, least(greatest(x1 - mx, 0), 99) as a, least(greatest(y1 - my, 0), 69) as b from (
-      select *, greatest(x2 - x1, 1) * 0.22::double as mx, greatest(y2 - y1, 1) * 0.28::double as my from boxes))""".join([f"with {BOXES} ", ""]),
+      select *, greatest(x2 - x1, 1) * 0.22::double as mx, greatest(y2 - y1, 1) * 0.28::double as my from boxes))""",
 )
 def _(spark, d):
     box = [F.col(c) for c in faces.BOX]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from argentum.operators import fulltext, predicates, vectors
@@ -116,15 +116,36 @@ def hydrate(rows: DataFrame, thumbnails: DataFrame, key: str = "id") -> DataFram
     return shown.join(F.broadcast(found), key, "left").withColumn("thumbnail", F.coalesce("thumbnail", F.lit("")))
 
 
-def positions(images: DataFrame, walk: str = "id", buckets: int = 1024) -> DataFrame:
+def _bounds(rows: DataFrame, key: Column, buckets: int) -> list:
+    """buckets - 1 keys that cut rows into about equal ranges, from a sample that a hash of the key draws."""
+    draws = 32 * buckets
+    total = rows.count()
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    drawn = sorted(k for r in rows.where(share < draws / max(1, total)).select(key).collect() if None not in (k := tuple(r[0])))
+    return [drawn[len(drawn) * k // buckets] for k in range(1, buckets)] if drawn else []
+
+
+def _range_of(key: Column, bounds: list, kind: str) -> Column:
+    """How many bounds are at most key: a binary search."""
+    if not bounds:
+        return F.lit(0)
+    at = F.array(*[F.struct(*[F.lit(x) for x in b]).cast(kind) for b in bounds])
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    fits = lambda p, s: (p + s <= len(bounds)) & (F.get(at, p + s - F.lit(1)) <= key)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda p, s: F.when(fits(p, s), p + s).otherwise(p))
+
+
+def positions(images: DataFrame, walk: str = "id", buckets: int | None = None) -> DataFrame:
     """images with ``position``: its place by lower-case file name, then by the order of the listing.
 
-    Names are dealt to ranges, each range is numbered by itself, and the ranges' sizes (a row
-    for each) say where it begins.
+    Rows are dealt to ranges of name and order, one for each shuffle partition, so that one name may have any
+    number of files.  Each range is numbered by itself, and the ranges' sizes (a row for each) say where it begins.
     """
-    named = images.withColumn("_p_name", F.lower("filename"))
-    ranged = named.repartitionByRange(buckets, "_p_name", walk).withColumn("_p_part", F.spark_partition_id())
-    order = Window.partitionBy("_p_part").orderBy("_p_name", walk)
+    buckets = buckets or int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = f"struct<name:string,walk:{images.schema[walk].dataType.simpleString()}>"
+    key = F.struct(F.lower("filename").alias("name"), F.col(walk).alias("walk")).cast(kind)
+    ranged = images.withColumn("_p_part", _range_of(key, _bounds(images, key, buckets), kind))
+    order = Window.partitionBy("_p_part").orderBy(F.lower("filename"), walk)
     numbered = ranged.withColumn("_p_nth", F.row_number().over(order))
     sizes = ranged.groupBy("_p_part").agg(F.count("*").alias("_p_n"))
     before = Window.orderBy("_p_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -52,3 +52,8 @@ def groups_from_json(state: DataFrame) -> DataFrame:
 def has_vectors(kind: str, root: str | Column) -> Column:
     """An aggregate over vectors: whether any of a kind lies under a root."""
     return F.coalesce(F.max((F.col("kind") == kind) & (F.col("root") == root)), F.lit(False))
+
+
+def vector_counts(vectors: DataFrame) -> DataFrame:
+    """(kind, root, n): how many vectors of each kind lie under each root."""
+    return vectors.groupBy("kind", "root").agg(F.count("*").alias("n"))

@@ -83,7 +83,8 @@ def _similar(batch: pa.RecordBatch, block: np.ndarray):
     x = pc.list_flatten(lists.take(pa.array(rows))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, block.shape[1])
     norms = np.linalg.norm(x, axis=1)
     rows, x = rows[norms > 0], x[norms > 0] / norms[norms > 0, None]
-    return rows, np.clip(x @ block.T, -1.0, 1.0)
+    # equal vectors have equal similarities wherever they stand in a product
+    return rows, np.round(np.clip(x @ block.T, -1.0, 1.0), 12)
 
 
 def nearest_group(

@@ -150,6 +150,9 @@ def test_pages_seek_and_hydrate(spark):
         pass
     images = spark.createDataFrame([(i, n) for i, n in enumerate(["b", "A", "a", "B", "c"])], "id long, filename string")
     assert sorted((r["position"], r["id"]) for r in ranking.positions(images).collect()) == [(0, 1), (1, 2), (2, 0), (3, 3), (4, 4)]
+    same = spark.range(500).select((F.col("id") * 7 % 500).alias("id"), F.lit("image.jpg").alias("filename"))
+    assert all(r["position"] == r["id"] for r in ranking.positions(same, buckets=5).collect())
+    assert ranking.positions(same.where("false")).count() == 0
 
 
 def test_query_vectors_without_a_cap(spark):

@@ -471,6 +471,19 @@ def _(images):
     return records.vector_counts(_stored(images))
 
 
+@_images(
+    "knn_scoped",
+    f""", {VECTORS}, scoped as (select group_id, embedding from stored where kind = 'face' and root = '/corpus')
+    select group_id, {six('max(list_cosine_similarity(s.embedding::double[], q.embedding::double[]))')} as sim
+    from scoped s, embeddings q where q.vec_id = 3 group by group_id order by max(list_cosine_similarity(s.embedding::double[], q.embedding::double[])) desc, group_id limit 5""",
+    "id", "root", "path", "embedding",
+)
+def _(images):
+    query = images.where("id = 3").select("embedding").first()[0]
+    scores = vectors.similarities(records.scoped(_stored(images), "face", "/corpus"), [query], "group_id")
+    return vectors.nearest(scores, 5, "group_id").select("group_id", _six(F.col("sim")).alias("sim"))
+
+
 @_images("stale_vectors", f", {VECTORS} select kind, path, group_id from stored where kind <> 'clip' or path in (select path from images)", "id", "root", "path", "embedding")
 def _(images):
     return maintenance.without_stale(_stored(images), images).select("kind", "path", "group_id")
@@ -532,7 +545,7 @@ def _(images):
 
 @_register("fingerprint_project", "select event_id, epoch_us(ts) // 1000000 * 1000000000 as modified_ns from events")
 def _(spark, d):
-    whole = F.timestamp_seconds(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"))
+    whole = F.timestamp_seconds(views.utc_seconds("ts"))
     return views.table(spark, d, "events").select("event_id", files.modified_ns(whole).alias("modified_ns"))
 
 

@@ -229,7 +229,7 @@ class Catalogue:
         if self.session and self.session[0] == key:
             return self.session[1]
         self._forget()
-        stored = self.table("vectors", key[2]).where((F.col("kind") == "clip") & (F.col("root") == key[0]))
+        stored = records.scoped(self.table("vectors", key[2]), "clip", key[0])
         wanted = bool(plan.semantic_query and self.encode) and not stored.isEmpty()
         searched = images.drop("embedding").join(stored.select("path", "embedding"), "path", "left") if wanted else images
         queries = self.encode(plan.semantic_query) if wanted else []

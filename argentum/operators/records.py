@@ -49,6 +49,11 @@ def groups_from_json(state: DataFrame) -> DataFrame:
     return state.select("root", F.explode(F.from_json("face_groups_json", GROUP)).alias("g")).where("g.id is not null").select("root", "g.*")
 
 
+def scoped(vectors: DataFrame, kind: str, root: str) -> DataFrame:
+    """The vectors of a kind under a root: what a search of either looks at."""
+    return vectors.where((F.col("kind") == kind) & (F.col("root") == root))
+
+
 def has_vectors(kind: str, root: str | Column) -> Column:
     """An aggregate over vectors: whether any of a kind lies under a root."""
     return F.coalesce(F.max((F.col("kind") == kind) & (F.col("root") == root)), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def utc_seconds(time: str) -> Column:
+    """Seconds since 1970 of a timestamp without zone, which is UTC here whatever the session's zone is."""
+    return F.unix_seconds(F.concat(F.col(time).cast("string"), F.lit("Z")).cast("timestamp"))
+
+
 #: Which table a column of the catalogue comes from, where it isn't documents.
 FROM_EVENTS = {"captured_at", "modified_at"}
 FROM_EMBEDDINGS = {"people", "face_group_ids", "embedding"}
@@ -29,9 +34,8 @@ def images(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -
         "path": F.concat(F.lit("/corpus/"), "source", F.lit("/"), name),
         "filename": name,
         "bytes": F.col("n_chars"),
-        "captured_at": F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")),
-        # a timestamp without zone is UTC here, whatever the session's zone is
-        "modified_at": F.floor(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1000000).cast("string"),
+        "captured_at": F.when(F.col("event_type") != "error", F.substring(F.col("ts").cast("string"), 1, 19)),
+        "modified_at": utc_seconds("ts").cast("string"),
         "ocr_text": F.col("text"),
         "people": F.when(F.col("label") < 5, F.array("n_name")).otherwise(empty),
         "face_group_ids": F.when(F.col("label").isNotNull(), F.array(F.concat(F.lit("face-"), F.col("label")))).otherwise(empty),

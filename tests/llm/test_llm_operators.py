@@ -715,18 +715,6 @@ def test_gapped_insults():
     assert plain < 0.3
 
 
-def test_long_units_are_learned_window_by_window():
-    for n in (0, 1, 21, 22, 23, 33, 34, 70):
-        unit = bytes(97 + i % 26 for i in range(n))
-        _, start, end = toxicity.windows(np.frombuffer(unit, np.uint8), np.array([0]), np.array([n]))
-        assert toxicity.parts_of(unit) == [unit[a:b] for a, b in zip(start, end)]
-    clean = [[w.encode() for w in s.split()] for s in ("the river flows past an old mill", "seven friends watch a lazy dog", "it is what it was")] * 6
-    glued = b"thequickbrownfoxjumpsoverthelazydogidiot"
-    model = toxicity.fit_units(clean + [[*c, glued] for c in clean[:6]], [0] * len(clean) + [1] * 6, 0.3)
-    judge = lambda s: toxicity.Scorer(model).scores(pa.array([s]))[0]
-    assert judge("see " + glued.decode()) > 0.3 > judge("the river flows")
-
-
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 0), (8, 1), (None, 1), (9, None), (3, 7)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)

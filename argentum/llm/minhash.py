@@ -32,7 +32,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 SLOTS, ROWS = 64, 4
 #: Members streamed past one block, and members held in one; members compared with a pivot at a time.
-STREAMED, HELD, ABREAST = 128, 128, 128
+STREAMED, HELD, ABREAST = 128, 128, 32
 #: Rounds in which the members of a bucket are compared with one of them.
 PIVOTS = 2
 

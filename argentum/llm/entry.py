@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from argentum.llm import decontaminate, exact_dedup, langid, license_scan, minhash, packing, sharding, toxicity, url_filter, warc
+from argentum.llm import centroids, decontaminate, exact_dedup, langid, license_scan, minhash, packing, sharding, simhash, toxicity, url_filter, vector_codes, warc
 from argentum.llm.common import table
 
 
@@ -80,6 +80,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, 0.3).withColumn("held_out", toxicity.held_out("doc_id"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -91,8 +103,14 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_simhash": op12_simhash,
+    "op13_vector_codes": op13_vector_codes,
 }
-SQL = {"op1_license_scan": license_scan.scan_sql(), "op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": url_filter.judge_sql()}
+SQL = {
+    "op1_license_scan": license_scan.scan_sql(), "op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": url_filter.judge_sql(),
+    "op11_centroid_clustering": centroids.cluster_sql(), "op13_vector_codes": vector_codes.encode_sql(),
+}
 
 
 def queries():

@@ -50,7 +50,7 @@ def six(x: str) -> str:
 
 HAY = "lower(concat_ws(' ', filename, coalesce(ocr_text, ''), array_to_string(people, ' ')))"
 KEY = "coalesce(captured_at, strftime(make_timestamp(try_cast(modified_at as bigint) * 1000000), '%Y-%m-%d %H:%M:%S'))"
-EXT = r"lower(regexp_extract(filename, '\.([^./]+)$', 1))"
+EXT = r"lower(regexp_extract(filename, '[^/]\.([^./]+)$', 1))"
 
 
 @_images("filter_supported_ext", f"select id, filename from images where {EXT} in ('jpg', 'jpeg', 'png', 'webp', 'gif', 'bmp')", "id", "filename")
@@ -543,10 +543,10 @@ def _(images):
     return files.supported(images, 300).select("path")
 
 
-@_register("fingerprint_project", "select event_id, epoch_us(ts) // 1000000 * 1000000000 as modified_ns from events")
+@_register("fingerprint_project", "select event_id, epoch_us(ts + to_microseconds(event_id * 997 % 1000000)) * 1000 as modified_ns from events")
 def _(spark, d):
-    whole = F.timestamp_seconds(views.utc_seconds("ts"))
-    return views.table(spark, d, "events").select("event_id", files.modified_ns(whole).alias("modified_ns"))
+    fine = F.timestamp_micros(views.utc_seconds("ts") * 1000000 + F.pmod(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(1000000)) + F.col("event_id") * 997 % 1000000)
+    return views.table(spark, d, "events").select("event_id", files.modified_ns(fine).alias("modified_ns"))
 
 
 # --- people ----------------------------------------------------------------

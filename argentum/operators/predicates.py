@@ -19,7 +19,8 @@ BLANKS = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\
 
 
 def extension_of(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """What follows the last dot, in lower case; a name that only begins with a dot has none."""
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
 def has_extension(path: Column, allowed: list[str]) -> Column:

@@ -1,4 +1,4 @@
-"""Listing image folders with Spark's binary file source."""
+"""Listing image folders, and reading the tables of a catalogue."""
 
 from __future__ import annotations
 
@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from argentum.functions.media import filename
 from argentum.operators.predicates import has_extension
 from argentum.plans.query_parser import EXTENSIONS
-
-#: Matches the extensions in either case.
-GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in EXTENSIONS) + "}"
+from argentum.sources import listing
 
 
 def modified_ns(time: Column) -> Column:
@@ -27,30 +25,35 @@ def supported(listing: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def listed(files: DataFrame, root: str) -> DataFrame:
-    """root, path, filename, bytes, modified_at and modified_ns of rows of the binary file source."""
+    """root, path, filename, bytes, modified_at and modified_ns of rows of the folder source."""
     return files.select(
         F.lit(root).alias("root"),
         "path",
         filename(F.col("path")).alias("filename"),
-        F.col("length").alias("bytes"),
-        F.unix_seconds("modificationTime").cast("string").alias("modified_at"),
-        modified_ns(F.col("modificationTime")).alias("modified_ns"),
-        *[c for c in files.columns if c == "content"],
+        "bytes",
+        F.expr("modified_ns div 1000000000").cast("string").alias("modified_at"),
+        "modified_ns",
     )
 
 
+def contents(rows: DataFrame) -> DataFrame:
+    """rows with ``content``, the bytes of the file at ``path``; null where it can't be read.  Each file is a batch of its own."""
+    schema = rows.withColumn("content", F.lit(None).cast("binary")).schema
+    return rows.mapInArrow(listing.with_content, schema)
+
+
 def scan(spark: SparkSession, root: str, with_content: bool = False, limit: int | None = None) -> DataFrame:
     """One row per image under root: see ``listed``; content only if asked for.
 
-    Without content only the listing is read.  A missing root, or one that is a file, is an error.  With
-    a limit the first so many by path are taken.  Spark's source passes over empty files.
+    Files of every name are listed, empty ones too, with times in nanoseconds.  Links to files
+    count, links to folders are not followed, and what can't be read is left out.  A time before
+    1970 is null.  A missing root, or one that is a file, is an error.  With a limit the first so many by path are
+    taken.  A root with a scheme is read by pyarrow's file systems; executors must see the same folder.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(path):
-        raise NotADirectoryError(root)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
-    rows = listed(files if with_content else files.drop("content"), root)
-    return supported(rows, limit)
+    listing.check_root(root)
+    listing.register(spark)
+    found = supported(listed(spark.read.format("folder").load(root), root), limit)
+    return contents(found) if with_content else found
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str, root: str | None = None) -> DataFrame:

@@ -136,22 +136,31 @@ def _range_of(key: Column, bounds: list, kind: str) -> Column:
 
 
 def positions(images: DataFrame, walk: str = "id", buckets: int | None = None) -> DataFrame:
-    """images with ``position``: its place by lower-case file name, then by the order of the listing.
+    """images with ``position``: its place by lower-case file name, then by the order of the listing."""
+    kind = f"struct<name:string,walk:{images.schema[walk].dataType.simpleString()}>"
+    return numbered(images, F.struct(F.lower("filename").alias("name"), F.col(walk).alias("walk")).cast(kind), kind, buckets)
+
+
+def placed(hits: DataFrame, buckets: int | None = None) -> DataFrame:
+    """hits with ``position``: best score first, then by file name and id."""
+    kind = f"struct<low:double,name:string,id:{hits.schema['id'].dataType.simpleString()}>"
+    return numbered(hits, F.struct((-F.col("score")).alias("low"), F.col("filename").alias("name"), F.col("id").alias("id")).cast(kind), kind, buckets)
 
-    Rows are dealt to ranges of name and order, one for each shuffle partition, so that one name may have any
-    number of files.  Each range is numbered by itself, and the ranges' sizes (a row for each) say where it begins.
+
+def numbered(rows: DataFrame, key: Column, kind: str, buckets: int | None = None) -> DataFrame:
+    """rows with ``position`` from 0 by key, a struct of type ``kind``; rows lie in ranges of positions, each sorted.
+
+    Rows are dealt to ranges of the key, one for each shuffle partition, so that what begins alike may have any
+    number of rows.  Each range is numbered by itself, and the ranges' sizes (a row for each) say where it begins.
     """
-    buckets = buckets or int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = f"struct<name:string,walk:{images.schema[walk].dataType.simpleString()}>"
-    key = F.struct(F.lower("filename").alias("name"), F.col(walk).alias("walk")).cast(kind)
-    ranged = images.withColumn("_p_part", _range_of(key, _bounds(images, key, buckets), kind))
-    order = Window.partitionBy("_p_part").orderBy(F.lower("filename"), walk)
-    numbered = ranged.withColumn("_p_nth", F.row_number().over(order))
+    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.withColumn("_p_part", _range_of(key, _bounds(rows, key, buckets), kind))
+    told = ranged.withColumn("_p_nth", F.row_number().over(Window.partitionBy("_p_part").orderBy(key)))
     sizes = ranged.groupBy("_p_part").agg(F.count("*").alias("_p_n"))
     before = Window.orderBy("_p_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("_p_part", F.coalesce(F.sum("_p_n").over(before), F.lit(0)).alias("_p_first"))
-    placed = numbered.join(F.broadcast(firsts), "_p_part")  # at most ``buckets`` rows
-    return placed.withColumn("position", F.col("_p_first") + F.col("_p_nth") - 1).select(*images.columns, "position")
+    met = told.join(F.broadcast(firsts), "_p_part")  # at most ``buckets`` rows
+    return met.withColumn("position", F.col("_p_first") + F.col("_p_nth") - 1).select(*rows.columns, "position")
 
 
 def session_key(root: str, query: str, version: int) -> tuple[str, str, int]:

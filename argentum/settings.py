@@ -33,7 +33,7 @@ class Settings:
         return cls(**{f.name: values[f.name] for f in fields(cls) if f.name in values})
 
 
-def _open(path: str):
+def open_fs(path: str):
     if "://" in path or path.startswith("file:"):
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
@@ -42,7 +42,7 @@ def _open(path: str):
 def read_json(path: str, default):
     """The value of a JSON file; the default where it can't be read."""
     try:
-        fs, name = _open(path)
+        fs, name = open_fs(path)
         with fs.open_input_stream(name) as source:
             return json.loads(source.read())
     except (OSError, ValueError):
@@ -50,7 +50,7 @@ def read_json(path: str, default):
 
 
 def write_json(path: str, value) -> None:
-    fs, name = _open(path)
+    fs, name = open_fs(path)
     fs.create_dir(name.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(name) as target:
         target.write(json.dumps(value, ensure_ascii=False, indent=2).encode())

@@ -593,6 +593,11 @@ def _(spark, d):
     return people.replace_known(known, groups, "face-28", " Ann ").select("id", "name")
 
 
+@_register("face_group_id")
+def _(spark, d):
+    return views.table(spark, d, "embeddings").select("vec_id", people.group_id(F.col("embedding")).alias("group_id"))
+
+
 # --- media -----------------------------------------------------------------
 
 

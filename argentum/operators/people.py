@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argentum.operators.ranking import numbered
 from argentum.operators.vectors import nearest_group
 
 #: Similarity from which two faces are one person (fixed value).
@@ -30,17 +31,15 @@ def refresh_groups(groups: DataFrame, images: DataFrame) -> DataFrame:
 def summary(groups: DataFrame) -> DataFrame:
     """Named groups first, then those with more faces, then by id; ``place`` is the position from 0.
 
-    Groups are the people of a catalogue.  Columns that groups lacks (preview, image_count) are empty.
+    Groups are numbered in ranges, however many there are.  Columns that groups lacks (preview, image_count) are empty.
     """
     for name, empty in (("preview", F.lit("")), ("image_count", F.lit(0).cast("long"))):
         if name not in groups.columns:
             groups = groups.withColumn(name, empty)
-    order = [F.col("name").isNotNull().desc(), F.desc("face_count"), F.asc("group_id")]
-    return (
-        groups.select("group_id", "name", "face_count", "image_count", "preview")
-        .withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
-        .orderBy("place")
-    )
+    kind = f"struct<unnamed:boolean,low:bigint,id:{groups.schema['group_id'].dataType.simpleString()}>"
+    key = F.struct(F.col("name").isNull().alias("unnamed"), (-F.col("face_count")).alias("low"), F.col("group_id").alias("id")).cast(kind)
+    told = groups.select("group_id", "name", "face_count", "image_count", "preview")
+    return numbered(told, key, kind).withColumnRenamed("position", "place").orderBy("place")
 
 
 def match_known(faces: DataFrame, known: DataFrame, key: str, vector: str, least: float = MATCH) -> DataFrame:

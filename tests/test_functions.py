@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from argentum.functions import faces, media
@@ -176,3 +178,47 @@ def test_scan_follow_and_upsert(spark, tmp_path):
     changed = rows.where("filename = 'x.JPG'").withColumn("bytes", F.lit(99).cast("long"))
     merged = {r["filename"]: r["bytes"] for r in maintenance.upsert(rows, changed).collect()}
     assert merged == {"w.gif": 1, "x.JPG": 99, "y.png": 5}
+
+
+def clustered(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((12, dim))
+    x = centres[rng.integers(0, 12, n)] + 0.05 * rng.standard_normal((n, dim))
+    x[::7] = x[0]  # many copies, and so ties
+    return [(i, v.tolist()) for i, v in enumerate(x)] + [(n, None), (n + 1, []), (n + 2, [0.0] * dim), (n + 3, [1.0, 2.0]), (n + 4, [2.0, 1.0])]
+
+
+def plain_similarities(rows, queries):
+    """{query: [(sim, key)]} of vectors of one length, rounded as told."""
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    some = [(i, unit(v)) for i, v in rows if v and any(v)]
+    return {q: [(round(float(np.clip(unit(w) @ x, -1, 1)), 12), i) for i, x in some if len(x) == len(w)] for q, w in queries if w and any(w)}
+
+
+@pytest.mark.parametrize("rows,abreast", [(4096, 16384), (60, 50), (7, 1000)])
+def test_block_join_is_exact_and_skips_blocks(spark, rows, abreast):
+    given = clustered(600, 16, 2)
+    table = spark.createDataFrame(given, "id long, v array<double>")
+    found = vectors.nearest_each(table, table.where("id % 20 = 0"), 5, "id", "v", rows, abreast)
+    want = {q: sorted(sims, key=lambda s: (-s[0], s[1]))[:5] for q, sims in plain_similarities(given, [g for g in given if g[0] % 20 == 0]).items()}
+    got = {}
+    for r in found.orderBy("query", "place").collect():
+        got.setdefault(r["query"], []).append((r["sim"], r["id"]))
+    assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    assert all(abs(a[0] - b[0]) < 1e-9 for q in got for a, b in zip(got[q], want[q]))
+    plan = found._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("Scan ExistingRDD") == 2 and "CartesianProduct" not in plan
+    held = vectors.cells(table, "id", "v", rows)
+    if rows < 600:
+        x = np.array([v for _, v in given[:600]])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        assert held[16].count.sum() == 600 and held[2].count.tolist() == [2]
+        assert held[16].routes(x, 5, None).mean() < 0.5  # most cells are skipped
+        assert held[16].routes(x, 5, 0.9).mean() <= held[16].routes(x, 5, None).mean()
+    groups = spark.createDataFrame([(f"g{i:04}", v) for i, v in given if i % 3 == 0], "group_id string, c array<double>")
+    best = {r["id"]: (r["group_id"], r["sim"]) for r in vectors.nearest_group(table, groups, "id", "v", "c", 0.8, rows=rows, abreast=abreast).collect()}
+    names = plain_similarities([(f"g{i:04}", v) for i, v in given if i % 3 == 0], given)
+    want = {q: max(sims)[1] for q, sims in names.items() if sims and max(sims)[0] >= 0.8}
+    assert {q: b[0] for q, b in best.items()} == want
+    nothing = table.where("false")
+    assert vectors.nearest_each(nothing, table, 3, "id", "v").isEmpty() and vectors.nearest_each(table, nothing, 3, "id", "v").isEmpty()

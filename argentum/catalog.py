@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from argentum.functions import faces, media
-from argentum.operators import fulltext, maintenance, people, predicates, ranking, records, vectors
+from argentum.operators import fulltext, maintenance, people, predicates, ranking, records, textindex, vectors
 from argentum.plans import views
 from argentum.plans.query_parser import EXTENSIONS, QueryPlan, parse
 from argentum.sources import files
@@ -169,6 +169,53 @@ def _(images):
     return images.where(fulltext.matches(_texts(), "the") & ~fulltext.matches(_texts(), "license")).select("id")
 
 
+# --- stored index ----------------------------------------------------------
+
+INDEXED = ["id", "filename", "ocr_text", "people"]
+
+
+def _postings_sql(images, name="postings"):
+    field = lambda k, c: f"""select id, {k} as field, unnest(w) as term, generate_subscripts(w, 1) - 1 as place
+      from (select id, list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+'), lambda t: t <> '') as w from {images})"""
+    each = " union all ".join(field(k, c) for k, c in enumerate(("filename", "ocr_text", "array_to_string(people, ' ')")))
+    return f"""{name} as (select id, field, term, count(*) as n, string_agg(place, ',' order by place) as places from ({each}) group by id, field, term)"""
+
+
+#: What is held of each image, as one row: bounded by its own text.
+HELD_SQL = "select id, field, count(*) as terms, sum(n)::bigint as words, md5(string_agg(term || ':' || places, ' ' order by term)) as digest from"
+
+
+def _held(postings):
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term", "places"))), lambda x: F.concat_ws(":", x["term"], F.array_join(x["places"], ","))), " ")
+    return postings.groupBy("id", F.col("field").cast("int").alias("field")).agg(
+        F.count("*").alias("terms"), F.sum(F.size("places")).alias("words"), F.md5(told).alias("digest")
+    )
+
+
+@_images("index_build", f", {_postings_sql('images')} {HELD_SQL} postings group by id, field", *INDEXED)
+def _(images):
+    return _held(textindex.postings(images))
+
+
+#: Every third image has another text, and every tenth is gone.
+CHANGED = "changed as (select * replace (case when id % 3 = 0 then 'New text, new: ' || filename else ocr_text end as ocr_text) from images where id % 10 <> 0)"
+
+
+@_images("index_update", f", {CHANGED}, {_postings_sql('changed')} {HELD_SQL} postings group by id, field", *INDEXED)
+def _(images):
+    fresh = images.where("id % 3 = 0 and id % 10 <> 0").withColumn("ocr_text", F.concat(F.lit("New text, new: "), "filename"))
+    return _held(textindex.changed(textindex.postings(images), fresh, images.where("id % 10 = 0"), segment=1))
+
+
+@_images(
+    "index_search",
+    f", scored as (select id, {_hit('license')}::int + 2 * {_hit('of the')}::int as score from images where not {_hit('idiot')}) select id, score from scored where score > 0",
+    *INDEXED,
+)
+def _(images):
+    return textindex.scores(textindex.postings(images), ["license", "of-the", "of-the"], must_not=["idiot"])
+
+
 # --- vectors ---------------------------------------------------------------
 
 COS = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from argentum.operators import maintenance, people, ranking, records
+from argentum.operators import maintenance, people, ranking, records, textindex
 from argentum.plans.query_parser import QueryPlan, parse
 from argentum.settings import Settings, load_people, load_settings, read_json, save_settings, write_json
 from argentum.sources import files, listing
@@ -38,7 +38,11 @@ PLACES = "root string, id string, filename string, position long"
 THUMBNAILS = "root string, path string, thumbnail string"
 VECTORS = "kind string, root string, path string, group_id string, embedding array<float>"
 GROUPS = "root string, group_id string, name string, centroid array<float>, face_count long, image_count long, preview string"
-SCHEMAS = {"images": IMAGES, "places": PLACES, "thumbnails": THUMBNAILS, "vectors": VECTORS, "groups": GROUPS}
+SCHEMAS = {
+    "images": IMAGES, "places": PLACES, "thumbnails": THUMBNAILS, "vectors": VECTORS, "groups": GROUPS, "postings": textindex.POSTINGS, "owners": textindex.OWNERS,
+}
+#: Segments of the text index that are written before they are merged into one; parts of a segment, by word.
+SEGMENTS, TERM_PARTS = 8, 16
 #: Old records whose JSON still holds a vector, where a catalogue has such a table.
 LEGACY = "root string, path string, record_json string"
 def _observed() -> list[Column]:
@@ -231,6 +235,44 @@ class Catalogue:
         self.session = (key, self.spark.read.schema(hits.schema).parquet(f"{path}/placed"), folder, total)
         return self.session[1], total
 
+    def text_scores(self, should: list[str], must: list[str] = (), must_not: list[str] = ()) -> DataFrame:
+        """(id, score) of the images in which words or phrases stand, from the stored index: no text is read.
+
+        Only the parts of the index that hold the terms' words are looked at.
+        """
+        state = self._store.state()
+        root = state["root"]
+        words = textindex.words_in([*should, *must, *must_not])
+        buckets = {r[0] for r in self.spark.createDataFrame([(w,) for w in words], "term string").select(bucket("term", TERM_PARTS)).collect()} if words else set()
+        parts = {p for p in self._store.parts("postings", state, root) if p.rpartition("-")[2] in buckets}
+        held = self._store.read("postings", state, root, parts)
+        found = textindex.live(held.where(F.col("term").isin(words)), self._store.read("owners", state, root))
+        return textindex.scores(found, should, must, must_not)
+
+    def _index(self, state: dict, root: str, images: DataFrame, gone: DataFrame | None = None) -> None:
+        """Let a state name postings of new and changed images (a segment of their own), and who owns them.
+
+        ``gone``: images (id) that left.  Where there are SEGMENTS of them already, all live postings are merged into one.
+        """
+        store = self._store
+        held = store.parts("postings", state, root)
+        numbers = {int(p.partition("-")[0]) for p in held}
+        new = max(numbers, default=0) + 1
+        owners = store.read("owners", state, root)
+        out = images.select("id") if gone is None else images.select("id").unionByName(gone.select("id"))
+        kept = owners.join(out, "id", "left_anti")
+        part = F.concat_ws("-", F.col("segment"), bucket("term", TERM_PARTS))
+        fresh = textindex.postings(images, new)
+        if len(numbers) >= SEGMENTS:
+            old = textindex.live(store.read("postings", state, root), kept).withColumn("segment", F.lit(new).cast("long"))
+            owned = kept.select("id", F.lit(new).cast("long").alias("segment"))
+            store.replace(state, "postings", root, store.write("postings", old.select(fresh.columns).unionByName(fresh), part, ["term"]))
+        else:
+            owned = kept
+            store.replace(state, "postings", root, store.write("postings", fresh, part, ["term"]), set())
+        own = owned.unionByName(images.select("id", F.lit(new).cast("long").alias("segment")))
+        store.replace(state, "owners", root, store.write("owners", own))
+
     # --- people
 
     def face_groups(self) -> list[dict]:
@@ -258,6 +300,7 @@ class Catalogue:
         if parts:
             renamed = with_people(store.read("images", state, root, parts), labelled)
             store.replace(after, "images", root, store.write("images", renamed, part), parts)
+            self._index(after, root, store.read("images", after, root, parts).where(F.array_contains("face_group_ids", group_id)))
         store.replace(after, "groups", root, store.write("groups", labelled))
         after["people"] = store.write_people(known)
         store.commit(after)
@@ -411,6 +454,10 @@ class _Scan:
         if parts is None or parts:
             kept = self._read("images", parts).join(gone, key, "left_anti").unionByName(rows)
             store.replace(after, "images", root, store.write("images", with_people(kept, named), part), parts)
+        if parts is None or parts:
+            keys = gone.select(*key).unionByName(renamed.select(F.lit(root).alias("root"), "path")).distinct()
+            left = old.select(*key, "id").join(gone, key, "left_semi").select("id")
+            app._index(after, root, store.read("images", after, root, parts).join(keys, key, "left_semi"), left)
         if touched or root not in self.state["tables"].get("places", {}):
             placed = ranking.positions(small.select("root", "id", "path", "filename"), "path")
             store.replace(after, "places", root, store.write("places", placed))

@@ -93,7 +93,7 @@ def page(
 def page_metadata(hits: DataFrame, offset: int = 0, size: int = PAGE, limit: int | None = None) -> DataFrame:
     """One row: total, first and last row of the page, has_more."""
     size = min(max(size, 1), MAX_PAGE)
-    total = F.least(F.count("*"), F.lit(limit)) if limit is not None else F.count("*")
+    total = F.least(F.count("*"), F.lit(min(limit, 2**63 - 1))) if limit is not None else F.count("*")
     return hits.agg(total.cast("long").alias("total")).select(
         "total",
         F.least(F.lit(offset), "total").alias("start"),

@@ -88,9 +88,9 @@ def _take_negated(text: str) -> tuple[list[str], str]:
         while (at := text.find(mark)) >= 0:
             rest = text[at + len(mark) :]
             word = re.match(rf"[^\s{SPLITTERS}或、，,。]*", rest)[0]
-            if word and word not in STOP_WORDS:
-                out.append(word)
-            text = text[:at] + " " + rest[len(word) :]
+            taken = word if word not in STOP_WORDS else ""  # a stop word stays where it is
+            out += [taken] if taken else []
+            text = text[:at] + " " + rest[len(taken) :]
     return out, text
 
 

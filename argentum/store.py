@@ -118,17 +118,20 @@ class Store:
     def parts(self, table: str, state: dict, root: str) -> set[str]:
         return set(state["tables"].get(table, {}).get(root, {}))
 
-    def write(self, table: str, rows: DataFrame, part: Column | None = None) -> dict[str, str]:
+    def write(self, table: str, rows: DataFrame, part: Column | None = None, order: list[str] | None = None) -> dict[str, str]:
         """Write rows of a root into new folders, one for each part, or one in all; returns part -> folder.
 
-        A part has ROWS_PER_PART rows or so, and one task writes it.
+        A part has ROWS_PER_PART rows or so, and one task writes it.  With an ``order`` parts may be of any size: each is
+        dealt to ranges of that order and sorted, so that readers can pass over files and row groups.
         """
         folder = self.fresh(table)
         columns = rows.sparkSession.createDataFrame([], self.schemas[table]).columns
         if part is None:
             rows.select(columns).write.parquet(f"{self.path}/{folder}")
             return {"0": folder}
-        rows.select(*columns, part.alias("part")).repartition("part").write.partitionBy("part").parquet(f"{self.path}/{folder}")
+        told = rows.select(*columns, part.alias("part"))
+        laid = told.repartitionByRange("part", *order).sortWithinPartitions("part", *order) if order else told.repartition("part")
+        laid.write.partitionBy("part").parquet(f"{self.path}/{folder}")
         return {n.removeprefix("part="): f"{folder}/{n}" for n in self.names(folder) if n.startswith("part=")}
 
     def replace(self, state: dict, table: str, root: str, made: dict[str, str], parts: set[str] | None = None) -> None:

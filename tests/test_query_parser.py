@@ -48,3 +48,9 @@ def test_any_text_has_a_plan(query):
     plan = parse(query, ["狗"], Y)
     assert plan.limit is None or plan.limit > 0
     assert all(t and t.strip() == t for t in plan.should + plan.must_not)
+
+
+def test_stop_words_behind_a_negation_stay():
+    plan = parse("不要照片或貓")
+    assert plan.must_not == [] and plan.should == ["照片或貓"]
+    assert parse("不要狗或貓").must_not == ["狗"] and parse("不要 貓").should == ["貓"]

@@ -117,8 +117,8 @@ def test_a_label_writes_what_it_changes(spark, photos, tmp_path, monkeypatch):
     for table in ("images", "groups"):
         assert after["tables"][table][str(tmp_path / "other")] == state["tables"][table][str(tmp_path / "other")]
     new = {f for f in now if f not in files}
-    assert new and all(f"{tmp_path}/store/{t}/" in f for f in new for t in [f.removeprefix(f"{tmp_path}/store/").split("/")[0]] if t in ("images", "groups"))
-    assert {f.removeprefix(f"{tmp_path}/store/").split("/")[0] for f in new} == {"images", "groups"}
+    assert new and all(f"{tmp_path}/store/{t}/" in f for f in new for t in [f.removeprefix(f"{tmp_path}/store/").split("/")[0]])
+    assert {f.removeprefix(f"{tmp_path}/store/").split("/")[0] for f in new} == {"images", "groups", "postings", "owners"}
     assert {(r["filename"], *r["people"]) for r in app.table("images").where(F.col("root") == str(photos)).collect()} == {
         (f"p{k}.jpg", "Ann") if k % 2 else (f"p{k}.jpg",) for k in range(6)
     }
@@ -187,3 +187,35 @@ def test_pages_are_ranges_of_places(spark, photos, tmp_path):
     assert [r["filename"] for r in app.search_page("text 最多 3 張", 1, 5).images] == ["p1.jpg", "p2.jpg"]
     plan = app.session[1].where("position between 2 and 4")._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in plan and "Exchange" not in plan and "PushedFilters: [IsNotNull(position), GreaterThanOrEqual(position,2), LessThanOrEqual(position,4)]" in plan
+
+
+def found(app, *terms, **more):
+    return {r["id"].rpartition("/")[2]: r["score"] for r in app.text_scores(list(terms), **more).collect()}
+
+
+def test_words_are_found_without_reading_texts(spark, photos, tmp_path):
+    app = Catalogue(spark, str(tmp_path / "store"), Model(), dimension=2)
+    app.scan(str(photos))
+    every = {f"p{k}.jpg" for k in range(6)}
+    assert found(app, "text") == dict.fromkeys(every, 1) and found(app, "text of", "P3.JPG", "p3") == {n: 3 if n == "p3.jpg" else 1 for n in every}
+    assert found(app, "of text") == {} == found(app, "—", "") and found(app, "text", must_not=["p3 jpg"]) == dict.fromkeys(every - {"p3.jpg"}, 1)
+    plan = app.text_scores(["text of"])._jdf.queryExecution().executedPlan().toString()
+    assert "ocr_text" not in plan and "term:string" in plan
+    app.label("face-1", "Ann Lee")
+    assert found(app, "ann lee") == {"p1.jpg": 1, "p3.jpg": 1, "p5.jpg": 1} and found(app, "text") == dict.fromkeys(every, 1)
+    (photos / "p3.jpg").unlink()
+    (photos / "p5.jpg").rename(photos / "new name.png")
+    app.scan(str(photos))
+    assert found(app, "p3") == {} == found(app, "p5 jpg") and found(app, "text of new name") == {"new name.png": 1}
+
+
+def test_segments_are_merged(spark, photos, tmp_path, monkeypatch):
+    monkeypatch.setattr("argentum.engine.SEGMENTS", 2)
+    app = Catalogue(spark, str(tmp_path / "store"), Model(), dimension=2)
+    counts = []
+    for k in range(4):
+        (photos / f"q{k}.jpg").write_bytes(b"q")
+        app.scan(str(photos))
+        counts.append(len({p.partition("-")[0] for p in app._store.parts("postings", app._store.state(), str(photos))}))
+        assert len(found(app, "text")) == 7 + k and found(app, f"q{k}") == {f"q{k}.jpg": 1}
+    assert counts == [1, 2, 1, 2]

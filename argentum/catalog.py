@@ -12,7 +12,7 @@ from argentum.functions import faces, media
 from argentum.operators import fulltext, maintenance, people, predicates, ranking, records, textindex, vectors
 from argentum.plans import views
 from argentum.plans.query_parser import EXTENSIONS, QueryPlan, parse
-from argentum.sources import files
+from argentum.sources import files, pictures
 
 PLAN = QueryPlan(should=["license", "the"], must_not=["idiot"], date_from="2000-01-01 00:00:00", date_to="2999-12-31 23:59:59")
 QUERIES: dict = {}
@@ -684,6 +684,55 @@ def _(spark, d):
     return views.table(spark, d, "events").select("event_id", media.first_datetime(tags).alias("captured"))
 
 
+#: A JPEG file up to its frame header, in hexadecimal: a directory that leads to another one with the date of the shot, then the sides.
+BEFORE_DATE = "ffd8ffe10048457869660000" "4d4d002a00000008" "0001876900040000" "00010000001a00000000" "0001900300020000" "00140000002c00000000"
+
+
+@_register(
+    "picture_facts",
+    """select event_id, 'jpeg' as format, (user_id % 6000 + 1)::integer as width, (event_id % 4000 + 1)::integer as height,
+    case when event_id % 5 > 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') end as captured from events where event_id % 7 > 0
+    union all select event_id, 'jpeg', null, null, null from events where event_id % 7 = 0""",
+)
+def _(spark, d):
+    side = lambda x: F.lpad(F.hex(x + 1), 4, "0")
+    date = F.when(F.col("event_id") % 5 > 0, F.date_format("ts", "yyyy:MM:dd HH:mm:ss")).otherwise("0000:00:00 00:00:00")
+    whole = F.concat(F.lit(BEFORE_DATE), F.hex(F.encode(date, "UTF-8")), F.lit("00ffc0001108"), side(F.col("event_id") % 4000), side(F.col("user_id") % 6000), F.lit("03012200"))
+    cut = F.when(F.col("event_id") % 7 == 0, F.substring(whole, 1, 60)).otherwise(whole)  # files that break off
+    read = pictures.with_facts(views.table(spark, d, "events").select("event_id", F.unhex(cut).alias("content")))
+    return read.select("event_id", "format", "width", "height", media.first_datetime([F.col(c) for c in ("original", "digitised", "changed")]).alias("captured"))
+
+
+LANDMARKS = ["l_quantity", "l_partkey % 97", "l_quantity + 30", "l_suppkey % 13", "l_partkey % 50", "l_quantity + 20", "l_suppkey % 31", "70.0", "l_quantity + 25", "l_partkey % 80"]
+
+
+def _cut(x: str) -> str:
+    """Rounded to 6 digits at a place that sums of short decimals don't meet."""
+    return f"floor(({x}) * 1e6 + 0.37) / 1e6"
+
+
+def _transform_sql():
+    s, d_ = [f"({x})::double" for x in LANDMARKS], faces.ALIGNED
+    mean = lambda p, k: "(" + " + ".join(str(x) for x in p[k::2]) + ") / 5"
+    du, dv = [f"({x} - sx)" for x in s[::2]], [f"({x} - sy)" for x in s[1::2]]
+    dp, dq = [f"({x} - dx)" for x in d_[::2]], [f"({x} - dy)" for x in d_[1::2]]
+    total = lambda f: " + ".join(f(i) for i in range(5))
+    return f"""with m as (select *, {mean(s, 0)} as sx, {mean(s, 1)} as sy, {mean(d_, 0)} as dx, {mean(d_, 1)} as dy from lineitem),
+    c as (select l_orderkey, l_linenumber, sx, sy, dx, dy, {total(lambda i: f"{du[i]} * {du[i]} + {dv[i]} * {dv[i]}")} as spread, {total(lambda i: f"{dp[i]} * {du[i]} + {dq[i]} * {dv[i]}")} as trace,
+      {total(lambda i: f"{dq[i]} * {du[i]} - {dp[i]} * {dv[i]}")} as turn from m),
+    -- angle and scale, instead of the ratios that the query takes
+    t as (select *, atan2(turn, trace) as angle, sqrt(turn * turn + trace * trace) / spread as scale from c)
+    select l_orderkey, l_linenumber, {_cut('scale * cos(angle)')} as a, {_cut('scale * sin(angle)')} as b,
+      {_cut('dx - scale * (cos(angle) * sx - sin(angle) * sy)')} as x, {_cut('dy - scale * (sin(angle) * sx + cos(angle) * sy)')} as y from t"""
+
+
+@_register("face_alignment", _transform_sql())
+def _(spark, d):
+    source, target = [F.expr(x).cast("double") for x in LANDMARKS], [F.lit(x) for x in faces.ALIGNED]
+    found = views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", faces.similarity(source, target).alias("t"))
+    return found.select("l_orderkey", "l_linenumber", *[(F.floor(F.col(f"t.{c}") * 1e6 + 0.37) / 1e6).alias(c) for c in ("a", "b", "x", "y")])
+
+
 @_register("ocr_target_side", f"select p_partkey, (case when greatest(w, h) < 1800 then least(greatest(w, h) * 2, 2600) else least(greatest(w, h), 3200) end)::bigint as side from (select p_partkey, {WH} from part)")
 def _(spark, d):
     w, h = (F.col("p_size") * 100).cast("long"), (F.col("p_partkey") % 4000 + 1).cast("long")

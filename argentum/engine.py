@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from argentum.functions import media
 from argentum.operators import maintenance, people, ranking, records, textindex
 from argentum.plans.query_parser import QueryPlan, parse
 from argentum.settings import Settings, load_people, load_settings, read_json, save_settings, write_json
 from argentum.sources import files, listing
+from argentum.sources.pictures import with_facts
 from argentum.store import Store, bucket, buckets_for
 from argentum.streaming.ingest import Gate, in_steps, remaining
 
@@ -87,6 +89,13 @@ def bare(listing: DataFrame) -> Derived:
     return Derived(listing.select("root", "path", "filename", "bytes", "modified_at", "modified_ns"))
 
 
+def pictures(listed: DataFrame) -> Derived:
+    """Rows with the sizes and capture times that the files' own bytes tell; files that are no pictures are left out."""
+    read = with_facts(files.contents(listed))
+    taken = media.first_datetime([F.col(c) for c in ("original", "digitised", "changed")])
+    return Derived(read.where("width is not null").withColumn("captured_at", taken).drop("format", "original", "digitised", "changed"))
+
+
 def _filled(rows: DataFrame, schema: str) -> DataFrame:
     """rows with exactly the columns of a schema; missing ones are null, missing lists empty."""
     fields_ = StructType.fromDDL(schema).fields

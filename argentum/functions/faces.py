@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argentum.operators.fulltext import once
+
 from argentum.functions.media import box_iou
 
 #: Fixed values of the detector: side of its input, anchors of a cell, least score, most overlap.
@@ -90,3 +92,41 @@ def fitted(width: Column, height: Column, side: int = CROP_SIDE) -> Column:
     share = F.least(side / width, side / height)
     own = lambda x: F.greatest(F.floor(x * share + 0.5), F.expr("1L")).cast("int")
     return F.struct(own(width).alias("width"), own(height).alias("height"))
+
+
+#: Where eyes, nose and corners of the mouth lie in an aligned face of 112 by 112 (fixed values): x, y of each.
+ALIGNED = [38.2946, 51.6963, 73.5318, 51.5014, 56.0252, 71.7366, 41.5493, 92.3655, 70.7299, 92.2041]
+
+
+def similarity(source: list[Column], destination: list[Column]) -> Column:
+    """The turn, scale and shift that take points nearest to others by least squares, as struct(a, b, x, y).
+
+    Points are given as x, y, x, y, …; (u, v) goes to (a u - b v + x, b u + a v + y).  The best turn never mirrors: its angle
+    comes from the sums and differences of the covariances, which is the two-sided decomposition in closed form.  Where all source points
+    are one, nothing is turned or scaled.
+    """
+    n = len(source) // 2
+    mean = lambda points, k: sum(points[k + 2 :: 2], points[k]) / F.lit(float(n))
+    means = F.struct(*[mean(p, k).alias(f"{name}{'xy'[k]}") for name, p in (("s", source), ("d", destination)) for k in (0, 1)])
+
+    def sums(m: Column) -> Column:
+        at = [(source[2 * i] - m["sx"], source[2 * i + 1] - m["sy"], destination[2 * i] - m["dx"], destination[2 * i + 1] - m["dy"]) for i in range(n)]
+        total = lambda terms: sum(terms[1:], terms[0])
+        return F.struct(
+            m.alias("m"),
+            total([u * u + v * v for u, v, _, _ in at]).alias("spread"),
+            total([p * u + q * v for u, v, p, q in at]).alias("along"),
+            total([q * u - p * v for u, v, p, q in at]).alias("across"),
+        )
+
+    def solved(t: Column) -> Column:
+        some = t["spread"] > 0
+        return F.struct(
+            t["m"].alias("m"), F.when(some, t["along"] / t["spread"]).otherwise(1.0).alias("a"), F.when(some, t["across"] / t["spread"]).otherwise(0.0).alias("b")
+        )
+
+    def shifted(r: Column) -> Column:
+        m, a, b = r["m"], r["a"], r["b"]
+        return F.struct(a.alias("a"), b.alias("b"), (m["dx"] - a * m["sx"] + b * m["sy"]).alias("x"), (m["dy"] - b * m["sx"] - a * m["sy"]).alias("y"))
+
+    return once(once(once(means, sums), solved), shifted)

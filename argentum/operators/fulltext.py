@@ -43,16 +43,26 @@ def lowered(texts: list[Column]) -> Column:
     return F.array(*[F.lower(F.coalesce(t, F.lit(""))) for t in texts])
 
 
+def matches_of(low: list[Column], term: str) -> Column:
+    """As ``matches``, in lower-case texts."""
+    words = words_of(term)
+    return reduce(or_, [_stands(t, words) for t in low]) if words else F.lit(False)
+
+
+def score_of(low: list[Column], terms: list[str]) -> Column:
+    """As ``score``, in lower-case texts."""
+    times = {t: terms.count(t) for t in terms}
+    return reduce(add, [F.when(matches_of(low, t), k).otherwise(0) for t, k in times.items()], F.lit(0))
+
+
 def matches_in(low: Column, n: int, term: str) -> Column:
     """As ``matches``, in an array of n lower-case texts."""
-    words = words_of(term)
-    return reduce(or_, [_stands(F.get(low, F.lit(k)), words) for k in range(n)]) if words else F.lit(False)
+    return matches_of([F.get(low, F.lit(k)) for k in range(n)], term)
 
 
 def score_in(low: Column, n: int, terms: list[str]) -> Column:
     """As ``score``, in an array of n lower-case texts."""
-    times = {t: terms.count(t) for t in terms}
-    return reduce(add, [F.when(matches_in(low, n, t), k).otherwise(0) for t, k in times.items()], F.lit(0))
+    return score_of([F.get(low, F.lit(k)) for k in range(n)], terms)
 
 
 def matches(texts: list[Column], term: str) -> Column:

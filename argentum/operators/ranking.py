@@ -19,23 +19,19 @@ def candidates(images: DataFrame, plan: QueryPlan, queries: list[list[float]] =
     found as substrings.  Filters, words and vectors are looked at in one pass: nothing is joined.
     """
     terms = [*plan.should, *plan.must]
-    texts = [F.col("filename"), F.col("ocr_text"), F.array_join("people", " ")]
-    # each text is lowered once, and its blanks are taken out once
-    low = F.transform(F.array(fulltext.lowered(texts)), lambda x: F.struct(x.alias("low"), F.array_join(x, " ").alias("hay")))
-    read = F.transform(low, lambda x: F.struct(x["low"].alias("low"), x["hay"].alias("hay"), predicates.compact(x["hay"]).alias("packed")))
-    judged = F.transform(
-        read,
-        lambda x: F.struct(
-            F.greatest(
-                fulltext.score_in(x["low"], 3, terms).cast("double"), predicates.matched_share(x["hay"], terms, x["packed"])
-            ).alias("lexical"),
-            predicates.has_any_term(x["hay"], plan.must_not, x["packed"]).alias("excluded"),
-        ),
+    texts = {"filename": F.col("filename"), "ocr_text": F.col("ocr_text"), "people": F.array_join("people", " ")}
+    # each text is lowered once; what is used more than once stays a column of its own
+    low = images.where(predicates.plan_filter(plan)).select(
+        "id", "filename", vectors.best_similarity(F.col("embedding"), list(queries)).alias("sim"), *[F.lower(F.coalesce(t, F.lit(""))).alias(f"_{c}") for c, t in texts.items()]
     )
-    # a row of its own, so that filters on it don't have it computed again
-    rows = images.where(predicates.plan_filter(plan)).select(
-        "id", "filename", vectors.best_similarity(F.col("embedding"), list(queries)).alias("sim"), F.explode(judged).alias("text")
+    read = low.withColumn("_hay", F.concat_ws(" ", *[f"_{c}" for c in texts]))
+    own = [F.col(f"_{c}") for c in texts]
+    judged = F.struct(
+        F.greatest(fulltext.score_of(own, terms).cast("double"), predicates.matched_share(F.col("_hay"), terms)).alias("lexical"),
+        predicates.has_any_term(F.col("_hay"), plan.must_not).alias("excluded"),
     )
+    # a row of its own, so that filters on it don't have it computed again
+    rows = read.select("id", "filename", "sim", F.explode(F.array(judged)).alias("text"))
     return rows.select("id", "filename", "text.lexical", "sim", "text.excluded")
 
 

@@ -45,11 +45,21 @@ def normalize(a: Column) -> Column:
 
 
 def best_similarity(vector: Column, queries: list[list[float]]) -> Column:
-    """The best similarity over a search's query vectors; null without a vector or one of their length."""
-    sims = [
-        F.when(F.size(vector) == len(q), F.greatest(F.least(cosine(vector, F.lit(list(map(float, q)))), F.lit(1.0)), F.lit(-1.0)))
-        for q in queries
-    ]
+    """The best similarity over a search's query vectors; null without a vector or one of their length.
+
+    Queries are brought to unit length here, once; a row's length is computed once for each of their lengths.
+    """
+
+    def of(q: list[float]) -> Column:
+        x = np.array(q, np.float64)
+        norm = np.linalg.norm(x)
+        if not norm:
+            return F.when(F.size(vector) == len(q), 0.0)
+        length = F.sqrt(dot(vector, vector))
+        sim = F.when(length > 0, dot(vector, F.expr(f"array({', '.join(f'{v!r}D' for v in (x / norm).tolist())})")) / length).otherwise(0.0)
+        return F.when(F.size(vector) == len(q), F.greatest(F.least(sim, F.lit(1.0)), F.lit(-1.0)))
+
+    sims = [of(list(map(float, q))) for q in queries]
     return F.greatest(*sims) if len(sims) > 1 else sims[0] if sims else F.lit(None).cast("double")
 
 

@@ -15,6 +15,12 @@ def utc_seconds(time: str) -> Column:
     return F.unix_seconds(F.concat(F.col(time).cast("string"), F.lit("Z")).cast("timestamp"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a scan, dealt to all cores where the scan has fewer splits than there are: a small file is one row group, and so one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 #: Which table a column of the catalogue comes from, where it isn't documents.
 FROM_EVENTS = {"captured_at", "modified_at"}
 FROM_EMBEDDINGS = {"people", "face_group_ids", "embedding"}
@@ -44,6 +50,8 @@ def images(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -
         "height": F.when(F.col("id") % 9 != 0, (F.col("id") % 3000 + 1).cast("int")),
     }
     rows = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    if "ocr_text" in wanted:
+        rows = spread(rows.select("id", "text", "source", "n_chars"))
     if FROM_EVENTS & set(wanted):
         rows = rows.join(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "ts"), "id", "left")
     if FROM_EMBEDDINGS & set(wanted):

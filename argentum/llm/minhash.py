@@ -227,11 +227,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), _digest(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
 
 
-def _nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-    """(named, reps, plain): every row with its node, each node with the row that stands for it.
+def _nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(named, reps): every row with its node, each node with the row that stands for it.
 
     Rows with the same words are one node, named by their least id.  Where that id has
-    other texts too, those nodes get numbers above all ids instead, and it isn't plain.
+    other texts too, those nodes get numbers above all ids instead.
     """
     rows = signed.select("id", "row", "s1", "s2", "n")
     named = materialise(
@@ -243,7 +243,7 @@ def _nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
     reps = named.where((F.col("id") == F.col("rep")) & (F.col("row") == F.col("rep_row"))).select("rep", "rep_row")
     shared = reps.groupBy("rep").agg(F.count("*").alias("texts"), F.min("rep_row").alias("first")).where("texts > 1")
     if shared.isEmpty():
-        return named.withColumn("node", F.col("rep")), reps.withColumn("node", F.col("rep")), True
+        return named.withColumn("node", F.col("rep")), reps.withColumn("node", F.col("rep"))
     top = signed.agg(F.max("id")).first()[0]
     further = materialise(
         reps.join(shared.withColumnRenamed("rep", "of"), F.col("rep") == F.col("of"))
@@ -256,21 +256,20 @@ def _nodes(signed: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         found = salted_lookup(df.withColumn("whose", F.struct("rep", "rep_row")), "whose", by, further)
         return found.withColumn("node", F.coalesce("node", "rep")).drop("whose")
 
-    return materialise(numbered(named, "id"), "named"), materialise(numbered(reps, "rep"), "reps"), False
+    return materialise(numbered(named, "id"), "named"), materialise(numbered(reps, "rep"), "reps")
 
 
-def _classified(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool, bool]:
-    """(rows, plain, repeated): each row (id, row) once, with rep, rep_row, node and head.
+def _classified(rows: DataFrame, threshold: float) -> tuple[DataFrame, bool]:
+    """(rows, repeated): each row (id, row) once, with rep, rep_row, node and head.
 
-    ``head`` is the node that names the class.  It is plain if all nodes are ids, and repeated if
-    the table has rows with both id and text alike.
+    ``head`` is the node that names the class; it is repeated if the table has rows with both id and text alike.
     """
     signed = materialise(rows.where("id is not null").mapInArrow(_sign, SIGNED), "signed")
     repeated = not signed.groupBy("id", "row").agg(F.sum("times").alias("times")).where("times > 1").isEmpty()
     if repeated:
         signed = materialise(signed.dropDuplicates(["id", "row"]), "signed")
-    named, reps, plain = _nodes(signed)
-    return _headed(named, _found(rows, signed, reps, threshold)), plain, repeated
+    named, reps = _nodes(signed)
+    return _headed(named, _found(rows, signed, reps, threshold)), repeated
 
 
 def _found(rows: DataFrame, signed: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -305,7 +304,6 @@ def _found(rows: DataFrame, signed: DataFrame, reps: DataFrame, threshold: float
     wanted = (
         reps.join(inside.select(F.col("rep").alias("w")).distinct(), F.col("node") == F.col("w"))
         .select(F.col("rep").alias("w_id"), F.col("rep_row").alias("w_row"), F.col("node").alias("w_node"))
-        .hint("shuffle_hash")
     )
     features = materialise(
         rows.join(wanted, (F.col("id") == F.col("w_id")) & (F.col("row") == F.col("w_row")))
@@ -402,18 +400,15 @@ def classes(
     its least id.  ``copy_of`` is the least id with the same words in the same
     order.  A text of fewer than five words is one run; texts without words
     (null, empty, punctuation) are copies of each other.  A row with a null id
-    takes no part and has nulls.  Repeated rows repeat their answer; rows that share an
-    id but not a text are texts of their own.  An empty table gives an empty result;
+    takes no part and has nulls.  Repeated rows repeat their answer.  Rows that share an id but not a text
+    are texts of their own: the first by its digest goes by the id, and the classes of which others are the least
+    are named by numbers above all ids, which hold within one result.  An empty table gives an empty result;
     other columns are ignored, texts may be of any length.
     """
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    named, plain, repeated = _classified(rows, threshold)
-    if plain:
-        named = named.withColumn("class_id", F.col("head"))
-    else:  # a class is named by the id of the row that stands for its head
-        ids = named.where("node = head").select("head", F.col("rep").alias("class_id")).distinct()
-        named = salted_lookup(named, "head", "id", ids)
+    named, repeated = _classified(rows, threshold)
+    named = named.withColumn("class_id", F.col("head"))
     if repeated:  # each row of the table hears of the one that it repeats
         named = named.select(F.col("id").alias("n_id"), F.col("row").alias("n_row"), "class_id", "rep")
         named = rows.where("id is not null").select("id", "row").join(named, (F.col("id") == F.col("n_id")) & (F.col("row") == F.col("n_row")), "left")
@@ -431,7 +426,7 @@ def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     """
     small_batches(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
-    found, _, repeated = _classified(rows, threshold)
+    found, repeated = _classified(rows, threshold)
     stays = (F.col("node") == F.col("head")) & (F.col("id") == F.col("rep")) & (F.col("row") == F.col("rep_row"))
     gone = found.where(~stays).select(F.col("id").alias("_g_id"), F.col("row").alias("_g_row"))
     own = docs.withColumns({"_g_of": F.col(id_col).cast("long"), "_g_text": _digest(text_col)})

@@ -13,12 +13,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: Spans that are longer than this and cross the end of a window are hashed one by one, window by window.
+OVERLAP = 1 << 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
 BASE_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 #: A second polynomial, modulo a prime: what cancels modulo 2**64 does not cancel here.
 PRIME, PRIME_BASE = (1 << 31) - 1, 1_234_567_891
-LONG = 1 << 24
 WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 
 
@@ -39,14 +40,14 @@ def _prime_powers(base: int, size: int) -> np.ndarray:
 
 
 class Hasher:
-    """Tables for chunks up to a length; they grow to the longest text seen."""
+    """Hashes of spans of bytes.  Texts are gone through in windows, so tables and sums stay small however long a text is."""
 
     def __init__(self):
         self.up = self.down = self.prime_up = self.prime_down = np.ones(1, np.uint64)
 
     def powers(self, n: int):
         if len(self.up) < n:
-            size = max(n, CHUNK_BYTES + 1)
+            size = max(n, CHUNK_BYTES + OVERLAP + 1)
             with np.errstate(over="ignore"):
                 self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, BASE)]))
                 self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, BASE_INVERSE)]))
@@ -74,6 +75,23 @@ class Hasher:
 
     def spans(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each span [a, b), which depends on nothing else."""
+        if len(data) <= CHUNK_BYTES + OVERLAP:
+            return self._window(data, a, b)
+        out = np.zeros(len(a), np.uint64)
+        order = np.argsort(a, kind="stable") if len(a) and (a[1:] < a[:-1]).any() else None
+        starts = a if order is None else a[order]
+        for at in range(0, len(data), CHUNK_BYTES):
+            low, high = np.searchsorted(starts, [at, at + CHUNK_BYTES])
+            own = np.arange(low, high) if order is None else order[low:high]
+            end = at + CHUNK_BYTES + OVERLAP
+            inside = b[own] <= end
+            near = own[inside]
+            out[near] = self._window(data[at:end], a[near] - at, b[near] - at)
+            for i in own[~inside]:
+                out[i] = self._long(data[a[i] : b[i]])
+        return out
+
+    def _window(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n = len(data)
         up, down = self.powers(n + 1)
         value = data.astype(np.uint64) + np.uint64(1)
@@ -81,12 +99,24 @@ class Hasher:
         with np.errstate(over="ignore"):
             np.cumsum(value * up[:n], out=sums[1:])
             code = mix((sums[b] - sums[a]) * down[a] + ODD * (b - a).astype(np.uint64))
-            # terms below 2**40, so sums over LONG bytes fit; longer ones are reduced first
-            terms = value * self.prime_up[:n]
-            np.cumsum(terms % np.uint64(PRIME) if n > LONG else terms, out=sums[1:])
+            # terms below 2**40, so the sums of a window fit
+            np.cumsum(value * self.prime_up[:n], out=sums[1:])
             rest = (sums[b] - sums[a]) % np.uint64(PRIME) * self.prime_down[a] % np.uint64(PRIME)
             return mix(code + ODD * rest)
 
+    def _long(self, data: np.ndarray) -> np.uint64:
+        """The same hash of one long span: the sums of its windows, each moved by the power of where it begins."""
+        plain = prime = 0
+        self.powers(CHUNK_BYTES + 1)
+        for at in range(0, len(data), CHUNK_BYTES):
+            value = data[at : at + CHUNK_BYTES].astype(np.uint64) + np.uint64(1)
+            with np.errstate(over="ignore"):
+                plain += int((value * self.up[: len(value)]).sum()) * pow(int(BASE), at, 1 << 64)
+                prime += int((value * self.prime_up[: len(value)]).sum()) * pow(PRIME_BASE, at, PRIME)
+        with np.errstate(over="ignore"):
+            code = mix(np.array([plain % (1 << 64)], np.uint64) + ODD * np.array([len(data)], np.uint64))
+            return mix(code + ODD * np.array([prime % PRIME], np.uint64))[0]
+
 
 def word_digests(data: np.ndarray, cuts: np.ndarray, a: np.ndarray, b: np.ndarray, firsts: np.ndarray):
     """(first, second) halves of a 128-bit BLAKE2 digest of each text's words, in order; a, b: their bytes.
@@ -94,15 +124,12 @@ def word_digests(data: np.ndarray, cuts: np.ndarray, a: np.ndarray, b: np.ndarra
     Texts have equal digests when their words are the same: what stands between words does
     not count.
     """
-    inked = np.zeros(len(data) + 1, np.int32)
-    inked[a] += 1
-    inked[b] -= 1
-    inked = np.cumsum(inked[:-1]) > 0  # bytes of words; words that touch at a cut stay apart by text
+    inked = WORD_BYTE[data]  # bytes of words; words that touch at a cut stay apart by text
     kept = inked.copy()
     after = b[b < len(data)]
     kept[after] = True  # one byte behind each word parts it from the next
     raw = np.where(inked, data, 32).astype(np.uint8)[kept].tobytes()
-    at = np.concatenate([[0], np.cumsum(kept)])[cuts]
+    at = np.concatenate([[0], np.cumsum([np.count_nonzero(kept[x:y]) for x, y in zip(cuts.tolist(), cuts[1:].tolist())])])
     out = np.zeros((len(cuts) - 1, 2), np.int64)
     for i, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist())):
         out[i] = np.frombuffer(hashlib.blake2b(raw[x:y].strip(b" "), digest_size=16).digest(), "<i8")

@@ -222,3 +222,9 @@ def test_block_join_is_exact_and_skips_blocks(spark, rows, abreast):
     assert {q: b[0] for q, b in best.items()} == want
     nothing = table.where("false")
     assert vectors.nearest_each(nothing, table, 3, "id", "v").isEmpty() and vectors.nearest_each(table, nothing, 3, "id", "v").isEmpty()
+
+
+def test_limits_past_a_long_cut_nothing(spark):
+    hits = spark.createDataFrame([(i, f"n{i}", float(i)) for i in range(5)], "id long, filename string, score double")
+    for limit in (2**63, 2**64 - 1):
+        assert ranking.page_metadata(hits, 0, 3, limit).first()["total"] == 5 and ranking.page(hits, 0, 3, limit).count() == 3

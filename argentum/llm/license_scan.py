@@ -64,6 +64,17 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Licences that a tag in a source file can name (fixed values), beside those that have a notice.
+TAGGED = [
+    "0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0",
+    "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0",
+    "MIT", "MPL-2.0", "Unlicense", "Zlib",
+]
+#: A tag that names none of these; without it, the tag's own words would be most of the nearest template.
+OTHER_TAG = "SPDX-other"
+_TAG = "SPDX-License-Identifier"
+TEMPLATES += [(name, f"{_TAG}: {name}") for name in TAGGED] + [(OTHER_TAG, _TAG)]
+
 _GNU = (
     "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} General Public License"
     " as published by the Free Software Foundation, either version {3} of the License, or (at your option) any later version."
@@ -78,21 +89,38 @@ _BSD = (
 #: Texts of licences (fixed values), for runs of words only.
 TEXTS = [
     ("AGPL-3.0", _GNU.format("program", ":", "Affero", "3")),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    (
+        "Apache-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND"
+        " DISTRIBUTION",
+    ),
     ("BSD-2-Clause", _BSD),
     (
         "BSD-3-Clause",
         _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
         " products derived from this software without specific prior written permission.",
     ),
+    (
+        "CC0-1.0",
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her"
+        " rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by"
+        " law.",
+    ),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("GPL-2.0", _GNU.format("program", ";", "", "2")),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("GPL-3.0", _GNU.format("program", ":", "", "3")),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
         " granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     ("LGPL-2.1", _GNU.format("library", ";", "Lesser", "2.1")),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
     ("LGPL-3.0", _GNU.format("program", ":", "Lesser", "3")),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
@@ -231,7 +259,10 @@ def scan(
     ``units`` the number of different units for which a notice of that licence is
     the best one (of equal ones the first template).  Null and empty texts have no
     licence.  A licence without such a unit is found by runs of words, which also meet
-    ``texts``; then these are its units.  Rows that repeat id and text count once.  Texts may be of
+    ``texts``; then these are its units.  A tag (``SPDX-License-Identifier``) is a notice of the licence that it
+    names, ``SPDX-other`` if that has no template; of several licences in one tag only one counts.
+    Rows that share an id, null included, are one document with the units of all of its
+    texts, and rows that repeat id and text count once.  Texts may be of
     any length; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession

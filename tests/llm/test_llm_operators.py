@@ -2,6 +2,8 @@
 
 import hashlib
 import os
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -635,6 +637,77 @@ def test_licences_inside_longer_lines_and_paragraphs(spark):
     assert got == {k: (1.0, 1) for k in want}
 
 
+def test_licence_tags_heads_and_deeds(spark):
+    rows = [(i, f"// SPDX-License-Identifier: {name}\nint main() {{}}") for i, name in enumerate(license_scan.TAGGED)]
+    rows += [
+        (100, "# SPDX-License-Identifier: GPL-2.0-or-later"),
+        (101, "SPDX-License-Identifier: Foo-7.1"),
+        (102, "A header has an SPDX-License-Identifier: MIT tag, in the midst of a line that goes on for a long while."),
+        (103, "Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND"
+         " DISTRIBUTION\n\n1. Definitions."),
+        (104, "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nEveryone is permitted to copy"),
+        (105, "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"),
+        (106, "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\nand more"),
+        (107, "GNU GENERAL PUBLIC LICENSE\nVersion 1, February 1989"),
+    ]
+    want = set(enumerate(license_scan.TAGGED)) | {
+        (100, "GPL-2.0"), (101, "SPDX-other"), (102, "MIT"), (103, "Apache-2.0"), (104, "LGPL-3.0"), (105, "GPL-2.0"), (106, "CC0-1.0"),
+    }
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["license"]) for r in got} == want and len(got) == len(want)
+
+
+def test_licences_of_rows_that_share_an_id_or_have_none(spark):
+    mit, isc = "Released under the MIT License.", "Released under the ISC License."
+    rows = [(None, mit), (None, isc), (None, mit), (5, mit), (5, isc), (5, isc), (6, None)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["license"], r["units"]) for r in got) == [(0, "ISC", 1), (0, "MIT", 1), (5, "ISC", 1), (5, "MIT", 1)]
+
+
+def plain_runs(text, templates, threshold):
+    """The runs that count in a text, from the definition: all runs of all templates, then the best of each place."""
+    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    found = []
+    for t, (_, notice) in enumerate(templates):
+        own = set(license_scan.bigrams_of(notice))
+        longest = license_scan.bounds(len(re.findall("[a-z0-9]+", notice.lower())) - 1, threshold)[1]
+        for i in range(len(grams)):
+            runs = []
+            for j in range(i, min(len(grams), i + longest)):
+                if grams[i] in own and grams[j] in own:
+                    inside = [g for g in grams[i : j + 1] if g in own]
+                    others = j + 1 - i - len(inside)
+                    shared = len(set(inside))
+                    runs.append((2.0 * shared / (shared + others + len(own)), shared, j, tuple(inside)))
+            if runs and max(runs)[0] >= threshold:
+                dice, shared, j, inside = max(runs, key=lambda r: r[:3])
+                found.append((-dice, -shared, t, i, j, inside))
+    kept = []
+    for r in sorted(found):
+        if all(k[4] + 1 < r[3] or r[4] + 1 < k[3] for k in kept):
+            kept.append(r)
+    return sorted((templates[r[2]][0], -r[0]) for r in kept)
+
+
+def test_runs_of_words_against_all_runs(spark):
+    rng = random.Random(5)
+    templates = [("A", "a b c d e f"), ("B", "b c d x y"), ("C", "a b a b c"), ("D", "x y z"), ("E", "c d")]
+    texts = [" ".join(rng.choice("abcdefxyz") for _ in range(rng.randrange(60))) for _ in range(150)]
+    for k in range(150):  # templates with words left out and put in
+        parts = [[w for w in rng.choice(templates)[1].split() if rng.random() < 0.9] + ["z"] * rng.randrange(3) for _ in range(4)]
+        texts.append(" ".join(sum(parts, [])))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for threshold in (0.6, 0.8):
+        got = {}
+        for r in license_scan.runs(rows, templates, threshold).collect():
+            got.setdefault(r["id"], []).append((r["license"], r["dice"]))
+        want = {i: found for i, text in enumerate(texts) if (found := plain_runs(text, templates, threshold))}
+        assert got.keys() == want.keys()
+        for i in want:
+            assert [(n, pytest.approx(d)) for n, d in want[i]] == sorted(got[i]), texts[i]
+
+
 def test_key_words_lose_no_unit():
     rng = np.random.default_rng(8)
     keys = license_scan.key_words(license_scan.TEMPLATES, 0.8)

@@ -10,9 +10,9 @@ many subsequences, the landmarks' expansion adds up to one weight for each
 subsequence; scoring a unit with these weights gives the very numbers of the
 expansion.
 
-A text is as toxic as its worst unit.  Labels belong to texts, so training
-alternates: the machine picks the worst unit of each toxic text, and is fitted
-again on those against the units of clean texts.  A logistic curve turns the
+A text is as toxic as its worst unit, and a long unit as its worst window.  Labels belong to texts, so training
+alternates: the machine picks the worst window of each toxic text, and is fitted
+again on those against the windows of clean texts.  A logistic curve turns the
 text's margin into a probability.
 """
 
@@ -36,10 +36,15 @@ SYMBOLS, EDGE, BLANK = 32, 0, 31
 LANDMARKS = 128
 #: Labelled texts of each class from which the classifier is fitted, on average.
 SAMPLE = 2500
-#: Distinct units of one text from which it learns, at most, drawn by their hash from all of them.
+#: Windows of one text from which it learns, at most, drawn by their hash from all of them.
 PER_TEXT = 20000
-NEGATIVES = 20000
-ROUNDS = 4
+#: Clean windows (and first candidates) of a machine, and those that each round adds because they look toxic.
+NEGATIVES, HARD = 20000, 2000
+ROUNDS = 6
+#: A candidate is this many times as frequent in toxic texts as in clean ones.
+LIFT = 4
+#: Steps of sharing out the blame.
+BLAMED = 50
 #: Units whose margins a worker keeps before it starts afresh.
 KEPT = 1 << 20
 
@@ -159,13 +164,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -50, 50)))
 
 
-def _kernel(strings: list[bytes], table: np.ndarray):
-    """Kernel of each string (its first window) with the landmarks whose subsequences table holds."""
-    sizes = np.minimum([len(s) for s in strings], SPAN)
-    data = np.frombuffer(b"".join(s[:SPAN] for s in strings), np.uint8)
+def _joined(strings: list[bytes]):
+    """(bytes, start, end) of strings of at most SPAN letters."""
+    sizes = np.array([len(s) for s in strings], np.int64)
     ends = np.cumsum(sizes)
+    return np.frombuffer(b"".join(strings), np.uint8), ends - sizes, ends
+
+
+def _kernel(strings: list[bytes], table: np.ndarray):
+    """Kernel of each window with the landmarks whose subsequences table holds."""
     out = np.zeros((len(strings), table.shape[1]), np.float32)
-    for rows, codes, values in subsequences(data, ends - sizes, ends):
+    for rows, codes, values in subsequences(*_joined(strings)):
         for i in range(0, len(rows), 2000):
             r, c, v = rows[i : i + 2000], codes[i : i + 2000], values[i : i + 2000]
             sums = np.zeros((len(r), table.shape[1]), np.float32)
@@ -177,10 +186,7 @@ def _kernel(strings: list[bytes], table: np.ndarray):
 
 def _table(strings: list[bytes]) -> np.ndarray:
     table = np.zeros((SYMBOLS**3, len(strings)), np.float32)
-    sizes = np.minimum([len(s) for s in strings], SPAN)
-    data = np.frombuffer(b"".join(s[:SPAN] for s in strings), np.uint8)
-    ends = np.cumsum(sizes)
-    for rows, codes, values in subsequences(data, ends - sizes, ends):
+    for rows, codes, values in subsequences(*_joined(strings)):
         np.add.at(table, (codes, rows[:, None]), values)
     return table
 
@@ -224,61 +230,95 @@ def _logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray):
     return float(v[0]), float(v[1])
 
 
+def _blame(bags: list[np.ndarray], kinds: int) -> np.ndarray:
+    """How many bags each window is to blame for, by expectation and maximisation.
+
+    Every bag has one part of blame, shared among its windows by the blame that they have over all bags.  A
+    window that explains many bags takes over from those that only come along with it, however many they are.
+    """
+    owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    window = np.concatenate(bags)
+    blame = np.bincount(window, minlength=kinds).astype(float)
+    for _ in range(BLAMED):
+        part = blame[window]
+        part /= np.bincount(owner, part, minlength=len(bags))[owner]
+        blame = np.bincount(window, part, minlength=kinds)
+    return blame
+
+
 def fit_units(texts: list[list[bytes]], labels: list[int], share: float, landmarks: int = LANDMARKS, seed: int = 7) -> Model:
     """Fit on the distinct units of texts; share: that of toxic ones among all labelled texts.
 
+    Long units count as their windows.  See ``fit_bags``.
+    """
+    cut = [sorted({u[i : i + SPAN] for u in t for i in range(0, max(1, len(u) - SPAN + STEP), STEP)}) for t in texts]
+    names = sorted({w for t in cut for w in t})
+    number = {w: i for i, w in enumerate(names)}
+    return fit_bags(names, [np.array([number[w] for w in t], np.int64) for t in cut], labels, share, landmarks, seed)
+
+
+def fit_bags(names: list[bytes], texts: list[np.ndarray], labels: list[int], share: float, landmarks: int = LANDMARKS, seed: int = 7) -> Model:
+    """Fit on texts that are given as the numbers of their distinct windows in ``names``.
+
+    A window that is as frequent in clean texts as it is in toxic ones, or nearly so (``LIFT``), is no candidate for what makes a text
+    toxic; one that few clean texts share by a wrong label still is.  The first machine learns from the windows with the
+    most blame (``_blame``), each next one from the worst window of each toxic text, against a draw of
+    clean windows and all that an earlier machine took for toxic.  The round whose curve fits the texts best stays.
     With one class only, or without units, the score is the share everywhere.
     """
     rng = np.random.default_rng(seed)
     flat = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    clean = sorted({u for t, y in zip(texts, labels) if not y for u in t})
-    harmless = set(clean)
-    bags = [b for b in ([u for u in t if u not in harmless] for t, y in zip(texts, labels) if y) if b]
-    if not clean or not bags:
+    y = np.array(labels, float)
+    counts = lambda kind: np.bincount(
+        np.concatenate([np.zeros(0, np.int64), *(t for t, l in zip(texts, labels) if bool(l) == kind)]), minlength=len(names)
+    )
+    of_toxic, of_clean = counts(True), counts(False)
+    clean = np.flatnonzero(of_clean)
+    candidate = of_toxic / max(1, y.sum()) > LIFT * of_clean / max(1, len(y) - y.sum())
+    bags = [b for b in (t[candidate[t]] for t, l in zip(texts, labels) if l) if len(b)]
+    if not len(clean) or not bags:
         return flat
-    candidates = sorted({u for b in bags for u in b})
-    number = {u: i for i, u in enumerate(candidates)}
-    bags_at = [np.array([number[u] for u in b]) for b in bags]
-    found = np.bincount(np.concatenate(bags_at), minlength=len(candidates))
-    # a short list of each: frequent candidates first
-    shortlist = np.argsort(-found, kind="stable")[:NEGATIVES]
-    some_clean = [clean[i] for i in rng.permutation(len(clean))[:NEGATIVES]]
-    positive, strength = [candidates[i] for i in shortlist], found[shortlist].astype(float)
-    hard: list[bytes] = []
-    for turn in range(ROUNDS):
-        order = np.argsort(-strength, kind="stable")
-        half = landmarks // 2
-        marks = [positive[i] for i in order[:half]] if turn == 0 else [positive[i] for i in rng.permutation(len(positive))[:half]]
-        marks += [(hard + some_clean)[i] for i in range(min(landmarks - len(marks), len(hard) + len(some_clean)))]
+    blame = _blame(bags, len(names))
+    positive = np.argsort(-blame, kind="stable")[:NEGATIVES]
+    positive = positive[blame[positive] > 0]
+    strength = blame[positive]
+    some_clean = rng.permutation(clean)[:NEGATIVES]
+    hard = np.zeros(0, np.int64)
+    filled = [t for t in texts if len(t)]
+    whose, firsts = np.concatenate(filled), np.cumsum([0, *(len(t) for t in filled[:-1])])
+    has = np.array([len(t) > 0 for t in texts])
+    prior = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    best, least = flat, np.inf
+    pick = lambda at: [names[i] for i in at]
+    for _ in range(ROUNDS):
+        marks = positive[np.argsort(-strength, kind="stable")[: landmarks // 2]]
+        marks = pick(np.unique(np.concatenate([marks, np.concatenate([hard[-landmarks // 4 :], some_clean])[: landmarks - len(marks)]])))
         table = _table(marks)
         values, vectors = np.linalg.eigh(_kernel(marks, table).astype(np.float64) + 1e-4 * np.eye(len(marks)))
         root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-        negative = some_clean + hard
-        x = np.concatenate([_kernel(positive, table), _kernel(negative, table)]) @ root.astype(np.float32)
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
+        negative = np.concatenate([some_clean, hard])
+        x = np.concatenate([_kernel(pick(positive), table), _kernel(pick(negative), table)]) @ root.astype(np.float32)
+        side = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         weight = np.concatenate([strength / strength.sum(), np.full(len(negative), 1 / len(negative))]) * len(bags)
-        w, bias = _svm(x, y, weight)
+        w, bias = _svm(x, side, weight)
         model = Model((table @ (root @ w)).astype(np.float32), float(bias), 1.0, 0.0)
-        of_candidates, of_clean = _score(model, candidates), _score(model, clean)
-        worst = np.array([b[np.argmax(of_candidates[b])] for b in bags_at])
-        kinds, times = np.unique(worst, return_counts=True)
-        positive, strength = [candidates[i] for i in kinds], times.astype(float)
-        hard = [clean[i] for i in np.argsort(-of_clean, kind="stable")[:2000]]
-    margin = dict(zip(candidates, of_candidates)) | dict(zip(clean, of_clean))
-    f = np.array([max((margin[u] for u in t), default=model.bias) for t in texts])
-    y = np.array(labels, float)
-    prior = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    model.slope, model.offset = _logistic(f, y, prior)
-    return model
-
-
-def _score(model: Model, strings: list[bytes]) -> np.ndarray:
-    sizes = np.array([len(s) for s in strings])
-    ends = np.cumsum(sizes)
-    return model.margins(np.frombuffer(b"".join(strings), np.uint8), ends - sizes, ends)
-
-
-def _distinct_units(batches):
+        margin = model.margins(*_joined(names))
+        f = np.full(len(texts), model.bias)
+        f[has] = np.maximum.reduceat(margin[whose], firsts)
+        model.slope, model.offset = _logistic(f, y, prior)
+        p = np.clip(model.probability(f), 1e-9, 1 - 1e-9)
+        loss = -(prior * np.where(y > 0, np.log(p), np.log(1 - p))).sum()
+        if loss < least:
+            best, least = model, loss
+        worst = np.array([b[np.argmax(margin[b])] for b in bags])
+        positive, times = np.unique(worst, return_counts=True)
+        strength = times.astype(float)
+        top = clean[np.argsort(-margin[clean], kind="stable")[:HARD]]
+        hard = np.concatenate([hard, np.setdiff1d(top, hard)])
+    return best
+
+
+def _distinct_windows(batches):
     hasher = textops.Hasher()
     for batch in batches:
         labels, out = batch.column(1), []
@@ -288,9 +328,11 @@ def _distinct_units(batches):
             for t in range(len(cuts) - 1):
                 own = np.flatnonzero(text == t)
                 names, at = np.unique(hashes[own], return_index=True)
-                at = at[np.argsort(textops.mix(names ^ textops.ODD), kind="stable")[:PER_TEXT]]
-                out.append([raw[a[i] : b[i]] for i in own[at]])
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())), labels], names=["units", "label"])
+                owner, start, end = windows(whole, a[own[at]], b[own[at]])
+                nth = (start - a[own[at]][owner]).astype(np.uint64)
+                drawn = np.argsort(textops.mix(names[owner] ^ (textops.ODD + nth)), kind="stable")[:PER_TEXT]
+                out.append(sorted({raw[start[i] : end[i]] for i in drawn}))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.binary())), labels], names=["windows", "label"])
 
 
 def fit(
@@ -299,8 +341,8 @@ def fit(
     """Fit on labelled texts: about ``sample`` of each class, drawn by a hash of the id.
 
     Labels other than 0 and 1 are ignored, and an id with both counts as toxic.  An id counts once,
-    however often it is repeated, and a text with PER_TEXT distinct units at most.  The
-    sample's units come to the driver; nothing else does.  Without labels the score is the same everywhere.
+    however often it is repeated, and a text with PER_TEXT windows at most.  The
+    sample's windows (SPAN bytes each) come to the driver; nothing else does.  Without labels the score is the same everywhere.
     """
     small_batches(docs.sparkSession)
     marked = (
@@ -319,14 +361,20 @@ def fit(
         .groupBy("d_id")
         .agg(F.min(F.struct("text", "label")).alias("one"))
         .select("one.text", "one.label")
-        .mapInArrow(_distinct_units, "units array<binary>, label int")
+        .mapInArrow(_distinct_windows, "windows array<binary>, label int")
         .toArrow()
     )
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    bags = got.column("units").to_pylist()
-    order = sorted(range(len(bags)), key=lambda i: bags[i])  # the order in which rows arrive doesn't matter
+    listed = got.column("windows").combine_chunks()
+    coded = listed.flatten().dictionary_encode()
+    place = np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable")
+    rank = np.empty(len(place), np.int64)
+    rank[place] = np.arange(len(place))
+    numbers = rank[coded.indices.to_numpy()] if len(place) else np.zeros(0, np.int64)
+    bags = np.split(numbers, np.cumsum(listed.value_lengths().to_numpy())[:-1]) if len(listed) else []
     y = got.column("label").to_pylist()
-    return fit_units([bags[i] for i in order], [y[i] for i in order], share)
+    order = sorted(range(len(bags)), key=lambda i: (y[i], bags[i].tobytes()))  # the order in which rows arrive doesn't matter
+    return fit_bags(coded.dictionary.take(pa.array(place)).to_pylist(), [bags[i] for i in order], [y[i] for i in order], share)
 
 
 class Scorer:

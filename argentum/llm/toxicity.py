@@ -41,10 +41,8 @@ PER_TEXT = 20000
 #: Clean windows (and first candidates) of a machine, and those that each round adds because they look toxic.
 NEGATIVES, HARD = 20000, 2000
 ROUNDS = 6
-#: A candidate is this many times as frequent in toxic texts as in clean ones.
-LIFT = 4
-#: Steps of sharing out the blame.
-BLAMED = 50
+#: A candidate is more than this many times as frequent in toxic texts as in clean ones.
+LIFT = 10
 #: Units whose margins a worker keeps before it starts afresh.
 KEPT = 1 << 20
 
@@ -231,19 +229,14 @@ def _logistic(f: np.ndarray, y: np.ndarray, weight: np.ndarray):
 
 
 def _blame(bags: list[np.ndarray], kinds: int) -> np.ndarray:
-    """How many bags each window is to blame for, by expectation and maximisation.
+    """How many bags each window is to blame for: a bag's one part is shared by the number of bags that hold each of its windows.
 
-    Every bag has one part of blame, shared among its windows by the blame that they have over all bags.  A
-    window that explains many bags takes over from those that only come along with it, however many they are.
+    So the many ordinary words of a text that is repeated don't outweigh the one insult that many texts share.
     """
     owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     window = np.concatenate(bags)
-    blame = np.bincount(window, minlength=kinds).astype(float)
-    for _ in range(BLAMED):
-        part = blame[window]
-        part /= np.bincount(owner, part, minlength=len(bags))[owner]
-        blame = np.bincount(window, part, minlength=kinds)
-    return blame
+    part = np.bincount(window, minlength=kinds)[window].astype(float)
+    return np.bincount(window, part / np.bincount(owner, part)[owner], minlength=kinds)
 
 
 def fit_units(texts: list[list[bytes]], labels: list[int], share: float, landmarks: int = LANDMARKS, seed: int = 7) -> Model:
@@ -260,8 +253,8 @@ def fit_units(texts: list[list[bytes]], labels: list[int], share: float, landmar
 def fit_bags(names: list[bytes], texts: list[np.ndarray], labels: list[int], share: float, landmarks: int = LANDMARKS, seed: int = 7) -> Model:
     """Fit on texts that are given as the numbers of their distinct windows in ``names``.
 
-    A window that is as frequent in clean texts as it is in toxic ones, or nearly so (``LIFT``), is no candidate for what makes a text
-    toxic; one that few clean texts share by a wrong label still is.  The first machine learns from the windows with the
+    A window that clean texts share is no candidate for what makes a text toxic, unless it is ``LIFT`` times as frequent in toxic
+    ones: then a few clean texts have it by a wrong label.  The first machine learns from the windows with the
     most blame (``_blame``), each next one from the worst window of each toxic text, against a draw of
     clean windows and all that an earlier machine took for toxic.  The round whose curve fits the texts best stays.
     With one class only, or without units, the score is the share everywhere.
@@ -274,7 +267,8 @@ def fit_bags(names: list[bytes], texts: list[np.ndarray], labels: list[int], sha
     )
     of_toxic, of_clean = counts(True), counts(False)
     clean = np.flatnonzero(of_clean)
-    candidate = of_toxic / max(1, y.sum()) > LIFT * of_clean / max(1, len(y) - y.sum())
+    known = LIFT * of_clean * np.maximum(1, y.sum() / max(1, len(y) - y.sum()))  # both in numbers and in shares of texts
+    candidate = of_toxic > known
     bags = [b for b in (t[candidate[t]] for t, l in zip(texts, labels) if l) if len(b)]
     if not len(clean) or not bags:
         return flat
@@ -283,7 +277,7 @@ def fit_bags(names: list[bytes], texts: list[np.ndarray], labels: list[int], sha
     positive = positive[blame[positive] > 0]
     strength = blame[positive]
     some_clean = rng.permutation(clean)[:NEGATIVES]
-    hard = np.zeros(0, np.int64)
+    top = hard = np.zeros(0, np.int64)
     filled = [t for t in texts if len(t)]
     whose, firsts = np.concatenate(filled), np.cumsum([0, *(len(t) for t in filled[:-1])])
     has = np.array([len(t) > 0 for t in texts])
@@ -291,8 +285,9 @@ def fit_bags(names: list[bytes], texts: list[np.ndarray], labels: list[int], sha
     best, least = flat, np.inf
     pick = lambda at: [names[i] for i in at]
     for _ in range(ROUNDS):
-        marks = positive[np.argsort(-strength, kind="stable")[: landmarks // 2]]
-        marks = pick(np.unique(np.concatenate([marks, np.concatenate([hard[-landmarks // 4 :], some_clean])[: landmarks - len(marks)]])))
+        order = np.argsort(-strength, kind="stable")
+        marks = positive[order[: landmarks // 2]]
+        marks = pick(np.unique(np.concatenate([marks, np.concatenate([top, some_clean])[: landmarks - len(marks)]])))
         table = _table(marks)
         values, vectors = np.linalg.eigh(_kernel(marks, table).astype(np.float64) + 1e-4 * np.eye(len(marks)))
         root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T

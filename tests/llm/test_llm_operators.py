@@ -788,6 +788,29 @@ def test_gapped_insults():
     assert plain < 0.3
 
 
+def test_fit_learns_from_all_of_a_long_unit():
+    """The insult stands behind the first window of a long unit, once or more, and one clean text is wrongly marked."""
+    r = np.random.default_rng(3)
+    filler = lambda n: "".join(r.choice(list("bcfghjklvwxz"), n))
+    clean = [[filler(k).encode() for k in (3, 5, 8, 60)] for _ in range(60)] + [[b"idiot", b"the"]]
+    toxic = [[filler(5).encode(), f"{filler(33)}idiot{filler(30)}".encode()] for _ in range(30)] + [[b"you", b"idiot"]] * 20
+    texts, labels = clean + toxic, [0] * len(clean) + [1] * len(toxic)
+    models = [toxicity.fit_units(texts, labels, 0.3, seed=seed) for seed in range(3)]
+    for model in models:
+        judge = lambda s: toxicity.Scorer(model).scores(pa.array([s]))[0]
+        assert judge("you idiot") >= 0.3 and judge(filler(44) + "idiot") >= 0.3
+        assert sum(judge(filler(5) + " " + filler(70)) >= 0.3 for _ in range(20)) <= 1
+
+
+def test_blame_goes_to_what_many_bags_share():
+    """Ten bags share a window; five of them are copies with forty words of their own."""
+    bags = [np.array([0, *range(1, 41)])] * 5 + [np.array([0, 50 + i]) for i in range(5)]
+    blame = toxicity._blame(bags, 60)
+    plain = Counter(int(w) for b in bags for w in b)
+    want = [sum(plain[w] / sum(plain[int(v)] for v in b) for b in bags if w in b) for w in range(60)]
+    assert np.allclose(blame, want) and blame.argmax() == 0 and abs(blame.sum() - 10) < 1e-9
+
+
 def test_toxicity_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(5, 0), (8, 1), (None, 1), (9, None), (3, 7)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
